@@ -59,7 +59,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def walks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """kind, host, rank after STEPS steps. seeds: kind (trust, distrust), host, seed (sums to 1 in each kind)."""
+    """kind, host, rank (sums to 1 in each kind) after STEPS steps. seeds: kind (trust, distrust), host, seed (sums to 1 in each kind)."""
     out = edges.groupBy("src").agg(F.sum("w").alias("_out"))
     forward = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("w") / F.col("_out")).alias("share"))
     into = edges.groupBy("dst").agg(F.sum("w").alias("_in"))
@@ -73,7 +73,8 @@ def walks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         rank = moved.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if step % CUT_EVERY == 0:
             rank = common.written(rank, "ranks")
-    return rank
+    total = rank.groupBy("kind").agg(F.sum("rank").alias("_all"))  # two rows; what hosts without edges lose goes back to the seeds
+    return rank.join(F.broadcast(total), "kind").select("kind", "host", (F.col("rank") / F.col("_all")).alias("rank"))
 
 
 def judge(pages: DataFrame, rules: dict[str, str]) -> DataFrame:

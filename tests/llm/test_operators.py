@@ -102,7 +102,7 @@ def test_decontamination_without_broadcast_and_actions(spark, edge, monkeypatch)
     assert sorted(map(str, decontamination.judge(docs, items).drop("spans").collect())) == want
     clean = decontamination.keep_clean(docs, items)
     assert clean.columns == docs.columns
-    assert {r["doc_id"] for r in clean.collect()} == set(range(13)) | {None, 3}
+    assert {r["doc_id"] for r in clean.collect()} == set(range(13)) | {14, None}  # 20 of the 520 words of 14 are hit
     left = {r["doc_id"]: r["words"] for r in decontamination.without_spans(docs, items).where("doc_id = 13").collect()}
     assert left[13] == ["intro", "end"]
 
@@ -262,8 +262,10 @@ def test_media_round_trip(spark, edge, sf_dir):
 
 def test_cosine_hash_is_stable_under_small_changes():
     y, x = np.mgrid[0:96, 0:64]
-    pixels = np.repeat((128 + 60 * np.sin(x / 9) + 50 * np.cos(y / 13))[:, :, None], 3, 2).astype(np.uint8)
-    noisy = np.clip(pixels.astype(int) + np.random.default_rng(0).integers(-3, 4, pixels.shape), 0, 255).astype(np.uint8)
+    rng = np.random.default_rng(4)
+    waves = sum(rng.normal() * 12 * np.cos(np.pi * u * (2 * y + 1) / 192) * np.cos(np.pi * v * (2 * x + 1) / 128) for u in range(8) for v in range(8))
+    pixels = np.repeat((128 + waves).clip(0, 255)[:, :, None], 3, 2).astype(np.uint8)
+    noisy = np.clip(pixels.astype(int) + rng.integers(-3, 4, pixels.shape), 0, 255).astype(np.uint8)
     a, b = (int(media_png.cosine_hash(p), 16) for p in (pixels, noisy))
     assert bin(a ^ b).count("1") <= 6
     assert bin(a ^ int(media_png.cosine_hash(pixels[::-1]), 16)).count("1") > 6
@@ -370,7 +372,7 @@ def test_walks_equal_a_dense_matrix(spark):
         rank = seed
         for _ in range(url_graph.STEPS):
             rank = 0.15 * seed + 0.85 * rank @ m
-        assert [got.get((kind, h), 0.0) for h in names] == pytest.approx(rank.tolist())
+        assert [got.get((kind, h), 0.0) for h in names] == pytest.approx((rank / rank.sum()).tolist())
 
 
 def test_licences(spark):
