@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are scored, a noisy-or joins them, documents alone carry labels.
 
-A sentence's probability is a logistic function of its distinct words (hashed); a document is toxic unless all its
-sentences are harmless: P = 1 - prod(1 - p). The gradient of that likelihood trains the sentence scorer from document
+A sentence's probability is a logistic function of its distinct words, each by the word and its beginnings and ends
+(hashed), so that an unseen word of a known stem counts; a document is toxic unless all its sentences are harmless: P = 1 - prod(1 - p). The gradient of that likelihood trains the sentence scorer from document
 labels, and the same scorer then locates the offending sentences.
 
 Edge cases: a null or empty text has no sentence and score 0 before the share of label 1 is allowed for, so 0 after;
@@ -32,8 +32,10 @@ def sentences(text: str | None) -> list[bytes]:
     return [s for s in (text or "").encode("utf-8", "replace").translate(PLAIN).split(b"\n") if s and not s.isspace()]
 
 
-def slots_of(sentence: bytes) -> set[int]:
-    return {zlib.crc32(w) % SLOTS for w in sentence.split()}
+def slots_of(word: bytes) -> list[int]:
+    """Slots of a word: its own, those of its beginnings of 3 to 6 bytes and of its ends of 3 to 5, as far as it has them."""
+    parts = [word, *[b"^" + word[:n] for n in range(3, min(7, len(word)))], *[b"$" + word[-n:] for n in range(3, min(6, len(word)))]]
+    return [zlib.crc32(x) % SLOTS for x in parts]
 
 
 class Weights(dict):
@@ -46,7 +48,7 @@ class Weights(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) > KNOWN_WORDS:
             self.clear()
-        self[word] = w = float(self.weight[zlib.crc32(word) % SLOTS])
+        self[word] = w = float(self.weight[slots_of(word)].sum())
         return w
 
 
@@ -66,27 +68,36 @@ class NoisyOr:
         return self.odds * (1 - none) / (self.odds * (1 - none) + none) if none < 1 else 0.0
 
 
-def train(slot: np.ndarray, words: np.ndarray, per_doc: np.ndarray, label: np.ndarray, share: float, steps: int = 150, rate: float = 0.15, decay: float = 2e-5, least_docs: int = 5) -> NoisyOr:
-    """Adam on the noisy-or likelihood of a bounded sample. slot: of each word of a sentence; words: of each sentence; per_doc: sentences of each document."""
+def train(word: np.ndarray, vocabulary: list[bytes], words: np.ndarray, per_doc: np.ndarray, label: np.ndarray, share: float, steps: int = 300, rate: float = 0.05, sparse: float = 3e-4, least: int = 8) -> NoisyOr:
+    """Adam on the noisy-or likelihood of a bounded sample, with weights drawn to zero (sparse), so that few stems have one.
+
+    word: place in the vocabulary of each distinct word of each sentence; words: how many of each sentence; per_doc:
+    sentences of each document; least: how often a slot occurs at least, to get a weight.
+    """
     sentence_of = np.repeat(np.arange(len(words)), words)
     doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
-    pair = np.unique(doc_of[sentence_of].astype(np.int64) * SLOTS + slot)
-    often = np.bincount(pair % SLOTS, minlength=SLOTS) >= least_docs
-    use = often[slot]
-    names, own = np.unique(slot[use], return_inverse=True)  # only slots seen in several documents get a weight
-    sentence_of = sentence_of[use]
+    slots = [slots_of(x) for x in vocabulary]
+    word_of = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
+    slot = np.fromiter((x for own in slots for x in own), np.int64, len(word_of))
+    often = np.bincount(slot, np.bincount(word, minlength=len(slots))[word_of], SLOTS) >= least
+    word_of, slot = word_of[often[slot]], slot[often[slot]]
+    names, own = np.unique(slot, return_inverse=True)
     w, b = np.zeros(len(names)), -5.0
     m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = b + np.bincount(sentence_of, w[own], len(words))
+        of_word = np.bincount(word_of, w[own], len(slots))
+        z = b + np.bincount(sentence_of, of_word[word], len(words))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         none = np.exp(-np.bincount(doc_of, np.logaddexp(0, z), len(per_doc)))
         pull = np.where(label == 1, -none / np.maximum(1 - none, 1e-9), 1.0)
         g = pull[doc_of] * p / len(label)
-        gw, gb = np.bincount(own, g[sentence_of], len(names)) + decay * w, g.sum()
-        m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        a, c = 1 - 0.9**t, 1 - 0.99**t
-        w -= rate * (m / a) / (np.sqrt(v / c) + 1e-6)
+        by_word = np.bincount(word, g[sentence_of], len(slots))
+        gw, gb = np.bincount(own, by_word[word_of], len(names)), g.sum()
+        m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        a, c = 1 - 0.9**t, 1 - 0.999**t
+        step = rate / (np.sqrt(v / c) + 1e-6)
+        w -= step * m / a
+        w = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)
         b -= rate * (mb / a) / (np.sqrt(vb / c) + 1e-6)
     weight = np.zeros(SLOTS, np.float32)
     weight[names] = w
@@ -95,23 +106,23 @@ def train(slot: np.ndarray, words: np.ndarray, per_doc: np.ndarray, label: np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxic", per_class: int = 2500) -> NoisyOr:
-    """Fits on at most per_class labelled rows of each class; Spark splits and hashes their sentences."""
+    """Fits on at most per_class labelled rows of each class; Spark splits their sentences."""
     sample, share = common.label_sample(labels, label, training, per_class)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [[sorted(slots_of(s)) for s in sentences(t)] for t in b.column("text").to_pylist()]
+            bags = [[sorted(set(s.split())) for s in sentences(t)] for t in b.column("text").to_pylist()]
             flat = [[x for s in bag for x in s] for bag in bags]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(flat, pa.list_(pa.int32())), pa.array([list(map(len, bag)) for bag in bags], pa.list_(pa.int32()))], ["doc_id", "label", "slot", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(flat, pa.list_(pa.binary())), pa.array([list(map(len, bag)) for bag in bags], pa.list_(pa.int32()))], ["doc_id", "label", "word", "words"])
 
-    rows = common.sample_texts(docs, sample, ["text"]).mapInArrow(extract, "doc_id long, label int, slot array<int>, words array<int>").toArrow()
+    rows = common.sample_texts(docs, sample, ["text"]).mapInArrow(extract, "doc_id long, label int, word array<binary>, words array<int>").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")]).combine_chunks()
     label_of = rows["label"].to_numpy()
     if rows.num_rows == 0 or label_of.min() == label_of.max():
         share = min(max(share if rows.num_rows else 0.5, 1e-6), 1 - 1e-6)
         return NoisyOr(np.zeros(SLOTS, np.float32), 40.0, share / (1 - share) * 1e-17)
-    slot, words = rows["slot"].combine_chunks(), rows["words"].combine_chunks()
-    return train(slot.values.to_numpy(), words.values.to_numpy(), np.diff(words.offsets.to_numpy()), label_of, share)
+    word, words = rows["word"].combine_chunks().flatten().dictionary_encode(), rows["words"].combine_chunks()
+    return train(word.indices.to_numpy(), word.dictionary.to_pylist(), words.values.to_numpy(), np.diff(words.offsets.to_numpy()), label_of, share)
 
 
 def score(docs: DataFrame, model: NoisyOr, keep: tuple[str, ...] = ("doc_id",), offending: float = 0.5) -> DataFrame:
