@@ -1,3 +1,88 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, each over whole tables. The others are tested against brute force."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from loomstar.llm import licences, packing
+from loomstar.llm.common import LOWER, UPPER
+from loomstar.llm.decontamination import N
+from loomstar.llm.neardup import WORDS
+
+ASCII_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+DECONTAMINATION = f"""
+WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({ASCII_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+gram AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS words FROM (SELECT item, w, least(len(w), {N}) AS k, unnest(range(1, len(w) - least(len(w), {N}) + 2)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+win AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS words FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM gram) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, i, k, item FROM win JOIN gram USING (k, words)),
+place AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN place USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+NEARDUP = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {WORDS - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {WORDS - 1}) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
+
+
+def packing_sql(longest: int = packing.LONGEST, buckets: int = packing.BUCKETS, budget: int = packing.BUDGET, slots: int = packing.SLOTS) -> str:
+    """The dynamic program, step by step: at step k, the least padding of the first j lengths in k buckets."""
+    steps = ["b1 AS (SELECT j, len * n - t AS cost, CAST(0 AS BIGINT) AS cut FROM p WHERE j > 0)"]
+    for k in range(2, buckets + 1):
+        steps.append(f"b{k} AS (SELECT j, cost, cut FROM (SELECT p.j, b.cost + p.len * (p.n - q.n) - (p.t - q.t) AS cost, q.j AS cut, row_number() OVER (PARTITION BY p.j ORDER BY b.cost + p.len * (p.n - q.n) - (p.t - q.t), q.j) AS nth FROM p JOIN p q ON q.j < p.j JOIN b{k - 1} b ON b.j = q.j) WHERE nth = 1)")
+    back = [f"c{buckets} AS (SELECT max(j) AS j FROM p)"]
+    for k in range(buckets, 1, -1):
+        back.append(f"c{k - 1} AS (SELECT cut AS j FROM b{k} WHERE j = (SELECT j FROM c{k}))")
+    bounds = " UNION ALL ".join(f"SELECT j FROM c{k}" for k in range(1, buckets + 1))
+    return f"""
+WITH long AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS total FROM documents),
+cut AS (SELECT doc_id, CAST(piece AS INTEGER) AS piece, CAST(least({longest}, total - piece * {longest}) AS INTEGER) AS n_tokens FROM (SELECT doc_id, total, unnest(range(0, greatest(1, CAST(ceil(total / CAST({longest} AS DOUBLE)) AS BIGINT)))) AS piece FROM long)),
+h AS (SELECT CAST(n_tokens AS BIGINT) AS len, count(*) AS c FROM cut GROUP BY 1),
+p AS (SELECT CAST(row_number() OVER (ORDER BY len) AS BIGINT) AS j, len, CAST(sum(c) OVER (ORDER BY len) AS BIGINT) AS n, CAST(sum(c * len) OVER (ORDER BY len) AS BIGINT) AS t FROM h UNION ALL SELECT 0, 0, 0, 0),
+{", ".join(steps)}, {", ".join(back)},
+bound AS (SELECT DISTINCT CAST(len AS INTEGER) AS bucket FROM p JOIN ({bounds}) USING (j)),
+dealt AS (SELECT doc_id, piece, n_tokens, (SELECT min(bucket) FROM bound WHERE bucket >= n_tokens) AS bucket, CAST('0x' || substr(md5(doc_id || '/' || piece), 1, 8) AS BIGINT) % {slots} AS slot FROM cut),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY slot, doc_id, piece, n_tokens) - 1 AS number, greatest(1, {budget} // greatest(1, bucket)) AS size FROM dealt)
+SELECT doc_id, piece, n_tokens, bucket, CAST(number // size AS BIGINT) AS batch, CAST(number % size AS BIGINT) AS place, bucket - n_tokens AS padding FROM numbered"""
+
+
+TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in licences.TEMPLATES.items())
+#: Lines longer than licences.LONG_LINE are cut into sentences by the operator, which takes look-around; the tables have none that speak of a licence.
+LICENCES = f"""
+WITH file AS (SELECT doc_id, text, source || CASE WHEN doc_id % 100 = 0 THEN '' WHEN doc_id % 10 = 0 THEN '/' || lang ELSE '/' || lang || '/d' || (doc_id % 97) END AS directory FROM documents),
+line AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM file) WHERE regexp_matches(line, '{licences.SPEAKS}')),
+unit AS (SELECT licence, line FROM (VALUES {TEMPLATES}) AS v(licence, line) UNION ALL SELECT DISTINCT NULL, line FROM line),
+term AS (SELECT licence, line, token, count(*) AS tf FROM (SELECT licence, line, unnest(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{licences.TOKEN}')) AS token FROM unit) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM term GROUP BY token),
+w AS (SELECT licence, line, token, tf * (ln(((SELECT count(*) FROM unit) + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0::DOUBLE) AS w FROM term JOIN df USING (token)),
+norm AS (SELECT licence, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+vec AS (SELECT w.licence AS template, token, w / norm AS t FROM w JOIN norm ON w.licence = norm.licence WHERE w.licence IS NOT NULL),
+dot AS (SELECT line, template, sum(w * t) AS dot FROM w JOIN vec USING (token) WHERE licence IS NULL GROUP BY ALL),
+cosine AS (SELECT dot.line, template, round(dot / norm, 9) AS similarity FROM dot JOIN norm ON dot.line = norm.line AND norm.licence IS NULL),
+best AS (SELECT line, template, similarity FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY similarity DESC, template) AS nth FROM cosine WHERE similarity >= {licences.THRESHOLD}) WHERE nth = 1),
+own AS (SELECT doc_id, arg_min(template, (-similarity, template)) AS own_licence, max(similarity) AS similarity, sum(len(regexp_split_to_array(line, '\\s+'))) AS words FROM line JOIN best USING (line) GROUP BY doc_id),
+f AS (SELECT doc_id, directory, own_licence, similarity, words >= len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) * CAST({licences.FILE_SHARE} AS DOUBLE) AS is_file FROM file LEFT JOIN own USING (doc_id)),
+given AS (SELECT directory AS ancestor, arg_min(own_licence, (-similarity, own_licence)) AS given FROM f WHERE is_file GROUP BY 1),
+near AS (SELECT directory, arg_max(ancestor, length(ancestor)) AS from_directory, arg_max(given, length(ancestor)) AS given FROM (SELECT DISTINCT directory FROM f WHERE own_licence IS NULL) JOIN given ON directory = ancestor OR starts_with(directory, ancestor || '/') GROUP BY 1)
+SELECT doc_id, f.directory || '/' || doc_id || '.txt' AS path, own_licence, similarity, coalesce(own_licence, given) AS licence,
+CASE WHEN own_licence IS NOT NULL AND is_file THEN 'file' WHEN own_licence IS NOT NULL THEN 'header' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis, CASE WHEN own_licence IS NULL THEN from_directory END AS from_directory
+FROM f LEFT JOIN near ON f.directory = near.directory"""
+
+REVISITS = """
+WITH url AS (SELECT page_id, html, md5(coalesce(html, '')) AS tag, regexp_replace(url, '#.*$', '') AS bare, lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*)', 1)) AS head FROM pages),
+part AS (SELECT *, regexp_extract(substr(bare, length(head) + 1), '^([^?]*)', 1) AS path, regexp_extract(substr(bare, length(head) + 1), '^[^?]*\\?(.*)$', 1) AS query FROM url),
+page AS (SELECT page_id, html, tag, regexp_replace(regexp_replace(regexp_replace(head, '^http://', 'https://'), '^https://www\\.', 'https://'), ':(?:80|443)$', '') || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical_url
+    FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=&]*|ref|fbclid|gclid|sessionid)=[^&]*$'))), '&') AS kept FROM part)),
+response AS (SELECT page_id * 4 AS response_id, canonical_url, page_id * 60 AS response_ts, tag, strlen(coalesce(html, '')) AS size FROM page),
+revisit AS (SELECT page_id * 4 + v AS record_id, v, canonical_url, page_id * 60 + v * 18000 AS ts, CASE WHEN (page_id + v) % 5 = 0 THEN 'other' ELSE tag END AS tag, CASE WHEN (page_id + v) % 5 = 0 THEN '"other"' ELSE 'W/"' || tag || '"' END AS etag FROM page, (SELECT unnest(range(1, 4)) AS v)),
+found AS (SELECT r.*, s.response_id, s.response_ts, s.tag AS old, s.size FROM revisit r ASOF LEFT JOIN response s ON r.canonical_url = s.canonical_url AND r.ts >= s.response_ts)
+SELECT record_id, canonical_url, ts, response_id, response_ts, CASE WHEN response_id IS NULL THEN 'unresolved' WHEN tag = old THEN 'match' ELSE 'mismatch' END AS status, CASE WHEN tag = old THEN 6 ELSE 0 END AS n_headers,
+CASE WHEN tag = old THEN md5('age: ' || (v * 7) || chr(10) || 'cache-control: max-age=' || (v * 600) || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || etag || chr(10) || 'server: origin') END AS headers_md5 FROM found"""
+
+ORACLE_SQL: dict[str, str] = {"op3_packing": packing_sql(), "op4_decontamination": DECONTAMINATION, "op7_licences": LICENCES, "op9_warc_revisits": REVISITS, "op10_neardup": NEARDUP}
