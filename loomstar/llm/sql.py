@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstar.llm import licences, packing
+from loomstar.llm import licences, packing, sharding, url_graph
 from loomstar.llm.common import LOWER, UPPER
 from loomstar.llm.decontamination import N
 from loomstar.llm.neardup import WORDS
@@ -85,4 +85,48 @@ found AS (SELECT r.*, s.response_id, s.response_ts, s.tag AS old, s.size FROM re
 SELECT record_id, canonical_url, ts, response_id, response_ts, CASE WHEN response_id IS NULL THEN 'unresolved' WHEN tag = old THEN 'match' ELSE 'mismatch' END AS status, CASE WHEN tag = old THEN 6 ELSE 0 END AS n_headers,
 CASE WHEN tag = old THEN md5('age: ' || (v * 7) || chr(10) || 'cache-control: max-age=' || (v * 600) || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || etag || chr(10) || 'server: origin') END AS headers_md5 FROM found"""
 
-ORACLE_SQL: dict[str, str] = {"op3_packing": packing_sql(), "op4_decontamination": DECONTAMINATION, "op7_licences": LICENCES, "op9_warc_revisits": REVISITS, "op10_neardup": NEARDUP}
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def url_sql(steps: int = url_graph.STEPS) -> str:
+    """The rules, and the two walks step by step."""
+    fits = lambda r: f"(host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '{r[r.index('/') :]}')"
+    rules = sorted(URL_RULES, key=lambda r: (-len(r), r))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r in rules) + " END"
+    given = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{URL_RULES[r]}'" for r in rules) + " END"
+    host = lambda url: f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
+    walk = [f"r{k} AS (SELECT kind, host, sum(rank) AS rank FROM (SELECT kind, \"to\" AS host, rank * share * {url_graph.DAMPING}::DOUBLE AS rank FROM r{k - 1} JOIN step USING (kind, host) UNION ALL SELECT kind, host, (1 - {url_graph.DAMPING}::DOUBLE) * seed FROM seed) GROUP BY ALL)" for k in range(1, steps + 1)]
+    link = url_graph.LINK.replace("'", "''")
+    return f"""
+WITH page AS (SELECT page_id, url, html, {host("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS (SELECT page_id, host, path, {rule} AS rule, {given} AS given FROM page),
+known AS (SELECT host, given, count(*) AS n FROM ruled WHERE rule IS NOT NULL AND host <> '' GROUP BY ALL),
+seed AS (SELECT CASE WHEN given = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, n / CAST(sum(n) OVER (PARTITION BY given) AS DOUBLE) AS seed FROM known),
+href AS (SELECT src, {host("'x:' || regexp_replace(x, '(?i)^https?:', '')")} AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS x FROM page)),
+link AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM href WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+name AS (SELECT host AS h FROM page WHERE host <> '' UNION SELECT dst FROM link),
+up AS (SELECT DISTINCT array_to_string(l[len(l) - i + 1:], '.') AS a, array_to_string(l[len(l) - i + 2:], '.') AS b FROM (SELECT l, unnest(range(3, len(l) + 1)) AS i FROM (SELECT string_split(h, '.') AS l FROM name))),
+edge AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM link UNION ALL SELECT a, b, {url_graph.TREE_WEIGHT}::DOUBLE FROM up WHERE a <> b UNION ALL SELECT b, a, {url_graph.TREE_WEIGHT}::DOUBLE FROM up WHERE a <> b) GROUP BY ALL),
+step AS (SELECT 'trust' AS kind, src AS host, dst AS "to", w / sum(w) OVER (PARTITION BY src) AS share FROM edge UNION ALL SELECT 'distrust', dst, src, w / sum(w) OVER (PARTITION BY dst) FROM edge),
+r0 AS (SELECT kind, host, seed AS rank FROM seed), {", ".join(walk)},
+mark AS (SELECT host, round(coalesce(sum(rank) FILTER (kind = 'trust'), 0), 9) AS trust, round(coalesce(sum(rank) FILTER (kind = 'distrust'), 0), 9) AS distrust FROM (SELECT kind, host, rank / sum(rank) OVER (PARTITION BY kind) AS rank FROM r{steps}) GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) AND coalesce(distrust, 0) > {url_graph.EVEN_SHARES}::DOUBLE / greatest(1, (SELECT count(DISTINCT host) FROM page WHERE host <> '')) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM ruled LEFT JOIN mark USING (host)"""
+
+
+SHARDS = 24
+#: CRC-32 by its table, from a step for each bit; then the map of slots, slot by slot in the order of rebalance().
+SHARDING = f"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(range(9), lambda v, k: CASE WHEN k = 0 THEN v WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, n) AS v FROM (SELECT unnest(range(256)) AS n))),
+bytes AS (SELECT doc_id, strlen(coalesce(text, '')) + {sharding.RECORD_BYTES} AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+record AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(4294967295, list_reduce(b, lambda v, x: xor(v >> 8, t[CAST(xor(v, x) & 255 AS INTEGER) + 1]), 4294967295)) AS text_crc32,
+    CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || size), 1, 8) AS BIGINT) % {sharding.SLOTS} AS INTEGER) AS virtual_slot FROM bytes, crc),
+size AS (SELECT CAST(s AS INTEGER) AS virtual_slot, CAST(s % {SHARDS} AS INTEGER) AS shard, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM (SELECT unnest(range({sharding.SLOTS})) AS s) LEFT JOIN record ON s = virtual_slot GROUP BY s),
+held AS (SELECT *, sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, virtual_slot ROWS UNBOUNDED PRECEDING) <= CAST(sum(bytes) OVER () AS DOUBLE) / {SHARDS} AS kept FROM size),
+queue AS (SELECT *, row_number() OVER (ORDER BY kept DESC, bytes DESC, virtual_slot) AS nth FROM held),
+placed AS (SELECT CAST(0 AS BIGINT) AS nth, list_transform(range({SHARDS}), lambda x: CAST(0 AS BIGINT)) AS loads, CAST(NULL AS INTEGER) AS goes UNION ALL
+    SELECT nth, list_transform(loads, lambda x, i: CASE WHEN i = goes + 1 THEN x + bytes ELSE x END), goes FROM (SELECT q.nth, q.bytes, p.loads, CASE WHEN q.kept THEN q.shard ELSE CAST(list_position(p.loads, list_min(p.loads)) - 1 AS INTEGER) END AS goes FROM placed p JOIN queue q ON q.nth = p.nth + 1))
+SELECT doc_id, record.size, text_crc32, 'bytes' AS law, goes AS shard, row_number() OVER (PARTITION BY goes ORDER BY virtual_slot, doc_id, record.size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, virtual_slot
+FROM record JOIN queue USING (virtual_slot) JOIN placed USING (nth)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_graph": url_sql(), "op3_packing": packing_sql(), "op4_decontamination": DECONTAMINATION, "op7_licences": LICENCES, "op8_sharding": SHARDING, "op9_warc_revisits": REVISITS, "op10_neardup": NEARDUP}
