@@ -30,34 +30,39 @@ def leaves(value, path: str = "$") -> Iterator[tuple[str, str, str | None]]:
         yield path, "null" if value is None else "boolean" if isinstance(value, bool) else "integer" if isinstance(value, int) else "number", None
 
 
-def flattened(documents: DataFrame, column: str) -> DataFrame:
-    """doc, path, kind, value: a row for each value in each JSON document; broken documents have none."""
+def flattened(documents: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """group, doc, path, kind, value: a row for each value in each JSON document; broken documents have none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc, text in zip(frame["doc"], frame["_text"], strict=True):
+            for group, doc, text in zip(frame["group"], frame["doc"], frame["_text"], strict=True):
                 try:
-                    rows += [(doc, *x) for x in leaves(json.loads(text))]
+                    rows += [(group, doc, *x) for x in leaves(json.loads(text))]
                 except (TypeError, ValueError):
                     continue
-            yield pd.DataFrame(rows, columns=["doc", "path", "kind", "value"])
+            yield pd.DataFrame(rows, columns=["group", "doc", "path", "kind", "value"])
 
-    own = documents.select(F.monotonically_increasing_id().alias("doc"), F.col(column).cast("string").alias("_text"))
-    return own.mapInPandas(run, f"doc long, {LEAVES}")
+    own = documents.select((F.col(by) if by else F.lit("")).cast("string").alias("group"), F.monotonically_increasing_id().alias("doc"), F.col(column).cast("string").alias("_text"))
+    return own.mapInPandas(run, f"group string, doc long, {LEAVES}")
 
 
-def profile(documents: DataFrame, column: str, enum_limit: int = 10) -> DataFrame:
-    """path, kind, n, documents, presence, length_min, length_max, formats (map), enum_values (at most enum_limit, else null)."""
-    flat = flattened(documents, column).withColumn("format", string_format(F.col("value")))
-    total = documents.count()
-    counts = flat.groupBy("path", "kind", "format").agg(F.count(F.lit(1)).alias("k"))
-    formats = counts.where("format is not null").groupBy("path", "kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("format", "k")))).alias("formats"))
-    values = flat.where("format = 'enum_like'").select("path", "kind", "value").distinct()
-    enums = values.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= enum_limit)
-    enums = values.join(enums, ["path", "kind"], "left_semi").groupBy("path", "kind").agg(F.array_sort(F.collect_set("value")).alias("enum_values"))
-    rows = flat.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc").alias("documents"), F.min(F.length("value")).alias("length_min"), F.max(F.length("value")).alias("length_max"))
-    return rows.join(formats, ["path", "kind"], "left").join(enums, ["path", "kind"], "left").withColumn("presence", F.col("documents") / F.lit(max(1, total)))
+def profile(documents: DataFrame, column: str, enum_limit: int = 10, by: str | None = None) -> DataFrame:
+    """path, kind, n, documents, presence, length_min, length_max, formats (map), enum_values (at most enum_limit, else null).
+
+    by: a column; each of its values gets a profile of its own, and the result that column.
+    """
+    flat = flattened(documents, column, by).withColumn("format", string_format(F.col("value")))
+    keys = ["group", "path", "kind"]
+    totals = documents.groupBy((F.col(by) if by else F.lit("")).cast("string").alias("group")).agg(F.count(F.lit(1)).alias("_total"))
+    counts = flat.groupBy(*keys, "format").agg(F.count(F.lit(1)).alias("k"))
+    formats = counts.where("format is not null").groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("format", "k")))).alias("formats"))
+    values = flat.where("format = 'enum_like'").select(*keys, "value").distinct()
+    few = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= enum_limit)
+    enums = values.join(few, keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_set("value")).alias("enum_values"))
+    rows = flat.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc").alias("documents"), F.min(F.length("value")).alias("length_min"), F.max(F.length("value")).alias("length_max"))
+    out = rows.join(formats, keys, "left").join(enums, keys, "left").join(totals, "group").withColumn("presence", F.col("documents") / F.col("_total")).drop("_total")
+    return out.withColumnRenamed("group", by) if by else out.drop("group")
 
 
 def inspect_lines(spark: SparkSession, path: str, samples: int = 5) -> DataFrame:
@@ -69,9 +74,4 @@ def inspect_lines(spark: SparkSession, path: str, samples: int = 5) -> DataFrame
 def inspect_folder(spark: SparkSession, folder: str) -> DataFrame:
     """The profiles of all JSON documents of a folder, by file."""
     raw = spark.read.text(f"{folder}/*.json", wholetext=True)
-    files = [r["f"] for r in raw.select(F.col("_metadata.file_name").alias("f")).distinct().collect()]
-    parts = [profile(raw.where(F.col("_metadata.file_name") == f), "value").withColumn("file", F.lit(f)) for f in sorted(files)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return profile(raw.select(F.col("_metadata.file_name").alias("file"), "value"), "value", by="file")
