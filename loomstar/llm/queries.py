@@ -16,7 +16,7 @@ SHARDS = 24
 
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = fold(F.col("doc_id"), 5) == 0
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     model = quality_fm.fit(docs, table(spark, sf_dir, "labels"), ~held, metadata=QUALITY_METADATA)
     scored = quality_fm.score(docs, model, QUALITY_METADATA)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -37,7 +37,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = fold(F.col("doc_id"), 4) == 2
+    held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     model = toxicity_mil.fit(docs, table(spark, sf_dir, "labels"), ~held)
     scored = toxicity_mil.score(docs, model)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_sentences", "n_offending", "worst_sentence")
