@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomstar.operators import numbering
+
 CATALOGUE = {
     "tool_usage_by_category": """
         SELECT t.tool_category, COUNT(*) AS usage_count, ROUND(AVG(c.output_char_count), 4) AS avg_output_size
@@ -67,10 +69,9 @@ CATALOGUE = {
         JOIN {dim_project} p ON s.project_key = p.project_key JOIN {fact_messages} f ON o.session_key = f.session_key
         WHERE x.file_path LIKE '%m7%' AND f.content_text IS NOT NULL ORDER BY f.timestamp DESC, f.message_id LIMIT 20""",
     "fast_session_patterns": """
-        WITH measured AS (SELECT session_key, session_duration_seconds, NTILE(4) OVER (ORDER BY session_duration_seconds, session_key) AS quartile FROM {fact_session_summary} WHERE total_tool_calls > 0)
         SELECT c.tool_name, p.tool_name AS prev_tool, COUNT(*) AS transitions, ROUND(AVG(CAST(m.session_duration_seconds AS DOUBLE)), 2) AS avg_session_duration
         FROM {fact_tool_chain_steps} s JOIN {dim_tool} c ON s.tool_key = c.tool_key LEFT JOIN {dim_tool} p ON s.prev_tool_key = p.tool_key
-        JOIN measured m ON s.session_key = m.session_key WHERE m.quartile = 1 GROUP BY c.tool_name, p.tool_name HAVING COUNT(*) > 5""",
+        JOIN {session_quartiles} m ON s.session_key = m.session_key WHERE m.quartile = 1 GROUP BY c.tool_name, p.tool_name HAVING COUNT(*) > 5""",
     "session_state": """
         SELECT s.session_id, s.cwd, s.git_branch, f.message_id, f.content_text, f.conversation_depth, k.message_type, m.model_name
         FROM {fact_messages} f JOIN {dim_session} s ON f.session_key = s.session_key JOIN {dim_message_type} k ON f.message_type_key = k.message_type_key
@@ -113,4 +114,9 @@ def names_in(sql: str) -> list[str]:
 def run(spark: SparkSession, name: str, table) -> DataFrame:
     """A query of the catalogue. table gives the DataFrame of a name."""
     sql = CATALOGUE[name]
-    return spark.sql(sql, **{n: table(n) for n in names_in(sql)})
+    return spark.sql(sql, **{n: session_quartiles(table) if n == "session_quartiles" else table(n) for n in names_in(sql)})
+
+
+def session_quartiles(table) -> DataFrame:
+    """Sessions with tool calls in four tiles, the shortest first."""
+    return numbering.ntile(table("fact_session_summary").where("total_tool_calls > 0"), 4, ["session_duration_seconds", "session_key"], "quartile")

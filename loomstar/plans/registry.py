@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomstar.functions import columns as C
 from loomstar.functions import fixed
 from loomstar.functions.arrow import entity_mentions
-from loomstar.operators import conversation, enrichment, inspection, links, semantic
+from loomstar.operators import conversation, enrichment, inspection, links, numbering, semantic
 from loomstar.operators.simple import simple_tables
 from loomstar.operators.star import VIEWS
 from loomstar.plans import catalogue, oracle
@@ -337,22 +336,8 @@ def top_k_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CAST(ntile(4) OVER (ORDER BY c_acctbal, c_custkey) AS INTEGER) AS quartile, ROUND(c_acctbal * 100.0 / sum(c_acctbal) OVER (PARTITION BY c_mktsegment), 6) AS share FROM customer")
 def quartiles_and_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NTILE over all rows without a window over all rows: row numbers come from counts of ranges of the sort key."""
+    """NTILE over all rows without a window over all rows."""
     rows = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    total = rows.count()
-    place = global_row_numbers(rows, ["c_acctbal", "c_custkey"])
-    small, extra = divmod(total, 4)
-    edge = extra * (small + 1)
-    tile = F.when(F.col("_n") < edge, F.floor(F.col("_n") / (small + 1)) + 1).otherwise(F.lit(extra) + F.floor((F.col("_n") - edge) / max(1, small)) + 1)
     sums = rows.groupBy("c_mktsegment").agg(F.sum("c_acctbal").alias("_sum"))
-    return place.join(sums, "c_mktsegment").select("c_custkey", tile.cast("int").alias("quartile"), F.round(F.col("c_acctbal") * 100.0 / F.col("_sum"), 6).alias("share"))
-
-
-def global_row_numbers(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds _n, the row's place from 0 in the order, by numbering within sorted ranges and adding what lies before them."""
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged = links.cut(ranged, "ranges")
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # a row for each range
-    before = counts.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_within", within).join(before, "_part").withColumn("_n", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+    placed = numbering.ntile(rows, 4, ["c_acctbal", "c_custkey"], "quartile")
+    return placed.join(sums, "c_mktsegment").select("c_custkey", "quartile", F.round(F.col("c_acctbal") * 100.0 / F.col("_sum"), 6).alias("share"))
