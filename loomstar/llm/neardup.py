@@ -8,8 +8,8 @@
    smallest K values of both sketches that both have estimates the similarity and filters; the exact Jaccard
    similarity of the full sets confirms. Links give components.
 4. What a centre can't settle is done exactly: the full sets of the classes in lists that still span several
-   components get lists of their own, with the prefix and place bounds that hold for every linked pair, and every pair
-   of members of different components that passes them is confirmed on the full sets.
+   components get lists of their own, with the prefix and place bounds that hold for every linked pair. Their centres
+   are tried first; then every pair of members of different components that passes the bounds is confirmed.
 
 So no list is expanded into all its pairs, and no link between different texts is lost but with the chance that two
 texts at the threshold share fewer than LEAST of K values (below 1e-8).
@@ -67,7 +67,7 @@ def sketched(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for b in batches:
+        for b in common.slices(batches):
             prints, sizes, sketches = [], [], []
             for text in b.column("text").to_pylist():
                 words = (text or "").encode("utf-8", "replace").lower().split()
@@ -89,7 +89,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, repeated: bool, size: int = WO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for b in batches:
+        for b in common.slices(batches):
             words = [(t or "").encode("utf-8", "replace").lower().split() for t in b.column("text").to_pylist()]
             own = [i for i, (w, p) in enumerate(zip(words, b.column("_print").to_pylist(), strict=True)) if xxhash.xxh3_128_digest(b" ".join(w)) == p]
             yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(own, pa.int32())), pa.array([shingle_hashes(words[i], known, size) for i in own], pa.list_(pa.int64()))], ["node", "set"])
@@ -162,10 +162,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame
     reps = common.written(classes.select(F.col("r.row").alias("node"), F.col("r.doc_id").alias("doc_id"), "fingerprint", F.col("r.n_shingles").alias("n_shingles"), F.col("r.sketch").alias("sketch"), "least_id"), "classes")
 
     listed = common.written(lists(reps, "sketch", k), "lists")
-    centre = listed.groupBy("value").agg(F.min(F.struct("place", "node", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    star = listed.join(centre, "value").where(F.col("node") != F.col("c.node")).select("node", "n_shingles", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size"))
-    star = star.where(alike_sizes("n_shingles", "centre_size")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    star = common.written(estimated(star, reps, k), "pairs")
+    star = common.written(estimated(stars(listed), reps, k), "pairs")
     suspects = listed.select("node").distinct()
     repeated = rows.groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     sets = common.written(full_sets(docs, reps.join(suspects, "node"), repeated, size), "sets")
@@ -176,9 +173,12 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame
     open_lists = labelled.groupBy("value").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("value")
     open_nodes = labelled.join(open_lists, "value").select("node", "n_shingles", "component").distinct()
     open_sets = sets.join(open_nodes, "node")
-    exact = lists(open_sets, "set", None).join(open_nodes.select("node", "component"), "node")
-    more = links.union(confirmed(across(common.written(exact, "exact_lists")), sets))
-    final = components(more)
+    exact = common.written(lists(open_sets, "set", None), "exact_lists")
+    apart = exact.join(open_nodes.select("node", "component"), "node")
+    links = common.written(links.union(confirmed(stars(apart, "component"), sets)), "confirmed")
+    second = common.written(components(links), "components")
+    apart = exact.join(second, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    final = components(links.union(confirmed(across(common.written(apart, "apart")), sets)))
 
     label = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -187,6 +187,18 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row")
 
 
+def stars(listed: DataFrame, apart: str | None = None) -> DataFrame:
+    """Pairs (a, b) of each list's members with its centre: the member whose own values are the least rare.
+
+    apart: a column in which the two must differ.
+    """
+    more = [apart] if apart else []
+    centre = listed.groupBy("value").agg(F.min(F.struct("place", "node", "n_shingles", *more)).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    other = F.col(apart) != F.col(f"c.{apart}") if apart else F.col("node") != F.col("c.node")
+    pairs = listed.join(centre, "value").where(other).select("node", "n_shingles", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size"))
+    return pairs.where(alike_sizes("n_shingles", "centre_size")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
 def across(exact: DataFrame) -> DataFrame:
     """Pairs of members of one list and of different components that the place bound allows.
 
@@ -204,7 +216,7 @@ def across(exact: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
-    """One document of each component, with all its columns: the one with the component's id. Rows without id stay."""
+    """One document of each component, with all its columns: the one with the component's id. Rows without id stay; an id is taken to name one text."""
     found = common.written(near_duplicates(docs, size, k).select("doc_id", "kept"), "kept")
     dropped = found.where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti")
