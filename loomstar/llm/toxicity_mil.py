@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,30 +69,34 @@ class NoisyOr:
         return self.odds * (1 - none) / (self.odds * (1 - none) + none) if none < 1 else 0.0
 
 
-def train(word: np.ndarray, vocabulary: list[bytes], words: np.ndarray, per_doc: np.ndarray, label: np.ndarray, share: float, steps: int = 300, rate: float = 0.05, sparse: float = 3e-4, least: int = 8) -> NoisyOr:
+def train(word: np.ndarray, vocabulary: pa.Array, words: np.ndarray, per_doc: np.ndarray, label: np.ndarray, share: float, steps: int = 300, rate: float = 0.05, sparse: float = 3e-4, least: int = 8) -> NoisyOr:
     """Adam on the noisy-or likelihood of a bounded sample, with weights drawn to zero (sparse), so that few stems have one.
 
     word: place in the vocabulary of each distinct word of each sentence; words: how many of each sentence; per_doc:
     sentences of each document; least: how often a slot occurs at least, to get a weight.
     """
-    sentence_of = np.repeat(np.arange(len(words)), words)
+    sentence_of = np.repeat(np.arange(len(words), dtype=np.int32), words)
     doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
-    slots = [slots_of(x) for x in vocabulary]
-    word_of = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
-    slot = np.fromiter((x for own in slots for x in own), np.int64, len(word_of))
-    often = np.bincount(slot, np.bincount(word, minlength=len(slots))[word_of], SLOTS) >= least
+    n_words, flat, sizes = len(vocabulary), array("i"), array("i")  # plain arrays: the driver's memory is small
+    for x in vocabulary:
+        found = slots_of(x.as_py())
+        flat.extend(found)
+        sizes.append(len(found))
+    slot = np.frombuffer(flat, np.int32)
+    word_of = np.repeat(np.arange(n_words, dtype=np.int32), np.frombuffer(sizes, np.int32))
+    often = np.bincount(slot, np.bincount(word, minlength=n_words)[word_of], SLOTS) >= least
     word_of, slot = word_of[often[slot]], slot[often[slot]]
     names, own = np.unique(slot, return_inverse=True)
     w, b = np.zeros(len(names)), -5.0
     m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     for t in range(1, steps + 1):
-        of_word = np.bincount(word_of, w[own], len(slots))
+        of_word = np.bincount(word_of, w[own], n_words)
         z = b + np.bincount(sentence_of, of_word[word], len(words))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         none = np.exp(-np.bincount(doc_of, np.logaddexp(0, z), len(per_doc)))
         pull = np.where(label == 1, -none / np.maximum(1 - none, 1e-9), 1.0)
         g = pull[doc_of] * p / len(label)
-        by_word = np.bincount(word, g[sentence_of], len(slots))
+        by_word = np.bincount(word, g[sentence_of], n_words)
         gw, gb = np.bincount(own, by_word[word_of], len(names)), g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.999**t
@@ -122,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxi
         share = min(max(share if rows.num_rows else 0.5, 1e-6), 1 - 1e-6)
         return NoisyOr(np.zeros(SLOTS, np.float32), 40.0, share / (1 - share) * 1e-17)
     word, words = rows["word"].combine_chunks().flatten().dictionary_encode(), rows["words"].combine_chunks()
-    return train(word.indices.to_numpy(), word.dictionary.to_pylist(), words.values.to_numpy(), np.diff(words.offsets.to_numpy()), label_of, share)
+    return train(word.indices.to_numpy(), word.dictionary, words.values.to_numpy(), np.diff(words.offsets.to_numpy()), label_of, share)
 
 
 def score(docs: DataFrame, model: NoisyOr, keep: tuple[str, ...] = ("doc_id",), offending: float = 0.5) -> DataFrame:
