@@ -1,11 +1,18 @@
-"""License scans: TF-IDF cosine of header lines to templates, then inheritance from the nearest ancestor directory.
-
-Lines (sentences of very long lines) that speak of a licence are taken from the whole text. Each distinct one becomes a
-sparse TF-IDF vector, with document frequencies over all distinct lines and templates, and gets the template with the
-highest cosine, if that reaches the threshold. A document has the licence of its best line. A document of which
-licence lines make up a large share is a licence file and gives its licence to its directory; a document without a
-licence of its own takes that of the nearest ancestor directory that has one, found by a join on directory paths.
-DataFrame operations alone.
+"""License scans: TF-IDF cosine of header lines and licence texts to templates, then inheritance from the nearest ancestor directory.
+
+1. Lines that speak of a licence are taken from the whole text, and their sentences where they have several (of very
+   long lines the sentences alone). Each distinct one becomes a sparse TF-IDF vector, with document frequencies over all
+   distinct lines and templates, and gets the template with the highest cosine, if that reaches the threshold.
+2. Licence bodies and standard headers, however wrapped, commented or embedded, are found as blocks: stretches of a
+   text of which the runs of three words occur in the templates of licence_texts, with short gaps for names. A block's
+   sparse vector of such runs gets the template with the highest cosine in the same way; a run that no template has
+   weighs in its norm. Document frequencies are those of the templates.
+3. SPDX identifiers are taken as they stand.
+
+A document has the licence of its SPDX identifier, else of its best block, else of its best line; a bare copyright line
+comes last. A document of which licence lines make up a large share, or licence bodies the half, is a licence file and
+gives its licence to its directory; a document without a licence of its own takes that of the nearest ancestor directory
+that has one, found by a join on directory paths. DataFrame operations alone.
 
 Edge cases: a null or empty text has no line of its own and can only inherit; a null path has no directory; repeated
 rows get the same result each; ties go to the licence first in the alphabet, and in a directory to the best line, then
@@ -14,8 +21,11 @@ the licence; an empty table gives an empty result. Further columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomstar.llm import common
 
@@ -39,6 +49,10 @@ TEMPLATES = {
     "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0.",
     "Proprietary": "Copyright. All rights reserved.",
 }
+#: Words of a run, unmatched runs that a block bridges, runs that a block has at least, share of a text that makes bodies a licence file.
+RUN, GAP, LEAST_RUNS, BODY_SHARE = 3, 15, 10, 0.5
+TEXTS = Path(__file__).parent / "licence_texts"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\- ]+)"
 
 
 def directory(path: Column) -> Column:
@@ -47,11 +61,16 @@ def directory(path: Column) -> Column:
 
 
 def licence_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, path and line of each line that speaks of a licence, from whole texts."""
+    """doc_id, path and line of each line that speaks of a licence, and of its sentences if it has several, from whole texts.
+
+    _whole and _part: counts among whole lines, among sentences.
+    """
     rows = docs.where(F.col("text").rlike(SPEAKS)).select("doc_id", "path", F.xxhash64("text").alias("_print"), F.explode(F.split("text", "\n")).alias("line"))
-    rows = rows.where(F.col("line").rlike(SPEAKS))
-    parts = F.when(F.length("line") > LONG_LINE, F.split("line", r"(?<=[.!?])\s+(?=\p{Lu})")).otherwise(F.array("line"))
-    return rows.withColumn("line", F.explode(parts)).where(F.col("line").rlike(SPEAKS))
+    rows = rows.where(F.col("line").rlike(SPEAKS)).withColumn("_parts", F.split("line", r"(?<=[.!?])\s+(?=\p{Lu})"))
+    piece = lambda whole, part: lambda x: F.struct(x.alias("line"), F.lit(whole).alias("_whole"), F.lit(part).alias("_part"))
+    parts, line = F.transform("_parts", piece(False, True)), F.array(F.col("line"))
+    pieces = F.when(F.length("line") > LONG_LINE, F.transform("_parts", piece(True, True))).when(F.size("_parts") > 1, F.concat(F.transform(line, piece(True, False)), parts)).otherwise(F.transform(line, piece(True, True)))
+    return rows.select("doc_id", "path", "_print", F.inline(pieces)).where(F.col("line").rlike(SPEAKS))
 
 
 def tokens(line: Column) -> Column:
@@ -78,15 +97,80 @@ def best_templates(lines: DataFrame, templates: dict[str, str], threshold: float
     return best.select("line", F.col("b.template").alias("licence"), (-F.col("b.s")).alias("similarity"))
 
 
+def spdx_tags(docs: DataFrame) -> DataFrame:
+    """doc_id, path, _print and licence of each SPDX identifier; of an expression each one but exceptions."""
+    expression = F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1)))
+    rows = docs.where(F.col("text").rlike(SPDX)).select("doc_id", "path", F.xxhash64("text").alias("_print"), expression.alias("e"))
+    expression = F.regexp_replace("e", r"(?i)\bWITH +\S+", "")
+    joined = F.regexp_replace(expression, r"[()]", " ")
+    first = F.array(F.regexp_extract(joined, r"^\s*(\S+)", 1))
+    more = F.regexp_extract_all(joined, F.lit(r"(?i)\b(?:AND|OR)\s+(\S+)"), F.lit(1))
+    rows = rows.select("doc_id", "path", "_print", F.explode(F.array_union(first, more)).alias("licence"))
+    rows = rows.withColumn("licence", F.regexp_replace("licence", r"(?i)(?:-only|-or-later|\+)$|[.\-]+$", ""))
+    known = F.lit(None).cast("string")
+    for name in sorted({*TEMPLATES, *(n for n, _, _ in block_templates())} - {"Proprietary"}):
+        known = F.when(F.lower("licence") == name.lower(), F.lit(name)).otherwise(known)
+    rows = rows.where(F.col("licence").rlike(r"^[A-Za-z0-9]") & ~F.upper("licence").isin("NONE", "NOASSERTION") & ~F.upper("licence").startswith("LICENSEREF"))
+    return rows.select("doc_id", "path", "_print", F.coalesce(known, "licence").alias("licence"))
+
+
+def block_templates() -> list[tuple[str, bool, str]]:
+    """(licence, whether it is a body, text) of each file of licence_texts."""
+    return [(p.stem.split(".header")[0], ".header" not in p.stem, p.read_text("utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+
+
+def runs_of(text: Column) -> Column:
+    """The runs of RUN words of a text, in their order; null at its last words. No lambda holds the words, so they are found once."""
+    w = tokens(text)
+    later = [F.slice(w, i + 1, 2**30).alias(f"w{i}") for i in range(RUN)]
+    return F.transform(F.arrays_zip(*later), lambda x: F.concat(*[y for i in range(RUN) for y in (F.lit(" "), x[f"w{i}"])][1:]))
+
+
+def licence_blocks(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, path, _print, licence, similarity, words and is_body of each block that has a template at the threshold or over it."""
+    spark, found = docs.sparkSession, block_templates()
+    models = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(text).alias("text")) for i, (_, _, text) in enumerate(found)])).alias("m"))
+    terms = common.written(models.select("m.t", F.explode(runs_of(F.col("m.text"))).alias("run")).where("run is not null").groupBy("t", "run").agg(F.count(F.lit(1)).alias("tf")), "licence_runs")
+    unknown = F.log(F.lit(len(found) + 1.0)) + 1.0  # weight of a run that no template has
+    frequency = terms.groupBy("run").agg((F.log((F.lit(len(found)) + 1.0) / (F.count(F.lit(1)) + 1.0)) + 1.0).alias("idf"))
+    weighed = terms.join(frequency, "run").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = weighed.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    vectors = weighed.join(norms, "t").groupBy("run", "idf").agg(F.map_from_entries(F.collect_list(F.struct("t", (F.col("w") / F.col("norm")).alias("share")))).alias("shares"))
+    vectors = common.written(vectors, "licence_vectors")  # as many rows as the templates have runs
+
+    doc = ["doc_id", "path", "_print"]
+    rows = docs.where(F.col("text").rlike(SPEAKS)).select("doc_id", "path", F.xxhash64("text").alias("_print"), "text").select(*doc, F.posexplode(runs_of(F.col("text"))).alias("at", "run"))
+    hits = rows.join(F.broadcast(vectors.select("run")), "run").groupBy(*doc, "at", "run").agg(F.lit(1).alias("n"))  # repeated rows once
+    by = Window.partitionBy(*doc).orderBy("at")
+    hits = hits.withColumn("_b", F.lag("at").over(by)).withColumn("_a", F.lead("at").over(by)).where("_b = at - 1 or _a = at + 1")  # a single common run tells nothing
+    hits = hits.withColumn("_new", F.coalesce(F.col("at") - F.lag("at").over(by) > GAP, F.lit(True)).cast("int")).withColumn("block", F.sum("_new").over(by))
+    terms = hits.groupBy(*doc, "block", "run").agg(F.count(F.lit(1)).alias("tf"), F.min("at").alias("first"), F.max("at").alias("last"))
+    terms = terms.join(F.broadcast(vectors), "run").withColumn("w", F.col("tf") * F.col("idf"))
+    dots = [F.sum(F.col("w") * F.coalesce(F.element_at("shares", F.lit(i)), F.lit(0.0))) for i in range(len(found))]
+    blocks = terms.groupBy(*doc, "block").agg(F.sum("tf").alias("runs"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.col("w") * F.col("w")).alias("square"), F.array(*dots).alias("dots"))
+    blocks = blocks.where(F.col("runs") >= LEAST_RUNS).withColumn("span", F.col("last") - F.col("first") + 1)
+    norm = F.sqrt(F.col("square") + (F.col("span") - F.col("runs")) * unknown * unknown)
+    models = F.array(*[F.struct((-F.round(F.col("dots")[i] / norm, 9)).alias("s"), F.lit(name).alias("licence"), F.lit(body).alias("is_body")) for i, (name, body, _) in enumerate(found)])
+    best = blocks.select(*doc, F.array_min(models).alias("b"), (F.col("span") + RUN - 1).alias("words"))
+    return best.select(*doc, F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"), "words", F.col("b.is_body").alias("is_body")).where(F.col("similarity") >= threshold)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """doc_id, path, own_licence, similarity, licence (own or inherited), basis (header, file, inherited, none), from_directory."""
     found = licence_lines(docs)
     matched = best_templates(found, templates or TEMPLATES, threshold)
-    by_doc = found.join(matched, "line").groupBy("doc_id", "path", "_print").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("b"), F.sum(F.size(F.split("line", r"\s+"))).alias("_words"))
-    own = by_doc.select(F.col("doc_id").alias("_id"), F.col("path").alias("_path"), "_print", F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("similarity"), "_words")
+    words, none = F.size(F.split("line", r"\s+")), F.lit(0)
+    bare = F.when(F.col("licence") == "Proprietary", 3).otherwise(2)  # a copyright line says less than any named licence
+    doc = ["doc_id", "path", "_print", "licence", "similarity"]
+    lines = found.join(matched, "line").select(*doc, bare.alias("place"), F.when(F.col("_whole"), words).otherwise(none).alias("whole"), F.when(F.col("_part"), words).otherwise(none).alias("parts"), none.alias("body"))
+    blocks = licence_blocks(docs, threshold).select(*doc, F.lit(1).alias("place"), none.alias("whole"), none.alias("parts"), F.when(F.col("is_body"), F.col("words")).otherwise(none).alias("body"))
+    tags = spdx_tags(docs).withColumn("similarity", F.lit(1.0)).select(*doc, F.lit(0).alias("place"), none.alias("whole"), none.alias("parts"), none.alias("body"))
+    by_doc = lines.unionByName(blocks).unionByName(tags).groupBy("doc_id", "path", "_print").agg(F.min(F.struct("place", (-F.col("similarity")).alias("s"), "licence")).alias("b"), F.greatest(F.sum("whole"), F.sum("parts")).alias("_words"), F.sum("body").alias("_body"))
+    own = by_doc.select(F.col("doc_id").alias("_id"), F.col("path").alias("_path"), "_print", F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("similarity"), "_words", "_body")
     rows = docs.select("doc_id", "path", F.xxhash64("text").alias("_p"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n_words"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")) & (F.col("_p") == F.col("_print"))
-    rows = rows.join(own, same, "left").select("doc_id", "path", "own_licence", "similarity", (F.col("_words") >= F.col("n_words") * file_share).alias("is_file"), directory(F.col("path")).alias("directory"))
+    is_file = ((F.col("_words") > 0) & (F.col("_words") >= F.col("n_words") * file_share)) | ((F.col("_body") > 0) & (F.col("_body") >= F.col("n_words") * BODY_SHARE))
+    rows = rows.join(own, same, "left").select("doc_id", "path", "own_licence", "similarity", is_file.alias("is_file"), directory(F.col("path")).alias("directory"))
     rows = common.written(rows, "own_licences")
     given = rows.where("is_file and directory is not null").groupBy("directory").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "own_licence")).alias("b")).select(F.col("directory").alias("ancestor"), F.col("b.own_licence").alias("given"))
     steps = F.split("directory", "/")

@@ -384,6 +384,27 @@ def test_licences(spark):
     assert got[1]["similarity"] == pytest.approx(1.0)
 
 
+def test_licence_bodies_headers_and_identifiers(spark):
+    body = {n: t for n, whole, t in licences.block_templates() if whole}
+    head = {n: t for n, whole, t in licences.block_templates() if not whole}
+    holder = "Copyright (c) 2020, Jane Doe. All rights reserved.\n\n"
+    names = sorted(body)
+    rows = [(i, f"d{i}/LICENSE", holder + body[n].replace("the copyright holder nor", "Jane Doe nor")) for i, n in enumerate(names)]
+    code = "\n" + "\n".join(f"x{i} = f{i}(y{i})" for i in range(300))
+    heads = sorted(head)
+    rows += [(100 + i, "s/a.py", "\n".join(f"# {x}" for x in (holder + head[n]).split("\n")) + code) for i, n in enumerate(heads)]
+    tags = [("MIT", "MIT"), ("gpl-3.0-or-later", "GPL-3.0"), ("(Zlib)", "Zlib"), ("GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0"), ("MIT OR Apache-2.0", "Apache-2.0"), ("BSD-3-Clause */", "BSD-3-Clause")]
+    rows += [(200 + i, "t/a.c", f"/* SPDX-License-Identifier: {x}" + "\n" + holder + code) for i, (x, _) in enumerate(tags)]
+    rows += [(300, "u/a.c", holder + code), (301, "u/b.c", f"{holder.strip()} Released under the MIT License. See below.{code}"), (302, "u/c.c", f"words {code}\nThe words of this text\n{' '.join(body['BSD-3-Clause'].split())} and on{code}"), (303, "d0/x.py", "plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    assert [(got[i]["licence"], got[i]["basis"]) for i in range(len(names))] == [(n, "file") for n in names]
+    assert [(got[100 + i]["licence"], got[100 + i]["basis"]) for i in range(len(heads))] == [(n, "header") for n in heads]
+    assert [got[200 + i]["licence"] for i in range(len(tags))] == [n for _, n in tags]
+    assert [got[i]["licence"] for i in range(300, 304)] == ["Proprietary", "MIT", "BSD-3-Clause", names[0]]
+    assert got[303]["from_directory"] == "d0"
+
+
 def test_revisits(spark):
     head = lambda **k: {a.replace("_", "-"): b for a, b in k.items()}
     rows = [(1, "http://www.A.com/p/?utm_source=x#f", 100, "response", head(etag='"1"', content_length="9", cache_control="a")), (2, "https://a.com/p", 90_000, "revisit", head(etag='W/"1"', content_length="0", cache_control="b")), (3, "https://a.com:443/p?ref=1", 95_000, "response", head(etag='"2"')), (4, "https://a.com/p", 95_000, "revisit", head(etag='"1"')), (5, "https://a.com/p", 99, "revisit", None), (6, "https://a.com/q?b=2&a=1", 5, "response", head(last_modified="t")), (7, "https://a.com/q?a=1&b=2", 10**6, "revisit", head(last_modified="t")), (8, None, 5, "revisit", None), (9, "https://a.com/q?a=1&b=2", 10**6 + 1, "revisit", {})]
