@@ -63,7 +63,7 @@ def shingle_hashes(words: list[bytes], known: WordHashes, size: int = WORDS) ->
 
 
 def sketched(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
-    """doc_id, fingerprint of the word sequence, n_shingles and the sketch of each row."""
+    """doc_id, hash of the text, fingerprint of the word sequence, n_shingles and the sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -75,9 +75,9 @@ def sketched(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
                 prints.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 sizes.append(len(s))
                 sketches.append(s[:k])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "fingerprint", "n_shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fingerprint", "n_shingles", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint binary, n_shingles int, sketch array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fingerprint binary, n_shingles int, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, repeated: bool, size: int = WORDS) -> DataFrame:
@@ -156,7 +156,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each row."""
+    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each row, its text_hash and component (null without words)."""
     rows = common.written(sketched(docs, size, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = rows.where("n_shingles > 0").groupBy("fingerprint").agg(F.min(F.struct("row", "doc_id", "n_shingles", "sketch")).alias("r"), F.min("doc_id").alias("least_id"))
     reps = common.written(classes.select(F.col("r.row").alias("node"), F.col("r.doc_id").alias("doc_id"), "fingerprint", F.col("r.n_shingles").alias("n_shingles"), F.col("r.sketch").alias("sketch"), "least_id"), "classes")
@@ -182,9 +182,9 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame
 
     label = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    label = label.join(least, "component").select("fingerprint", "component_id")
+    label = label.join(least, "component").select("fingerprint", "component", "component_id")
     out = rows.join(label, "fingerprint", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row")
+    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row", "text_hash", "component")
 
 
 def stars(listed: DataFrame, apart: str | None = None) -> DataFrame:
@@ -216,9 +216,19 @@ def across(exact: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
-    """One document of each component, with all its columns: the one with the component's id. Rows without id stay; an id is taken to name one text."""
-    found = common.written(near_duplicates(docs, size, k).select("doc_id", "kept"), "kept")
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    """One document of each component, with all its columns: one with the component's id. Rows without id stay, other repeats of an id and text go.
+
+    Documents are told apart by id and text; where several texts of a component have its id, that with the least hash stays.
+    """
+    pair = ["doc_id", "text_hash"]
+    found = common.written(near_duplicates(docs, size, k).select(*pair, "component", "kept"), "kept").where("doc_id is not null")
+    kept = found.where("kept")
+    least = kept.where("component is not null").groupBy("component").agg(F.min("text_hash").alias("_least"), F.max("text_hash").alias("_most")).where("_least <> _most")
+    surplus = kept.join(least, "component").where(F.col("text_hash") != F.col("_least")).select(*pair)
+    dropped = found.where(~F.col("kept")).select(*pair).union(surplus).distinct()
+    left = docs.withColumn("_hash", F.xxhash64("text"))
+    left = left.join(dropped.withColumnsRenamed({"doc_id": "_id", "text_hash": "_print"}), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_print")), "left_anti")
+    repeated = kept.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if repeated:
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id", "_hash"]).unionByName(left.where("doc_id is null"))
+    return left.drop("_hash")

@@ -172,6 +172,16 @@ def test_keep_one(spark, edge):
     assert ids.count(7) == 1 and 8 not in ids and 9 not in ids and 11 not in ids and ids.count(10) == 1
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    one, near = [f"a{i}" for i in range(60)], [f"a{i}" for i in range(59)]
+    rows = [(None, "first text without id"), (None, "second text without id"), (1, "a repeated row"), (1, "a repeated row"), (2, "one text of two"), (2, "quite another text here"), (3, "short copy of four words"), (4, "short copy of four words"), (4, "the other text of four"), (5, " ".join(one)), (5, " ".join(near)), (6, None), (6, "")]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    got = [tuple(r) for r in kept.collect()]
+    both = [r for r in got if r[0] == 5]
+    assert len(both) == 1 and both[0] in rows
+    assert sorted(map(str, (r for r in got if r[0] != 5))) == sorted(map(str, {r for r in rows if r[0] != 5} - {(4, "short copy of four words")}))
+
+
 def auc(score, label):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(order))
