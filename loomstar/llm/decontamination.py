@@ -36,6 +36,14 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     return rows.groupBy("words", "size").agg(F.collect_set("item").alias("items")).withColumn("key", F.xxhash64("words"))
 
 
+def document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, fingerprint, n_words, at, size, words and key of every window of a document; what a shuffle carries."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("fingerprint"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
+    rows = rows.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).where(F.size("w") >= F.col("size"))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1))).withColumn("words", F.slice("w", F.col("at"), F.col("size")))
+    return rows.select("doc_id", "fingerprint", "n_words", "at", "size", "words", F.xxhash64("words").alias("key"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """A row for each document row and distinct position of a hit, and one without position for each document row.
 
@@ -46,9 +54,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # n values at most
     spark = docs.sparkSession
     empty = spark.range(1).select(F.array().cast("array<string>").alias("b_words"), F.lit(0).alias("b_size"), F.array().cast("array<string>").alias("items"), F.xxhash64(F.array().cast("array<string>")).alias("b_key"))
-    known = windows.select(F.col("words").alias("b_words"), F.col("size").alias("b_size"), "items", F.col("key").alias("b_key")).unionByName(empty)
-    if windows.count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
+    known = windows.select(F.col("words").alias("b_words"), F.col("size").alias("b_size"), "items", F.col("key").alias("b_key"))
+    if windows.count() > BROADCAST_WINDOWS:  # the empty window would be one key for all documents; its rows need no join
+        near = document_windows(docs, sizes)
+        same = (F.col("key") == F.col("b_key")) & (F.col("size") == F.col("b_size")) & (F.col("words") == F.col("b_words"))
+        marks = docs.select("doc_id", F.xxhash64("text").alias("fingerprint"), F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(1).alias("at"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("items"))
+        return near.join(known, same).select("doc_id", "fingerprint", "n_words", "at", "size", "items").unionByName(marks)
+    known = F.broadcast(known.unionByName(empty))
     rows = docs.select("doc_id", F.xxhash64("text").alias("fingerprint"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
     # (size, last position) of the windows of each size that fit, and the empty one
     spans = F.array(F.struct(F.lit(0).alias("size"), F.lit(1).alias("last")), *[F.struct(F.lit(s).alias("size"), (F.size("w") - s + 1).alias("last")) for s in sizes])
