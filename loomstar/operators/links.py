@@ -48,13 +48,21 @@ def depths(nodes: DataFrame, group: str, order: str, node: str, parent: str, rou
     return state.select(group, F.col("_o").alias(order), F.col("_d").alias("conversation_depth"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, recursive: bool = True, rounds: int = 60) -> DataFrame:
-    """child, root of the rows of edges (child, parent) that hang below the roots (id); only direct ones if not recursive."""
+def closure(edges: DataFrame, roots: DataFrame, recursive: bool = True, rounds: int | None = None) -> DataFrame:
+    """child, root of the rows of edges (child, parent) that hang below the roots (id); only direct ones if not recursive.
+
+    A round goes a level down, until one finds nothing; if rounds are given and used up before, it raises.
+    """
     found = edges.join(roots.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", F.col("parent").alias("root"))
     new = found = cut(found.distinct(), "closure")
-    for _ in range(rounds if recursive else 0):
+    done = 0
+    while recursive:
         new = cut(edges.join(new.select(F.col("child").alias("parent"), "root"), "parent").select("child", "root").join(found, ["child"], "left_anti").distinct(), "closure")
         if new.limit(1).count() == 0:
             break
-        found = found.unionByName(new)
+        if done == rounds:
+            raise RuntimeError(f"closure isn't complete after {rounds} rounds")
+        found, done = found.unionByName(new), done + 1
+        if done % 16 == 0:  # so that the union stays short
+            found = cut(found, "closure")
     return found
