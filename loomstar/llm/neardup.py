@@ -138,7 +138,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, k: int = K) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and component (its smallest node) of every linked node, by alternating large and small stars."""
+    """node and component (its smallest node) of every linked node, by alternating large and small stars; raises if they haven't settled."""
     edges = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     before = None
     for _ in range(rounds):
@@ -152,6 +152,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the stars haven't settled after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
