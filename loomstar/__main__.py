@@ -66,8 +66,7 @@ def main(args: list[str] | None = None) -> None:
             sinks.write_json(spark, tables, given.output, kind)
         else:
             sinks.write_parquet(tables, given.output)
-        failed = [r["session_id"] for r in transcripts.broken_sessions(entries).orderBy("session_id").limit(1000).collect()]
-        print(json.dumps({"schema": kind, "tables": sorted(tables), "failed_sessions": failed}))
+        print(json.dumps({"schema": kind, "tables": sorted(tables), **sinks.write_failed(spark, entries, given.output)}))
 
 
 if __name__ == "__main__":

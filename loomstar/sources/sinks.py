@@ -68,6 +68,17 @@ def write_json(spark: SparkSession, tables: dict[str, DataFrame], folder: str, s
     return out
 
 
+def write_failed(spark: SparkSession, entries: DataFrame, folder: str, told: int = 1000) -> dict:
+    """Writes the ids of all broken sessions as failed_sessions below the folder; their count, the table's path and the first ids."""
+    from loomstar.sources import transcripts
+
+    path = f"{folder}/failed_sessions"
+    transcripts.broken_sessions(entries).write.mode("overwrite").parquet(path)
+    failed = spark.read.schema("session_id string").parquet(path)
+    first = [r["session_id"] for r in failed.orderBy("session_id").limit(told).collect()]
+    return {"failed_sessions": first, "failed_count": failed.count(), "failed_path": path}
+
+
 def archive(spark: SparkSession, source: str, folder: str, schema: str = "star", include_agents: bool = False, thinking: bool = True, truncate: int = 2000) -> dict:
     """Reads all transcripts below a folder, writes the tables, and tells what was done; broken sessions are told, not loaded."""
     from loomstar.operators.simple import simple_tables
@@ -79,5 +90,4 @@ def archive(spark: SparkSession, source: str, folder: str, schema: str = "star",
         entries = entries.where(~F.col("session_id").startswith("agent-"))
     tables = Star(entries, truncate, thinking).tables() if schema == "star" else simple_tables(entries, truncate, include_thinking=thinking)
     write_parquet(tables, folder)
-    failed = [r["session_id"] for r in transcripts.broken_sessions(entries).orderBy("session_id").limit(1000).collect()]
-    return {"schema": schema, "tables": {n: spark.read.parquet(f"{folder}/{n}").count() for n in tables}, "failed_sessions": failed}
+    return {"schema": schema, "tables": {n: spark.read.parquet(f"{folder}/{n}").count() for n in tables}, **write_failed(spark, entries, folder)}
