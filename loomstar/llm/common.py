@@ -32,10 +32,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the name with a number after it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if n not in taken)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none (in tests), a temporary one is set."""
+    """The folder that all executors share, as the cluster names it. Only in local mode, where none is named, a temporary one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="loomstar-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

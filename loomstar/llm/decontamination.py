@@ -87,8 +87,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = judge(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_print")), "left_anti")
+    bad = judge(docs, benchmark, n).where("contaminated").select("doc_id", "fingerprint").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.fingerprint"))
+    return docs.alias("d").join(bad.alias("b"), same, "left_anti")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:

@@ -8,15 +8,17 @@
    smallest K values of both sketches that both have estimates the similarity and filters; the exact Jaccard
    similarity of the full sets confirms. Links give components.
 4. What a centre can't settle is done exactly: the full sets of the classes in lists that still span several
-   components get lists of their own, with the prefix and place bounds that hold for every linked pair. Their centres
-   are tried first; then every pair of members of different components that passes the bounds is confirmed.
+   components get lists of their own, with the prefix and place bounds that hold for every linked pair. Rounds of
+   CENTRES members of each list are tried with the others of other components, and leave it, until a list lies in one
+   component or has SHORT members at most; only members of such short lists meet each other, within the bounds.
 
-So no list is expanded into all its pairs, and no link between different texts is lost but with the chance that two
-texts at the threshold share fewer than LEAST of K values (3.4e-8 for large sets).
+So no list but a short one is expanded into pairs, and no link between different texts is lost but with the chance that
+two texts at the threshold share fewer than LEAST of K values (3.4e-8 for large sets). Keys that hold more than one in
+HOT of all rows (fewer than HOT of them, so their side is broadcast) are joined apart from the others.
 
 Edge cases: a null or wordless text is linked with nothing; equal texts are one class; repeated rows and repeated or
-null ids are told apart by their row; a component's id is its smallest id, null if it has none; an empty table gives an
-empty result. Further columns are ignored.
+null ids are told apart by their row; ids are taken as long integers; a component's id is its smallest id, null if it has
+none; an empty table gives an empty result. Further columns are ignored, or kept by keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ K, LEAST, ESTIMATE = 48, 22, 0.45
 KNOWN_WORDS = 400_000
 #: Ids of suspects that are broadcast at most (16 bytes each and the table's overhead); beyond, a shuffle joins them.
 BROADCAST_IDS = 1_000_000
+#: A key is hot with more than one in HOT of all rows; members tried in a round; members of a list that meet each other.
+HOT, CENTRES, SHORT = 1000, 16, 32
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -62,6 +66,16 @@ def shingle_hashes(words: list[bytes], known: WordHashes, size: int = WORDS) ->
     return np.unique((mixed * MIX[0]).view(np.int64))
 
 
+def spread_join(rows: DataFrame, other: DataFrame, key: str, often: str, total: int) -> DataFrame:
+    """rows joined to other by a key without sending a hot key's rows to one task.
+
+    often: a column of other, how many of the total rows have the key. Fewer than HOT keys can be hot.
+    """
+    hot = F.broadcast(other.where(F.col(often) * HOT > total))
+    cold = rows.join(F.broadcast(other.where(F.col(often) * HOT > total).select(key).distinct()), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(other.where(F.col(often) * HOT <= total), key))
+
+
 def sketched(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
     """doc_id, hash of the text, fingerprint of the word sequence, n_shingles and the sketch of each row."""
 
@@ -77,7 +91,7 @@ def sketched(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
                 sketches.append(s[:k])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fingerprint", "n_shingles", "sketch"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fingerprint binary, n_shingles int, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fingerprint binary, n_shingles int, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, repeated: bool, size: int = WORDS) -> DataFrame:
@@ -85,7 +99,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, repeated: bool, size: int = WO
     wanted = wanted.select("node", F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print"))
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "_print", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "_print", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -106,8 +120,8 @@ def four_fifths(n: Column) -> Column:
 def lists(sets: DataFrame, column: str, k: int | None) -> DataFrame:
     """value, node, n_shingles and place (from 0, rarest values first) of the listed values that several sets have."""
     rows = sets.select("node", "n_shingles", F.size(column).alias("_held"), F.explode(column).alias("value"))
-    often = rows.groupBy("value").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
-    rows = rows.join(often, "value")
+    often = common.written(rows.groupBy("value").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1"), "often")
+    rows = spread_join(rows, often, "value", "_df", often.agg(F.sum("_df")).first()[0] or 0)
     by = Window.partitionBy("node")
     place = F.col("_held") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("_df", "value")) - 1  # values that no other has come first
     least = four_fifths(F.col("n_shingles"))
@@ -143,8 +157,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("m", "u"))
+        large = spread_join(both, least, "u", "_n", 2 * (before[0] if before else edges.count())).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = common.written(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
@@ -160,8 +174,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each row, its text_hash and component (null without words)."""
     rows = common.written(sketched(docs, size, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("fingerprint").agg(F.min(F.struct("row", "doc_id", "n_shingles", "sketch")).alias("r"), F.min("doc_id").alias("least_id"))
-    reps = common.written(classes.select(F.col("r.row").alias("node"), F.col("r.doc_id").alias("doc_id"), "fingerprint", F.col("r.n_shingles").alias("n_shingles"), F.col("r.sketch").alias("sketch"), "least_id"), "classes")
+    classes = rows.where("n_shingles > 0").groupBy("fingerprint").agg(F.min(F.struct("row", "doc_id", "n_shingles", "sketch")).alias("r"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    reps = common.written(classes.select(F.col("r.row").alias("node"), F.col("r.doc_id").alias("doc_id"), "fingerprint", F.col("r.n_shingles").alias("n_shingles"), F.col("r.sketch").alias("sketch"), "least_id", "copies"), "classes")
 
     listed = common.written(lists(reps, "sketch", k), "lists")
     star = common.written(estimated(stars(listed), reps, k), "pairs")
@@ -176,45 +190,67 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame
     open_nodes = labelled.join(open_lists, "value").select("node", "n_shingles", "component").distinct()
     open_sets = sets.join(open_nodes, "node")
     exact = common.written(lists(open_sets, "set", None), "exact_lists")
-    apart = exact.join(open_nodes.select("node", "component"), "node")
-    links = common.written(links.union(confirmed(stars(apart, "component"), sets)), "confirmed")
-    second = common.written(components(links), "components")
-    apart = exact.join(second, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    final = components(links.union(confirmed(across(common.written(apart, "apart")), sets)))
+    final = settled(exact, links, first, sets)
 
     label = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    label = label.join(least, "component").select("fingerprint", "component", "component_id")
-    out = rows.join(label, "fingerprint", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    label = common.written(label.join(least, "component").select("fingerprint", "component", "component_id", "copies"), "labels")
+    some, none = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
+    out = spread_join(some, label, "fingerprint", "copies", rows.count()).drop("copies")
+    out = out.unionByName(none.withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id")))
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row", "text_hash", "component")
 
 
-def stars(listed: DataFrame, apart: str | None = None) -> DataFrame:
-    """Pairs (a, b) of each list's members with its centre: the member whose own values are the least rare.
+def settled(exact: DataFrame, links: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Components after all links that the exact lists hold: rounds of centres in long lists, then pairs in the short ones."""
+    while True:
+        apart = common.written(exact.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+        state = apart.groupBy("value").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b").select("value", "_n")
+        state = common.written(state, "open_lists")
+        total = apart.count()
+        apart = common.written(spread_join(apart, state, "value", "_n", total), "apart")
+        long = apart.where(F.col("_n") > SHORT)
+        if long.limit(1).count() == 0:
+            break
+        centre = common.written(centres(long), "centres")
+        pairs = stars(long, centre, "component", total)
+        links = common.written(links.union(confirmed(pairs, sets)), "confirmed")
+        found = common.written(components(links), "components")
+        exact = common.written(apart.join(centre.select("value", F.col("c.node").alias("node")), ["value", "node"], "left_anti").select("value", "node", "n_shingles", "place"), "exact_lists")
+    return components(links.union(confirmed(across(apart), sets)))
+
+
+def centres(listed: DataFrame, number: int = CENTRES) -> DataFrame:
+    """value, c (place, node, n_shingles, component) and _n, the members of the list, of at most number members of each list.
+
+    They are the members whose own values are the least rare among those of equal hash.
+    """
+    part = F.pmod(F.xxhash64("node"), F.lit(number))
+    best = listed.groupBy("value", part.alias("_part")).agg(F.min(F.struct("place", "node", "n_shingles", "component")).alias("c"), F.max("_n").alias("_n"))
+    return best.select("value", "c", "_n")
+
+
+def stars(listed: DataFrame, centre: DataFrame | None = None, apart: str | None = None, total: int | None = None) -> DataFrame:
+    """Pairs (a, b) of each list's members with its centres; by default with the member whose own values are the least rare.
 
     apart: a column in which the two must differ.
     """
-    more = [apart] if apart else []
-    centre = listed.groupBy("value").agg(F.min(F.struct("place", "node", "n_shingles", *more)).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if centre is None:
+        centre = listed.groupBy("value").agg(F.min(F.struct("place", "node", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        total = listed.count()
     other = F.col(apart) != F.col(f"c.{apart}") if apart else F.col("node") != F.col("c.node")
-    pairs = listed.join(centre, "value").where(other).select("node", "n_shingles", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size"))
+    pairs = spread_join(listed.drop("_n"), centre, "value", "_n", total).where(other).select("node", "n_shingles", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size"))
     return pairs.where(alike_sizes("n_shingles", "centre_size")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def across(exact: DataFrame) -> DataFrame:
-    """Pairs of members of one list and of different components that the place bound allows.
-
-    The members of each list's most central component are met by the others alone, and these by each other.
-    """
-    main = exact.groupBy("value").agg(F.min(F.struct("place", "component")).alias("m"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("value", F.col("m.component").alias("main"))
-    rows = exact.join(main, "value")
-    x = rows.where("component <> main").select("value", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n_shingles").alias("xn"), F.col("place").alias("xp"))
-    y = rows.select("value", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n_shingles").alias("yn"), F.col("place").alias("yp"), "main")
+    """Pairs of members of one short list and of different components that the place bound allows."""
+    x = exact.select("value", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n_shingles").alias("xn"), F.col("place").alias("xp"))
+    y = exact.select("value", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n_shingles").alias("yn"), F.col("place").alias("yp"))
     need = F.col("xn") + F.col("yn")  # 9 x overlap >= 4 x sum of the sizes, where J >= 0.8
     bound = (F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) * 9 >= need * 4) & alike_sizes("xn", "yn")
-    once = (F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))
-    pairs = x.join(y, "value").where((F.col("xc") != F.col("yc")) & once & bound)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = x.join(y, "value").where((F.col("xc") != F.col("yc")) & (F.col("x") < F.col("y")) & bound)
+    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
@@ -228,9 +264,11 @@ def keep_one(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
     least = kept.where("component is not null").groupBy("component").agg(F.min("text_hash").alias("_least"), F.max("text_hash").alias("_most")).where("_least <> _most")
     surplus = kept.join(least, "component").where(F.col("text_hash") != F.col("_least")).select(*pair)
     dropped = found.where(~F.col("kept")).select(*pair).union(surplus).distinct()
-    left = docs.withColumn("_hash", F.xxhash64("text"))
-    left = left.join(dropped.withColumnsRenamed({"doc_id": "_id", "text_hash": "_print"}), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_print")), "left_anti")
+    text_hash = F.xxhash64("d.text")
+    left = docs.alias("d").join(dropped.alias("r"), (F.col("d.doc_id") == F.col("r.doc_id")) & (text_hash == F.col("r.text_hash")), "left_anti")
     repeated = kept.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if repeated:
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id", "_hash"]).unionByName(left.where("doc_id is null"))
-    return left.drop("_hash")
+        name = common.free_name(docs, "text_hash")
+        some = left.where("doc_id is not null").withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)
+        left = some.unionByName(left.where("doc_id is null"))
+    return left
