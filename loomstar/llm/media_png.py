@@ -1,7 +1,8 @@
 """Media columns: PNG files in binary columns, written and read chunk by chunk, with low-frequency cosine hashes.
 
-encode_png() makes the chunks with zlib and their CRCs, decode_png() tests every CRC, inflates and undoes the five
-row filters with numpy. A hash is the sign pattern of the lowest 8 x 8 frequencies (but the mean) of the grey picture
+encode_png() makes the chunks with zlib and their CRCs, decode_png() tests every CRC and the order of chunks, inflates no
+more than the header announces, and undoes the five row filters with numpy: the average and Paeth filters along
+diagonals, on which no sample needs another. A hash is the sign pattern of the lowest 8 x 8 frequencies (but the mean) of the grey picture
 shrunk to 32 x 32.
 
 Edge cases: a null or empty text is a payload of 192 spaces; a broken file raises ValueError in decode_png() and gives
@@ -21,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstar.llm import common
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples of a pixel by colour type; only 8-bit samples are handled.
 SAMPLES = {0: 1, 2: 3, 4: 2, 6: 4}
 WIDTH, LEVEL, SIDE, LOW = 64, 4, 32, 8
+#: Files that are in memory at once, but for those of Arrow's own batches.
+CHUNK = 64
 ROW = WIDTH * 3
 _k = np.arange(LOW)[:, None]
 COSINE = np.cos(np.pi * _k * (2 * np.arange(SIDE)[None] + 1) / (2 * SIDE)) * np.where(_k, np.sqrt(2 / SIDE), np.sqrt(1 / SIDE))
@@ -55,11 +60,11 @@ def encode_png(pixels: np.ndarray) -> bytes:
 
 
 def unfiltered(data: np.ndarray, step: int) -> np.ndarray:
-    """data: rows of a type byte and the filtered bytes. Runs of rows with one of the types none, sub and up go together."""
+    """data: rows of a type byte and the filtered bytes. Runs of rows with one of the types none, sub and up go together, or with the others."""
     kinds, rows = data[:, 0], data[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise ValueError("unknown row filter")
-    cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+    cuts = [0, *(np.flatnonzero(np.diff(np.minimum(kinds, 3))) + 1).tolist(), len(kinds)]
     zero = np.zeros(rows.shape[1], np.uint8)
     for a, b in zip(cuts, cuts[1:], strict=False):
         kind, above = kinds[a], rows[a - 1] if a else zero
@@ -70,30 +75,32 @@ def unfiltered(data: np.ndarray, step: int) -> np.ndarray:
             rows[a] += above
             np.cumsum(rows[a:b], axis=0, dtype=np.uint8, out=rows[a:b])
         elif kind > 2:
-            for r in range(a, b):
-                predict(rows[r], rows[r - 1] if r else zero, step, kind)
+            waved(rows, kinds, a, b, step)
     return rows
 
 
-def predict(row: np.ndarray, above: np.ndarray, step: int, kind: int) -> None:
-    """Undoes the filters average (3) and Paeth (4), pixel by pixel."""
-    left, corner = np.zeros(step, np.int16), np.zeros(step, np.int16)
-    for at in range(0, len(row), step):
-        up = above[at : at + step].astype(np.int16)
-        if kind == 3:
-            guess = (left + up) >> 1
-        else:
-            da, db, dc = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
-            guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
-        row[at : at + step] += guess.astype(np.uint8)
-        left, corner = row[at : at + step].astype(np.int16), up
+def waved(rows: np.ndarray, kinds: np.ndarray, a: int, b: int, step: int) -> None:
+    """Undoes the filters average (3) and Paeth (4) of the rows from a to b, all pixels of a diagonal at once."""
+    height, width = b - a, rows.shape[1] // step
+    done = np.zeros((height + 1, width + 1, step), np.int16)  # with a border above and on the left
+    if a:
+        done[0, 1:] = rows[a - 1].reshape(width, step)
+    raw, paeth = rows[a:b].reshape(height, width, step), (kinds[a:b] == 4)[:, None]
+    for d in range(width + height - 1):
+        r = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - r
+        left, up, corner = done[r + 1, x], done[r, x + 1], done[r, x]
+        da, db, dc = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        nearest = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+        done[r + 1, x + 1] = (raw[r, x] + np.where(paeth[r], nearest, (left + up) >> 1)) & 255
+    rows[a:b] = done[1:, 1:].reshape(height, -1)
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """Height x width x samples. Raises ValueError where a signature, length, checksum or size is wrong."""
+    """Height x width x samples. Raises ValueError where a signature, length, checksum, order, method or size is wrong."""
     if data[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
-    at, head, body, ended = 8, None, [], False
+    at, head, body, ended, last = 8, None, [], False, b""
     while at < len(data) and not ended:
         if at + 12 > len(data):
             raise ValueError("cut chunk")
@@ -103,22 +110,32 @@ def decode_png(data: bytes) -> np.ndarray:
             raise ValueError("cut chunk")
         if zlib.crc32(kind + part) != struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0]:
             raise ValueError(f"checksum of {kind!r}")
+        if (kind == b"IHDR") != (head is None):
+            raise ValueError("the header isn't the first chunk alone")
         if kind == b"IHDR":
+            if n != 13:
+                raise ValueError("length of the header")
             head = struct.unpack(">IIBBBBB", part)
         elif kind == b"IDAT":
+            if body and last != b"IDAT":
+                raise ValueError("data chunks apart")
             body.append(part)
-        ended, at = kind == b"IEND", at + 12 + n
+        elif kind not in (b"PLTE", b"IEND") and not kind[0] & 32:
+            raise ValueError(f"unknown critical chunk {kind!r}")
+        last, ended, at = kind, kind == b"IEND", at + 12 + n
     if head is None or not ended:
         raise ValueError("no header or no end")
-    width, height, bits, colour, _, _, interlaced = head
-    if bits != 8 or colour not in SAMPLES or interlaced:
-        raise ValueError("only 8-bit samples without palette and interlacing")
+    width, height, bits, colour, packed, filters, interlaced = head
+    if bits != 8 or colour not in SAMPLES or interlaced or packed or filters:
+        raise ValueError("only 8-bit samples without palette and interlacing, and method 0")
     n = SAMPLES[colour]
+    size = height * (width * n + 1)
+    inflate = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(body))
+        raw = inflate.decompress(b"".join(body), size + 1)
     except zlib.error as e:
         raise ValueError(str(e)) from None
-    if len(raw) != height * (width * n + 1) or not raw:
+    if not width or not height or len(raw) != size or not inflate.eof:
         raise ValueError("wrong size")
     return unfiltered(np.frombuffer(raw, np.uint8).reshape(height, width * n + 1), n).reshape(height, width, n)
 
@@ -154,20 +171,15 @@ def write_images(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     own = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, CHUNK):
-                part = b.slice(at, CHUNK)
-                made = [payload(t) for t in part.column("_text").to_pylist()]
-                media = [encode_png(np.frombuffer(p, np.uint8).reshape(-1, WIDTH, 3)) for p, _ in made]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array([n for _, n in made], pa.int64()), pa.array(media, pa.binary())], [*keep, "n_bytes", "media"])
+        for b in common.slices(batches, CHUNK):
+            made = [payload(t) for t in b.column("_text").to_pylist()]
+            media = [encode_png(np.frombuffer(p, np.uint8).reshape(-1, WIDTH, 3)) for p, _ in made]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array([n for _, n in made], pa.int64()), pa.array(media, pa.binary())], [*keep, "n_bytes", "media"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name in keep)
     return own.mapInArrow(run, f"{kinds}, n_bytes long, media binary")
 
 
-CHUNK = 512
-
-
 def read_images(images: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep; of the samples read back: their number, SHA-256, CRC-32 of the last 16; of the file: size, SHA-256; the hash; error (null if sound)."""
     own = images.select(*[F.col(c) for c in keep], F.col("media").alias("_media"))
@@ -186,7 +198,7 @@ def read_images(images: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
         return (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), *own, cosine_hash(pixels), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches, CHUNK):
             columns = list(zip(*map(features, b.column("_media").to_pylist()), strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [*keep, *names])
 
