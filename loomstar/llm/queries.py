@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstar.llm import decontamination, licences, media_png, neardup, packing, quality_fm, sharding, toxicity_mil, url_graph, warc_revisits
-from loomstar.llm.common import fold, table
+from loomstar.llm.common import fold, shared_folder, table
 
 THRESHOLD = 0.3
 QUALITY_METADATA = ("n_chars",)
@@ -60,7 +62,8 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
+    """The result follows from the table alone, so each run starts a map of its own."""
+    rows = sharding.shard(table(spark, sf_dir, "documents"), SHARDS, f"{shared_folder(spark)}/loomstar-{uuid.uuid4().hex}/slot_map")
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

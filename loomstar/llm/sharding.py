@@ -3,21 +3,24 @@
 The number of slots never changes. Sizes are summed by slot, and rebalance() edits the map from those sums: a shard
 that is over its share gives up slots, these go one by one to the lightest shard. Only edited slots get a row with the
 new version, so the map at any version is, for each slot, the latest row up to it, and a record moves only if its slot
-does. DataFrame operations alone; the map has a row for each slot and version, however many records there are.
+does. The map is a table under a path of the user's, which every later run reads and adds its edits to. DataFrame
+operations alone; the map has a row for each slot and version, however many records there are.
 
-Edge cases: a null text has no bytes; a null id hashes as the text 'null'; repeated rows share a slot; with fewer
-records than shards some shards stay empty; an empty table gives an empty result. Further columns are ignored.
+Edge cases: a null text has no bytes; a null id hashes as the text 'null'; equal records (repeated rows, rows without id
+of equal text) are numbered and spread by their numbers; with fewer records than shards some shards stay empty; an empty
+table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomstar.llm import common
 
 SLOTS, RECORD_BYTES = 4096, 8
+MAP = "version int, virtual_slot int, shard int"
 
 
 def record_key(doc_id: Column, size: Column) -> Column:
@@ -26,11 +29,21 @@ def record_key(doc_id: Column, size: Column) -> Column:
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and the virtual slot of each row."""
+    """doc_id, size, text_crc32 and the virtual slot of each row. The texts are read once.
+
+    Of equal records the first has the slot of its key, the others those of the key and their number.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + RECORD_BYTES
     rows = docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return rows.withColumn("virtual_slot", common.md5_slot(record_key(F.col("doc_id"), F.col("size")), slots))
+    key = record_key(F.col("doc_id"), F.col("size"))
+    rows = common.written(rows.withColumn("_key", F.concat_ws("/", key, "text_crc32")).withColumn("_row", F.monotonically_increasing_id()), "records")
+    repeated = common.written(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"), "repeated_records")
+    single = rows.join(repeated, "_key", "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    part = F.shiftright("_row", 33)  # the task that read the row, so that no hot group meets in one window
+    copies = common.numbered(rows.join(repeated, "_key").withColumn("_part", part), ["_key"], "_part", ["_row"], "_copy").select(single.columns)
+    own = F.when(F.col("_copy") == 0, key).otherwise(F.concat_ws("/", key, F.col("_copy").cast("string")))
+    return single.unionByName(copies).select("doc_id", "size", "text_crc32", common.md5_slot(own, slots).alias("virtual_slot"))
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -77,15 +90,27 @@ def rebalance(sizes: DataFrame, history: DataFrame, version: int, shards: int) -
     return moves.where(~F.col("was").eqNullSafe(F.col("shard"))).select(F.lit(version + 1).alias("version"), "virtual_slot", "shard")
 
 
-def shard(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+def load_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """All versions of the map under a path; null where there is none yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(MAP).parquet(path)
+
+
+def shard(docs: DataFrame, shards: int, map_path: str, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard and slot: the record's place in its shard, without gaps from 0.
 
-    The first map deals slots in turn, its first edit evens the bytes; both versions are stored in the shared folder.
+    map_path: where the map is kept. The first run deals slots in turn (version 0) and evens the bytes (version 1); a
+    later one, with the same number of slots, reads what is there and adds a version with the slots that have to move.
     """
     spark = docs.sparkSession
-    rows = common.written(records(docs, slots), "records")  # the texts are read once
-    history = common.written(first_map(spark, shards, slots), "slot_map")
-    edits = common.written(rebalance(slot_sizes(rows, slots), history, 0, shards), "slot_map_edits")
-    now = current(history.unionByName(edits), 1)
+    rows = common.written(records(docs, slots), "slotted_records")
+    if load_map(spark, map_path) is None:
+        first_map(spark, shards, slots).write.parquet(map_path)
+    history = load_map(spark, map_path)
+    version = history.agg(F.max("version")).first()[0]
+    common.written(rebalance(slot_sizes(rows, slots), history, version, shards), "slot_map_edits").write.mode("append").parquet(map_path)
+    now = current(load_map(spark, map_path), version + 1)
     placed = rows.join(F.broadcast(now), "virtual_slot")  # a row for each of the fixed slots
     return common.numbered(placed, ["shard"], "virtual_slot", ["doc_id", "size", "text_crc32"], "slot")

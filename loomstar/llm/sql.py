@@ -77,7 +77,7 @@ FROM f LEFT JOIN near ON f.directory = near.directory"""
 REVISITS = """
 WITH url AS (SELECT page_id, html, md5(coalesce(html, '')) AS tag, regexp_replace(url, '#.*$', '') AS bare, lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*)', 1)) AS head FROM pages),
 part AS (SELECT *, regexp_extract(substr(bare, length(head) + 1), '^([^?]*)', 1) AS path, regexp_extract(substr(bare, length(head) + 1), '^[^?]*\\?(.*)$', 1) AS query FROM url),
-page AS (SELECT page_id, html, tag, regexp_replace(regexp_replace(regexp_replace(head, '^http://', 'https://'), '^https://www\\.', 'https://'), ':(?:80|443)$', '') || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical_url
+page AS (SELECT page_id, html, tag, regexp_replace(regexp_replace(regexp_replace(head, '^(?:(http://.*):80|(https://.*):443)$', '\\1\\2'), '^http://', 'https://'), '^https://www\\.', 'https://') || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical_url
     FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=&]*|ref|fbclid|gclid|sessionid)=[^&]*$'))), '&') AS kept FROM part)),
 response AS (SELECT page_id * 4 AS response_id, canonical_url, page_id * 60 AS response_ts, tag, strlen(coalesce(html, '')) AS size FROM page),
 revisit AS (SELECT page_id * 4 + v AS record_id, v, canonical_url, page_id * 60 + v * 18000 AS ts, CASE WHEN (page_id + v) % 5 = 0 THEN 'other' ELSE tag END AS tag, CASE WHEN (page_id + v) % 5 = 0 THEN '"other"' ELSE 'W/"' || tag || '"' END AS etag FROM page, (SELECT unnest(range(1, 4)) AS v)),
@@ -88,29 +88,30 @@ CASE WHEN tag = old THEN md5('age: ' || (v * 7) || chr(10) || 'cache-control: ma
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
-def url_sql(steps: int = url_graph.STEPS) -> str:
-    """The rules, and the two walks step by step."""
+def url_sql(steps: int = 90) -> str:
+    """The rules, and the two walks step by step; after 90 steps the ranks of the given tables no longer change in the digits shown."""
     fits = lambda r: f"(host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '{r[r.index('/') :]}')"
     rules = sorted(URL_RULES, key=lambda r: (-len(r), r))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r in rules) + " END"
     given = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{URL_RULES[r]}'" for r in rules) + " END"
     host = lambda url: f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
     walk = [f"r{k} AS (SELECT kind, host, sum(rank) AS rank FROM (SELECT kind, \"to\" AS host, rank * share * {url_graph.DAMPING}::DOUBLE AS rank FROM r{k - 1} JOIN step USING (kind, host) UNION ALL SELECT kind, host, (1 - {url_graph.DAMPING}::DOUBLE) * seed FROM seed) GROUP BY ALL)" for k in range(1, steps + 1)]
-    link = url_graph.LINK.replace("'", "''")
+    href, margin = url_graph.HREF.replace("'", "''"), 1 + url_graph.MARGIN
     return f"""
-WITH page AS (SELECT page_id, url, html, {host("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+WITH page AS MATERIALIZED (SELECT page_id, url, html, {host("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 ruled AS (SELECT page_id, host, path, {rule} AS rule, {given} AS given FROM page),
 known AS (SELECT host, given, count(*) AS n FROM ruled WHERE rule IS NOT NULL AND host <> '' GROUP BY ALL),
-seed AS (SELECT CASE WHEN given = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, n / CAST(sum(n) OVER (PARTITION BY given) AS DOUBLE) AS seed FROM known),
-href AS (SELECT src, {host("'x:' || regexp_replace(x, '(?i)^https?:', '')")} AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS x FROM page)),
-link AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM href WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
-name AS (SELECT host AS h FROM page WHERE host <> '' UNION SELECT dst FROM link),
-up AS (SELECT DISTINCT array_to_string(l[len(l) - i + 1:], '.') AS a, array_to_string(l[len(l) - i + 2:], '.') AS b FROM (SELECT l, unnest(range(3, len(l) + 1)) AS i FROM (SELECT string_split(h, '.') AS l FROM name))),
-edge AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM link UNION ALL SELECT a, b, {url_graph.TREE_WEIGHT}::DOUBLE FROM up WHERE a <> b UNION ALL SELECT b, a, {url_graph.TREE_WEIGHT}::DOUBLE FROM up WHERE a <> b) GROUP BY ALL),
-step AS (SELECT 'trust' AS kind, src AS host, dst AS "to", w / sum(w) OVER (PARTITION BY src) AS share FROM edge UNION ALL SELECT 'distrust', dst, src, w / sum(w) OVER (PARTITION BY dst) FROM edge),
+seed AS MATERIALIZED (SELECT CASE WHEN given = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, n / CAST(sum(n) OVER (PARTITION BY given) AS DOUBLE) AS seed FROM known),
+href AS (SELECT src, CASE WHEN regexp_matches(x, '(?i)^(?:https?:)?//') THEN {host("'x:' || regexp_replace(x, '(?i)^https?:', '')")} WHEN starts_with(x, '/') THEN regexp_extract(x, '^([^?#]*)', 1) END AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1)) AS x FROM page)),
+link AS MATERIALIZED (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM href WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+hosts AS MATERIALIZED (SELECT greatest(1, count(*)) AS n FROM (SELECT host FROM page WHERE host <> '' UNION SELECT dst FROM link WHERE NOT starts_with(dst, '/'))),
+shared AS (SELECT src, dst, n, ln((SELECT n FROM hosts) / CAST(n AS DOUBLE)) AS rare FROM (SELECT *, count(*) OVER (PARTITION BY dst) AS n FROM link WHERE starts_with(dst, '/')) WHERE n > 1 AND n < (SELECT n FROM hosts)),
+both_ways AS (SELECT src, dst, {url_graph.PATH_WEIGHT}::DOUBLE * rare / sum(rare) OVER (PARTITION BY src) AS w FROM shared UNION ALL SELECT dst, src, 1.0::DOUBLE / n FROM shared),
+weighed AS (SELECT 'trust' AS kind, src AS host, dst AS "to", w FROM link WHERE NOT starts_with(dst, '/') UNION ALL SELECT 'distrust', dst, src, w FROM link WHERE NOT starts_with(dst, '/') UNION ALL SELECT unnest(['trust', 'distrust']), src, dst, w FROM both_ways),
+step AS MATERIALIZED (SELECT kind, host, "to", w / greatest(1, sum(w) OVER (PARTITION BY kind, host)) AS share FROM weighed),
 r0 AS (SELECT kind, host, seed AS rank FROM seed), {", ".join(walk)},
-mark AS (SELECT host, round(coalesce(sum(rank) FILTER (kind = 'trust'), 0), 9) AS trust, round(coalesce(sum(rank) FILTER (kind = 'distrust'), 0), 9) AS distrust FROM (SELECT kind, host, rank / sum(rank) OVER (PARTITION BY kind) AS rank FROM r{steps}) GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(given, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) AND coalesce(distrust, 0) > {url_graph.EVEN_SHARES}::DOUBLE / greatest(1, (SELECT count(DISTINCT host) FROM page WHERE host <> '')) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+mark AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM (SELECT kind, host, rank / sum(rank) OVER (PARTITION BY kind) * (SELECT n FROM hosts) AS rank FROM r{steps} WHERE NOT starts_with(host, '/')) GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * {margin}::DOUBLE AND coalesce(distrust, 0) > {url_graph.EVEN_SHARES * margin}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 4) AS trust, round(coalesce(distrust, 0), 4) AS distrust
 FROM ruled LEFT JOIN mark USING (host)"""
 
 
@@ -119,8 +120,9 @@ SHARDS = 24
 SHARDING = f"""
 WITH RECURSIVE crc AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(range(9), lambda v, k: CASE WHEN k = 0 THEN v WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, n) AS v FROM (SELECT unnest(range(256)) AS n))),
 bytes AS (SELECT doc_id, strlen(coalesce(text, '')) + {sharding.RECORD_BYTES} AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
-record AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(4294967295, list_reduce(b, lambda v, x: xor(v >> 8, t[CAST(xor(v, x) & 255 AS INTEGER) + 1]), 4294967295)) AS text_crc32,
-    CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || size), 1, 8) AS BIGINT) % {sharding.SLOTS} AS INTEGER) AS virtual_slot FROM bytes, crc),
+summed AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(4294967295, list_reduce(b, lambda v, x: xor(v >> 8, t[CAST(xor(v, x) & 255 AS INTEGER) + 1]), 4294967295)) AS text_crc32 FROM bytes, crc),
+record AS (SELECT doc_id, size, text_crc32, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || size || CASE WHEN copy > 0 THEN '/' || copy ELSE '' END), 1, 8) AS BIGINT) % {sharding.SLOTS} AS INTEGER) AS virtual_slot
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1 AS copy FROM summed)),
 size AS (SELECT CAST(s AS INTEGER) AS virtual_slot, CAST(s % {SHARDS} AS INTEGER) AS shard, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM (SELECT unnest(range({sharding.SLOTS})) AS s) LEFT JOIN record ON s = virtual_slot GROUP BY s),
 held AS (SELECT *, sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, virtual_slot ROWS UNBOUNDED PRECEDING) <= CAST(sum(bytes) OVER () AS DOUBLE) / {SHARDS} AS kept FROM size),
 queue AS (SELECT *, row_number() OVER (ORDER BY kept DESC, bytes DESC, virtual_slot) AS nth FROM held),

@@ -31,8 +31,8 @@ def canonical_url(url: Column) -> Column:
     rest = F.substring(bare, F.length(head) + 1, F.lit(2**30))
     path, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"^[^?]*\?(.*)$", 1)
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^{TRACKING}$"))), "&")
+    head = F.regexp_replace(head, r"^(?:(http://.*):80|(https://.*):443)$", "$1$2")  # the scheme's own default port
     head = F.regexp_replace(F.regexp_replace(head, r"^http://", "https://"), r"^https://www\.", "https://")
-    head = F.regexp_replace(head, r":(?:80|443)$", "")
     return F.concat(head, F.regexp_replace(path, r"/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
 
 
