@@ -11,10 +11,15 @@ from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cuts a growing lineage: df as Parquet in the folder that executors share, read again."""
+    """Cuts a growing lineage: df as Parquet in the folder that executors share, read again.
+
+    The folder is the one that spark.checkpoint.dir names; only in local mode, where none is named, a temporary one is set.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="loomstar-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/loomstar-{uuid.uuid4().hex}/{name}"
@@ -31,21 +36,28 @@ def latest_before(rows: DataFrame, keys: list[str], order: list[str], is_source:
     return rows.withColumn(name, F.last(F.when(F.col(is_source), F.col(value)), ignorenulls=True).over(before))
 
 
-def depths(nodes: DataFrame, group: str, order: str, node: str, parent: str, rounds: int = 40) -> DataFrame:
+def depths(nodes: DataFrame, group: str, order: str, node: str, parent: str) -> DataFrame:
     """group, order and depth of each row; a parent counts if it occurs earlier in the group, its latest row then.
 
-    Pointer doubling: after k rounds each row knows its ancestor 2**k steps up, so a chain of n takes log2(n) joins.
+    Rows that follow their parents directly form runs, whose places are counted by a window. Only the heads of runs are
+    then linked, by pointer doubling: after k rounds each knows the run 2**k steps up, so a chain of n runs takes
+    log2(n) joins, a plain conversation none. It ends, as each step goes up to an earlier row.
     """
     base = nodes.select(group, F.col(order).alias("_o"), F.col(node).alias("_n"), F.col(parent).alias("_p"))
-    both = base.select(group, F.col("_n").alias("_key"), "_o", F.lit(True).alias("_is"), F.col("_o").alias("_at")).unionByName(base.where("_p is not null").select(group, F.col("_p").alias("_key"), "_o", F.lit(False).alias("_is"), F.lit(None).cast("long").alias("_at").cast(dict(base.dtypes)["_o"]).alias("_at")))
+    both = base.select(group, F.col("_n").alias("_key"), "_o", F.lit(True).alias("_is"), F.col("_o").alias("_at")).unionByName(base.where("_p is not null").select(group, F.col("_p").alias("_key"), "_o", F.lit(False).alias("_is"), F.lit(None).cast(dict(base.dtypes)["_o"]).alias("_at")))
     linked = latest_before(both, [group, "_key"], ["_o", "_is"], "_is", "_at", "_up").where("not _is").select(group, "_o", "_up")
-    state = cut(base.select(group, "_o").join(linked, [group, "_o"], "left").select(group, "_o", "_up", F.col("_up").isNotNull().cast("int").alias("_d")), "depths")
-    for _ in range(rounds):
-        if state.where("_up is not null").limit(1).count() == 0:
-            break
-        above = state.select(group, F.col("_o").alias("_up"), F.col("_up").alias("_next"), F.col("_d").alias("_more"))
-        state = cut(state.join(above, [group, "_up"], "left").select(group, "_o", F.col("_next").alias("_up"), (F.col("_d") + F.coalesce("_more", F.lit(0))).alias("_d")), "depths")
-    return state.select(group, F.col("_o").alias(order), F.col("_d").alias("conversation_depth"))
+    by = Window.partitionBy(group).orderBy("_o")
+    rows = base.select(group, "_o").join(linked, [group, "_o"], "left")
+    rows = rows.withColumn("_head", F.coalesce(F.col("_up") != F.lag("_o").over(by), F.lit(True))).withColumn("_nth", F.row_number().over(by))
+    started = F.last(F.when(F.col("_head"), F.struct(F.col("_o").alias("run"), "_nth")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    rows = cut(rows.withColumn("_run", started).select(group, "_o", "_up", "_head", F.col("_run.run").alias("_run"), (F.col("_nth") - F.col("_run._nth")).alias("_place")), "runs")
+    above = rows.select(group, F.col("_o").alias("_up"), F.col("_run").alias("_next"), (F.col("_place") + 1).alias("_d"))
+    heads = rows.where("_head").select(group, "_run", "_up").join(above, [group, "_up"], "left")
+    state = cut(heads.select(group, "_run", F.col("_next").alias("_up"), F.coalesce("_d", F.lit(0)).alias("_d")), "depths")
+    while state.where("_up is not null").limit(1).count():
+        above = state.select(group, F.col("_run").alias("_up"), F.col("_up").alias("_next"), F.col("_d").alias("_more"))
+        state = cut(state.join(above, [group, "_up"], "left").select(group, "_run", F.col("_next").alias("_up"), (F.col("_d") + F.coalesce("_more", F.lit(0))).alias("_d")), "depths")
+    return rows.join(state.select(group, "_run", "_d"), [group, "_run"]).select(group, F.col("_o").alias(order), (F.col("_d") + F.col("_place")).cast("int").alias("conversation_depth"))
 
 
 def closure(edges: DataFrame, roots: DataFrame, recursive: bool = True, rounds: int | None = None) -> DataFrame:

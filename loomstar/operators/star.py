@@ -46,18 +46,22 @@ class Star:
     """The tables of a star schema over entries (see sources.transcripts), each a lazy DataFrame.
 
     Sessions with a broken entry are left out whole. truncate: characters of texts that are kept; thinking: whether
-    blocks of that kind are listed.
+    blocks of that kind are listed; keep: what several tables are made of (entries, their texts, blocks, tool calls) is
+    written once to the folder that executors share and read from there, so that transcripts are parsed once.
     """
 
-    def __init__(self, entries: DataFrame, truncate: int = fixed.TRUNCATE, thinking: bool = True):
-        self.spark, self.truncate, self.thinking = entries.sparkSession, truncate, thinking
-        said = transcripts.messages_only(entries)
-        self.entries = said.join(transcripts.broken_sessions(entries), "session_id", "left_anti")
+    def __init__(self, entries: DataFrame, truncate: int = fixed.TRUNCATE, thinking: bool = True, keep: bool = False):
+        self.spark, self.truncate, self.thinking, self.keep = entries.sparkSession, truncate, thinking, keep
+        said = self.kept_once(transcripts.messages_only(entries), "entries")
+        broken = transcripts.broken_sessions(said)
+        if keep and broken.limit(1).count() == 0:
+            self.entries = said
+        else:
+            self.entries = self.kept_once(said.join(broken, "session_id", "left_anti"), "entries")
         self.extra: dict[str, DataFrame] = {}
 
-    @cached_property
-    def blocks(self) -> DataFrame:
-        return transcripts.blocks(self.entries)
+    def kept_once(self, df: DataFrame, name: str) -> DataFrame:
+        return links.cut(df, name) if self.keep else df
 
     @cached_property
     def keyed(self) -> DataFrame:
@@ -68,19 +72,31 @@ class Star:
 
     @cached_property
     def placed(self) -> DataFrame:
-        """Blocks with the message they stand in."""
-        own = self.keyed.select("session_id", "line_no", "session_key", F.col("uuid").alias("message_id"), "ts", "date_key", "time_key", F.col("type").alias("message_type"))
-        return self.blocks.join(own, ["session_id", "line_no"])
+        """Blocks with the message they stand in; of uses the input as Python writes it, of results their text."""
+        own = self.keyed.select("session_id", "line_no", "content", "content_kind", "session_key", F.col("uuid").alias("message_id"), "ts", "date_key", "time_key", F.col("type").alias("message_type"))
+        rows = transcripts.blocks(own, ("session_key", "message_id", "ts", "date_key", "time_key", "message_type"))
+        listed = F.col("result").startswith("[") & F.from_json("result", "array<string>").isNotNull()
+        items = F.filter(F.from_json("result", "array<string>"), lambda x: x.startswith("{"))
+        text = F.when(listed, F.array_join(F.transform(items, lambda x: F.coalesce(F.get_json_object(x, "$.text"), F.lit(""))), " ")).otherwise(F.coalesce("result", F.lit("")))
+        given = F.when(F.col("type") == "tool_use", F.coalesce("input", F.lit("{}")))
+        return self.kept_once(rows.withColumn("full_output", F.when(F.col("type") == "tool_result", text)).withColumn("input_json", as_python_json(given)), "blocks")
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self.placed
 
     @cached_property
     def texts(self) -> DataFrame:
         """Entries with their text, and what their blocks are."""
-        kind = lambda t: F.coalesce(F.bool_or(F.col("type") == t), F.lit(False))
-        ordered = F.array_sort(F.collect_list(F.when(F.col("type") == "text", F.struct("block_idx", F.coalesce("text", F.lit("")).alias("text")))))
-        per = self.blocks.groupBy("session_id", "line_no").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("_text"), F.count(F.lit(1)).cast("int").alias("_n"), kind("tool_use").alias("_use"), kind("tool_result").alias("_result"), kind("thinking").alias("_think"))
-        rows = self.keyed.join(per, ["session_id", "line_no"], "left")
-        string, no = F.col("content_kind") == "string", F.lit(False)
-        return rows.withColumn("full_text", F.when(string, F.col("content")).otherwise(F.coalesce("_text", F.lit("")))).withColumn("content_block_count", F.when(string, 1).otherwise(F.coalesce("_n", F.lit(0)))).withColumn("has_tool_use", F.coalesce("_use", no)).withColumn("has_tool_result", F.coalesce("_result", no)).withColumn("has_thinking", F.coalesce("_think", no)).drop("_text", "_n", "_use", "_result", "_think")
+        items = F.filter(F.when(F.col("content_kind") == "array", F.from_json("content", "array<string>")), lambda x: x.startswith("{"))
+        none = F.array().cast("array<struct<type:string,text:string>>")
+        parsed = F.filter(F.transform(items, lambda x: F.from_json(x, "type string, text string")), lambda b: b.isNotNull())
+        rows = self.keyed.withColumn("_b", F.coalesce(parsed, none))
+        kind = lambda t: F.exists("_b", lambda b: F.coalesce(b["type"], F.lit("")) == t)
+        text = F.array_join(F.transform(F.filter("_b", lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), " ")
+        string = F.col("content_kind") == "string"
+        rows = rows.withColumn("full_text", F.when(string, F.col("content")).otherwise(text)).withColumn("content_block_count", F.when(string, 1).otherwise(F.size("_b")))
+        return self.kept_once(rows.withColumn("has_tool_use", kind("tool_use")).withColumn("has_tool_result", kind("tool_result")).withColumn("has_thinking", kind("thinking")).drop("_b"), "texts")
 
     @cached_property
     def response_times(self) -> DataFrame:
@@ -115,15 +131,12 @@ class Star:
     @cached_property
     def uses(self) -> DataFrame:
         """Tool calls as they were made."""
-        rows = self.placed.where("type = 'tool_use'").withColumn("tool_name", F.coalesce("name", F.lit("unknown"))).withColumn("input_json", as_python_json(F.coalesce("input", F.lit("{}"))))
+        rows = self.placed.where("type = 'tool_use'").withColumn("tool_name", F.coalesce("name", F.lit("unknown")))
         return rows.withColumn("tool_key", C.dimension_key(F.col("tool_name"))).withColumn("input_summary", F.substring("input_json", 1, self.truncate))
 
     @cached_property
     def results(self) -> DataFrame:
-        listed = F.col("result").startswith("[") & F.from_json("result", "array<string>").isNotNull()
-        items = F.filter(F.from_json("result", "array<string>"), lambda x: x.startswith("{"))
-        text = F.when(listed, F.array_join(F.transform(items, lambda x: F.coalesce(F.get_json_object(x, "$.text"), F.lit(""))), " ")).otherwise(F.coalesce("result", F.lit("")))
-        return self.placed.where("type = 'tool_result'").withColumn("full_output", text)
+        return self.placed.where("type = 'tool_result'")
 
     @cached_property
     def fact_tool_calls(self) -> DataFrame:
@@ -133,10 +146,11 @@ class Star:
         result = self.results.where("tool_use_id <> ''").select("session_id", "session_key", F.col("tool_use_id").alias("tool_call_id"), "line_no", "block_idx", F.lit(False).alias("_is"), F.struct("message_id", "full_output", "is_error").alias("_result"))
         both = use.unionByName(result, allowMissingColumns=True)
         rows = links.latest_before(both, ["session_id", "tool_call_id"], ["line_no", "block_idx"], "_is", "_use", "_made").where("not _is and _made is not null")
-        return rows.select(
+        calls = rows.select(
             "tool_call_id", "session_key", "_made.tool_key", "_made.date_key", "_made.time_key", F.col("_made.message_id").alias("invoke_message_id"), F.col("_result.message_id").alias("result_message_id"), F.col("_made.ts").alias("timestamp"),
             F.length("_made.input_json").alias("input_char_count"), F.length("_result.full_output").alias("output_char_count"), F.col("_result.is_error").alias("is_error"), "_made.input_json", "_made.input_summary", F.substring("_result.full_output", 1, self.truncate).alias("output_text"),
         )
+        return self.kept_once(calls, "tool_calls")
 
     @cached_property
     def fact_errors(self) -> DataFrame:
@@ -167,9 +181,8 @@ class Star:
     def fact_content_blocks(self) -> DataFrame:
         kinds = ["text", "tool_use", "tool_result", "thinking", "image"]
         listed = self.placed.where(F.col("type").isin(kinds) & (F.lit(self.thinking) | (F.col("type") != "thinking")))
-        listed = listed.join(self.results.select("session_id", "line_no", "block_idx", "full_output"), ["session_id", "line_no", "block_idx"], "left")
         cut = lambda x: F.substring(x, 1, self.truncate)
-        text = F.when(F.col("type") == "text", F.coalesce("text", F.lit(""))).when(F.col("type") == "thinking", F.coalesce("thinking", F.lit(""))).when(F.col("type") == "tool_use", cut(as_python_json(F.coalesce("input", F.lit("{}"))))).when(F.col("type") == "tool_result", cut(F.col("full_output"))).otherwise("[image]")
+        text = F.when(F.col("type") == "text", F.coalesce("text", F.lit(""))).when(F.col("type") == "thinking", F.coalesce("thinking", F.lit(""))).when(F.col("type") == "tool_use", cut(F.col("input_json"))).when(F.col("type") == "tool_result", cut(F.col("full_output"))).otherwise("[image]")
         arrays = listed.withColumn("_text", text).select("message_id", "session_key", F.col("type").alias("_type"), "date_key", "time_key", F.col("block_idx").alias("block_index"), F.when(F.col("type") == "image", 0).otherwise(F.length("_text")).alias("content_length"), cut(F.col("_text")).alias("content_text"), F.when(F.col("type") == "image", F.lit('{"type": "image", "note": "content omitted"}')).otherwise(F.col("raw")).alias("content_json"))
         strings = self.keyed.where("content_kind = 'string'").select(F.col("uuid").alias("message_id"), "session_key", F.lit("text").alias("_type"), "date_key", "time_key", F.lit(0).alias("block_index"), F.length("content").alias("content_length"), cut(F.col("content")).alias("content_text"), F.to_json(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))).alias("content_json"))
         rows = arrays.unionByName(strings)

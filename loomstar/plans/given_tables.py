@@ -76,12 +76,12 @@ class GivenStar(Star):
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.sf_dir, self.kept = sf_dir, {}
         conversations, events = read(spark, sf_dir, "conversations"), read(spark, sf_dir, "events")
-        super().__init__(cut(conversation_entries(conversations).unionByName(event_entries(events)), "entries"))
+        super().__init__(conversation_entries(conversations).unionByName(event_entries(events)), keep=True)
 
     def table(self, name: str) -> DataFrame:
         if name not in self.kept:
             df = super().table(name)
-            self.kept[name] = df if name in self.extra or name in self._seeds else cut(df, name)
+            self.kept[name] = df if name in self.extra or name in self._seeds or name == "fact_tool_calls" else cut(df, name)
         return self.kept[name]
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Relationships that the manifest declares.
@@ -33,6 +34,16 @@ def write_parquet(tables: dict[str, DataFrame], folder: str, partitions: dict[st
         df.write.mode("overwrite").partitionBy(*(partitions or {}).get(name, [])).parquet(f"{folder}/{name}")
 
 
+def write_counted(tables: dict[str, DataFrame], folder: str, kind: str = "parquet", place: Callable[[str], str] = str) -> dict[str, int]:
+    """Writes each table to a folder of its name (or where place says) and gives its rows, counted as they are written."""
+    counts = {}
+    for name, df in tables.items():
+        seen = Observation(name)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").format(kind).save(f"{folder}/{place(name)}")
+        counts[name] = seen.get["n"]
+    return counts
+
+
 def append_sessions(df: DataFrame, folder: str, key: str = "session_key", buckets: int = 64) -> None:
     """Adds a table's rows by session: earlier rows of the same sessions are replaced, a second run changes nothing.
 
@@ -56,11 +67,7 @@ def save_tables(tables: dict[str, DataFrame], database: str) -> None:
 
 def write_json(spark: SparkSession, tables: dict[str, DataFrame], folder: str, schema: str) -> DataFrame:
     """JSON Lines of each table, and a manifest with row counts, schema and declared relationships."""
-    counts = {}
-    for name, df in tables.items():
-        kind = "dimensions" if name.startswith("dim_") else "facts" if name.startswith("fact_") else "tables"
-        df.write.mode("overwrite").json(f"{folder}/{kind}/{name}")
-        counts[name] = spark.read.schema(df.schema).json(f"{folder}/{kind}/{name}").count()
+    counts = write_counted(tables, folder, "json", lambda n: f"{'dimensions' if n.startswith('dim_') else 'facts' if n.startswith('fact_') else 'tables'}/{n}")
     known = [r for r in RELATIONSHIPS if r[0] in tables and r[2] in tables]
     meta = {"version": "1.0", "schema_type": schema, "row_counts": counts, "relationships": [dict(zip(("from_table", "from_column", "to_table", "to_column"), r, strict=True)) for r in known]}
     out = spark.createDataFrame([(json.dumps(meta),)], "value string").withColumn("exported_at", F.current_timestamp())
@@ -81,13 +88,13 @@ def write_failed(spark: SparkSession, entries: DataFrame, folder: str, told: int
 
 def archive(spark: SparkSession, source: str, folder: str, schema: str = "star", include_agents: bool = False, thinking: bool = True, truncate: int = 2000) -> dict:
     """Reads all transcripts below a folder, writes the tables, and tells what was done; broken sessions are told, not loaded."""
+    from loomstar.operators.links import cut
     from loomstar.operators.simple import simple_tables
     from loomstar.operators.star import Star
     from loomstar.sources import transcripts
 
-    entries = transcripts.read_entries(spark, source)
+    entries = cut(transcripts.read_entries(spark, source), "entries")  # the files are parsed once
     if not include_agents:
         entries = entries.where(~F.col("session_id").startswith("agent-"))
-    tables = Star(entries, truncate, thinking).tables() if schema == "star" else simple_tables(entries, truncate, include_thinking=thinking)
-    write_parquet(tables, folder)
-    return {"schema": schema, "tables": {n: spark.read.parquet(f"{folder}/{n}").count() for n in tables}, **write_failed(spark, entries, folder)}
+    tables = Star(entries, truncate, thinking, keep=True).tables() if schema == "star" else simple_tables(entries, truncate, include_thinking=thinking)
+    return {"schema": schema, "tables": write_counted(tables, folder), **write_failed(spark, entries, folder)}

@@ -96,12 +96,11 @@ def broken_sessions(entries: DataFrame) -> DataFrame:
     return messages_only(entries).where("not has_message").select("session_id").distinct()
 
 
-def blocks(entries: DataFrame) -> DataFrame:
-    """Content blocks that are JSON objects, with their place among all elements; a string content is one text block."""
-    whole = entries.where("content_kind = 'array'").select("session_id", "line_no", F.posexplode(F.from_json("content", "array<string>")).alias("block_idx", "raw"))
+def blocks(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Content blocks that are JSON objects, with their place among all elements and the columns of keep; a string content is one text block."""
+    whole = entries.where("content_kind = 'array'").select("session_id", "line_no", *keep, F.posexplode(F.from_json("content", "array<string>")).alias("block_idx", "raw"))
     whole = whole.where(F.col("raw").startswith("{")).withColumn("b", F.from_json("raw", BLOCK)).where("b is not null")
-    rows = whole.select("session_id", "line_no", "block_idx", "b.type", "b.text", "b.id", "b.name", "b.input", "b.tool_use_id", F.col("b.content").alias("result"), F.coalesce("b.is_error", F.lit(False)).alias("is_error"), "b.thinking", "raw")
-    return rows
+    return whole.select("session_id", "line_no", *keep, "block_idx", "b.type", "b.text", "b.id", "b.name", "b.input", "b.tool_use_id", F.col("b.content").alias("result"), F.coalesce("b.is_error", F.lit(False)).alias("is_error"), "b.thinking", "raw")
 
 
 def session_metadata(entries: DataFrame) -> DataFrame:
