@@ -13,7 +13,7 @@ from loomstar.functions.arrow import entity_mentions
 from loomstar.operators import conversation, enrichment, inspection, links, numbering, semantic
 from loomstar.operators.simple import simple_tables
 from loomstar.operators.star import VIEWS
-from loomstar.plans import catalogue, oracle
+from loomstar.plans import catalogue, oracle, planted, planted_queries
 from loomstar.plans.given_tables import GivenStar, conversation_entries, read, star
 from loomstar.sources import transcripts
 
@@ -96,6 +96,27 @@ def anti_unenriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.pending(s.table("fact_messages"), s.table("fact_message_enrichment").where("confidence_score > 0.5"), s.table("dim_message_type")).select("message_id", "session_key")
 
 
+# The dimensions whose rows are given, with how often facts use each.
+
+USES = {
+    "dim_intent": ("fact_message_enrichment", "intent_key"),
+    "dim_sentiment": ("fact_message_enrichment", "sentiment_key"),
+    "dim_topic": ("fact_message_topics", "topic_key"),
+    "dim_message_type": ("fact_messages", "message_type_key"),
+    "dim_content_block_type": ("fact_content_blocks", "content_block_type_key"),
+    "dim_error_type": ("fact_errors", "error_type_key"),
+    "dim_entity_type": ("fact_entity_mentions", "entity_type_key"),
+}
+for _table, (_fact, _key) in USES.items():
+    def _used(spark, d, t=_table, f=_fact, k=_key):
+        s = planted.star(spark, d) if t == "dim_entity_type" else enriched(spark, d)
+        n = s.table(f).groupBy(k).agg(F.count(F.lit(1)).alias("n"))
+        return rounded(s.table(t).join(n, k, "left").withColumn("n", F.coalesce("n", F.lit(0))))
+
+    _given, _from = ("* REPLACE (round(CAST(valence AS DOUBLE), 4) AS valence)" if _table == "dim_sentiment" else "*"), ("pmention" if _table == "dim_entity_type" else _fact)
+    query(f"SELECT d.{_given}, (SELECT count(*) FROM {_from} f WHERE f.{_key} = d.{_key}) AS n FROM {_table} d", _table)(_used)
+
+
 # The catalogue and the pre-joined views.
 
 for _name in catalogue.CATALOGUE:
@@ -341,3 +362,7 @@ def quartiles_and_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = rows.groupBy("c_mktsegment").agg(F.sum("c_acctbal").alias("_sum"))
     placed = numbering.ntile(rows, 4, ["c_acctbal", "c_custkey"], "quartile")
     return placed.join(sums, "c_mktsegment").select("c_custkey", "quartile", F.round(F.col("c_acctbal") * 100.0 / F.col("_sum"), 6).alias("share"))
+
+
+QUERIES.update(planted_queries.QUERIES)
+SQL.update(planted_queries.SQL)
