@@ -1,8 +1,9 @@
 """License scans: TF-IDF cosine of header lines and licence texts to templates, then inheritance from the nearest ancestor directory.
 
-1. Lines that speak of a licence are taken from the whole text, and their sentences where they have several (of very
-   long lines the sentences alone). Each distinct one becomes a sparse TF-IDF vector, with document frequencies over all
-   distinct lines and templates, and gets the template with the highest cosine, if that reaches the threshold.
+1. Lines of the whole text, and the sentences of a line that has several, are sparse TF-IDF vectors of words, with the
+   document frequencies of the header templates; each gets the template with the highest cosine, if that reaches the
+   threshold. A line without an anchor isn't weighed: the words of a template that aren't anchors have together a length
+   under the threshold, so that no line without an anchor can reach it.
 2. Licence bodies and standard headers, however wrapped, commented or embedded, are found as blocks: stretches of a
    text of which the runs of three words occur in the templates of licence_texts, with short gaps for names. A block's
    sparse vector of such runs gets the template with the highest cosine in the same way; a run that no template has
@@ -21,6 +22,9 @@ the licence; an empty table gives an empty result. Further columns are ignored.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -29,9 +33,8 @@ from pyspark.sql.window import Window
 
 from loomstar.llm import common
 
-SPEAKS = r"(?i)licen[cs]|copyright|spdx|all rights reserved|public domain|permission is hereby"
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
-LONG_LINE, THRESHOLD, FILE_SHARE = 400, 0.5, 0.2
+THRESHOLD, FILE_SHARE = 0.5, 0.2
 #: Headers as licences ask for them, by their SPDX names (fixed values).
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -60,41 +63,59 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, r"(^|/)[^/]*$", "")
 
 
-def licence_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, path and line of each line that speaks of a licence, and of its sentences if it has several, from whole texts.
+def tokens(line: Column) -> Column:
+    return F.regexp_extract_all(F.translate(line, common.UPPER, common.LOWER), F.lit(TOKEN), F.lit(0))
+
+
+def header_vectors(templates: dict[str, str]) -> tuple[dict[str, float], dict[str, dict[str, float]], float]:
+    """Weight of each word of the templates, their vectors (of length 1), and the weight of a word that none has."""
+    counts = {k: Counter(re.findall(TOKEN, v.translate(str.maketrans(common.UPPER, common.LOWER)))) for k, v in templates.items()}
+    often = Counter(t for c in counts.values() for t in c)
+    weight = lambda n: math.log((len(templates) + 1.0) / (n + 1.0)) + 1.0
+    words = {t: weight(n) for t, n in often.items()}
+    norms = {k: math.sqrt(sum((n * words[t]) ** 2 for t, n in c.items())) for k, c in counts.items()}
+    return words, {k: {t: n * words[t] / norms[k] for t, n in c.items()} for k, c in counts.items()}, weight(0)
+
+
+def anchors(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]:
+    """Words of which each line that reaches the threshold has one: what they leave of a vector is shorter than it."""
+    found: set[str] = set()
+    for vector in vectors.values():
+        rest = 0.0
+        for token, x in sorted(vector.items(), key=lambda e: (e[1], e[0])):
+            rest += x * x
+            if rest > (threshold - 1e-6) ** 2:
+                found.add(token)
+    return sorted(found)
+
+
+def licence_lines(docs: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id, path, _print, line, of each line with one of the words, and of its sentences with one if it has several, from whole texts.
 
     _whole and _part: counts among whole lines, among sentences.
     """
-    rows = docs.where(F.col("text").rlike(SPEAKS)).select("doc_id", "path", F.xxhash64("text").alias("_print"), F.explode(F.split("text", "\n")).alias("line"))
-    rows = rows.where(F.col("line").rlike(SPEAKS)).withColumn("_parts", F.split("line", r"(?<=[.!?])\s+(?=\p{Lu})"))
+    has = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in words) + r")(?![a-z0-9])"
+    rows = docs.select("doc_id", "path", F.xxhash64("text").alias("_print"), F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(has))
+    parts = F.split(F.regexp_replace("line", r"([.!?])\s+(\p{Lu})", "$1\u001e$2"), "\u001e")
+    rows = rows.withColumn("_parts", parts)
     piece = lambda whole, part: lambda x: F.struct(x.alias("line"), F.lit(whole).alias("_whole"), F.lit(part).alias("_part"))
-    parts, line = F.transform("_parts", piece(False, True)), F.array(F.col("line"))
-    pieces = F.when(F.length("line") > LONG_LINE, F.transform("_parts", piece(True, True))).when(F.size("_parts") > 1, F.concat(F.transform(line, piece(True, False)), parts)).otherwise(F.transform(line, piece(True, True)))
-    return rows.select("doc_id", "path", "_print", F.inline(pieces)).where(F.col("line").rlike(SPEAKS))
-
-
-def tokens(line: Column) -> Column:
-    return F.regexp_extract_all(F.translate(line, common.UPPER, common.LOWER), F.lit(TOKEN), F.lit(0))
+    line = F.array(F.col("line"))
+    pieces = F.when(F.size("_parts") > 1, F.concat(F.transform(line, piece(True, False)), F.transform("_parts", piece(False, True)))).otherwise(F.transform(line, piece(True, True)))
+    return rows.select("doc_id", "path", "_print", F.inline(pieces)).where(F.col("line").rlike(has))
 
 
 def best_templates(lines: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """line, licence, similarity of every distinct line that has a template at the threshold or over it."""
-    spark = lines.sparkSession
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("licence"), F.lit(v).alias("line")) for k, v in templates.items()]))
-    models = spark.range(1).select(pairs.alias("t")).select("t.licence", "t.line")
-    both = models.select("licence", "line").unionByName(lines.select(F.lit(None).cast("string").alias("licence"), "line").distinct())
-    terms = both.select("licence", "line", F.explode(tokens(F.col("line"))).alias("token")).groupBy("licence", "line", "token").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = both.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    weighed = terms.join(frequency, "token").withColumn("w", F.col("tf") * (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0))
-    weighed = common.written(weighed.select("licence", "line", "token", "w"), "licence_terms")
-    norms = weighed.groupBy("licence", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vectors = weighed.where("licence is not null").join(norms.where("licence is not null").select("licence", "norm"), "licence")
-    vectors = vectors.select(F.col("licence").alias("template"), "token", (F.col("w") / F.col("norm")).alias("t"))  # as many rows as the templates have words
-    dots = weighed.where("licence is null").join(F.broadcast(vectors), "token").groupBy("line", "template").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
-    cosine = dots.join(norms.where("licence is null").select("line", "norm"), "line").select("line", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = cosine.groupBy("line").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "template")).alias("b"))
-    return best.select("line", F.col("b.template").alias("licence"), (-F.col("b.s")).alias("similarity"))
+    """_line and _length of every distinct line that has a template at the threshold or over it, its licence, similarity, and _often it occurs."""
+    words, vectors, unknown = header_vectors(templates)
+    names = sorted(vectors)
+    known = lines.sparkSession.createDataFrame([(t, w, [vectors[k].get(t, 0.0) for k in names]) for t, w in words.items()], "token string, idf double, shares array<double>")
+    distinct = lines.groupBy("_line", "_length").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("_often"))
+    terms = distinct.select("_line", "_length", "_often", F.explode(tokens(F.col("line"))).alias("token")).groupBy("_line", "_length", "_often", "token").agg(F.count(F.lit(1)).alias("tf"))
+    terms = terms.join(F.broadcast(known), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    dots = [F.sum(F.col("w") * F.coalesce(F.col("shares")[i], F.lit(0.0))) for i in range(len(names))]
+    sums = terms.groupBy("_line", "_length", "_often").agg(F.sum(F.col("w") * F.col("w")).alias("square"), F.array(*dots).alias("dots"))
+    best = F.array_min(F.array(*[F.struct((-F.round(F.col("dots")[i] / F.sqrt("square"), 9)).alias("s"), F.lit(k).alias("licence")) for i, k in enumerate(names)]))
+    return sums.select("_line", "_length", "_often", best.alias("b")).select("_line", "_length", "_often", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def spdx_tags(docs: DataFrame) -> DataFrame:
@@ -119,28 +140,35 @@ def block_templates() -> list[tuple[str, bool, str]]:
     return [(p.stem.split(".header")[0], ".header" not in p.stem, p.read_text("utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
 
 
-def runs_of(text: Column) -> Column:
-    """The runs of RUN words of a text, in their order; null at its last words. No lambda holds the words, so they are found once."""
-    w = tokens(text)
-    later = [F.slice(w, i + 1, 2**30).alias(f"w{i}") for i in range(RUN)]
-    return F.transform(F.arrays_zip(*later), lambda x: F.concat(*[y for i in range(RUN) for y in (F.lit(" "), x[f"w{i}"])][1:]))
+def block_vectors(found: list[tuple[str, bool, str]]) -> list[tuple]:
+    """(words of a run, its weight, its share of each template's vector of length 1) of all runs of the templates."""
+    counts = []
+    for _, _, text in found:
+        w = re.findall(TOKEN, text.translate(str.maketrans(common.UPPER, common.LOWER)))
+        counts.append(Counter(zip(*(w[i:] for i in range(RUN)), strict=False)))
+    often = Counter(r for c in counts for r in c)
+    idf = {r: math.log((len(found) + 1.0) / (n + 1.0)) + 1.0 for r, n in often.items()}
+    norms = [math.sqrt(sum((n * idf[r]) ** 2 for r, n in c.items())) for c in counts]
+    return [(list(r), x, {i: c[r] * x / norms[i] for i, c in enumerate(counts) if r in c}) for r, x in idf.items()]
 
 
 def licence_blocks(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, path, _print, licence, similarity, words and is_body of each block that has a template at the threshold or over it."""
-    spark, found = docs.sparkSession, block_templates()
-    models = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(text).alias("text")) for i, (_, _, text) in enumerate(found)])).alias("m"))
-    terms = common.written(models.select("m.t", F.explode(runs_of(F.col("m.text"))).alias("run")).where("run is not null").groupBy("t", "run").agg(F.count(F.lit(1)).alias("tf")), "licence_runs")
-    unknown = F.log(F.lit(len(found) + 1.0)) + 1.0  # weight of a run that no template has
-    frequency = terms.groupBy("run").agg((F.log((F.lit(len(found)) + 1.0) / (F.count(F.lit(1)) + 1.0)) + 1.0).alias("idf"))
-    weighed = terms.join(frequency, "run").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vectors = weighed.join(norms, "t").groupBy("run", "idf").agg(F.map_from_entries(F.collect_list(F.struct("t", (F.col("w") / F.col("norm")).alias("share")))).alias("shares"))
-    vectors = common.written(vectors, "licence_vectors")  # as many rows as the templates have runs
+    found = block_templates()
+    unknown = math.log(len(found) + 1.0) + 1.0  # weight of a run that no template has
+    vectors = docs.sparkSession.createDataFrame(block_vectors(found), "run array<string>, idf double, shares map<int, double>")
+    vectors = common.written(vectors.withColumn("key", F.xxhash64(*[F.col("run")[i] for i in range(RUN)])), "licence_vectors")  # as many rows as the templates have runs
 
     doc = ["doc_id", "path", "_print"]
-    rows = docs.where(F.col("text").rlike(SPEAKS)).select("doc_id", "path", F.xxhash64("text").alias("_print"), "text").select(*doc, F.posexplode(runs_of(F.col("text"))).alias("at", "run"))
-    hits = rows.join(F.broadcast(vectors.select("run")), "run").groupBy(*doc, "at", "run").agg(F.lit(1).alias("n"))  # repeated rows once
+    rows = docs.select("doc_id", "path", F.xxhash64("text").alias("_print"), tokens(F.col("text")).alias("_w")).where(F.size("_w") >= RUN)
+    rows = rows.select(*doc, "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - RUN)).alias("at"))
+    here = [F.col("_w")[F.col("at") + i] for i in range(RUN)]
+    known = F.broadcast(vectors.select("key", F.col("run").alias("_run")))
+    same = F.xxhash64(*here) == F.col("key")
+    for i in range(RUN):
+        same = same & (here[i] == F.col("_run")[i])
+    hits = rows.join(known, same).select(*doc, "at", F.col("_run").alias("run"))
+    hits = hits.groupBy(*doc, "at", "run").agg(F.lit(1).alias("n"))  # repeated rows once
     by = Window.partitionBy(*doc).orderBy("at")
     hits = hits.withColumn("_b", F.lag("at").over(by)).withColumn("_a", F.lead("at").over(by)).where("_b = at - 1 or _a = at + 1")  # a single common run tells nothing
     hits = hits.withColumn("_new", F.coalesce(F.col("at") - F.lag("at").over(by) > GAP, F.lit(True)).cast("int")).withColumn("block", F.sum("_new").over(by))
@@ -157,12 +185,16 @@ def licence_blocks(docs: DataFrame, threshold: float) -> DataFrame:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """doc_id, path, own_licence, similarity, licence (own or inherited), basis (header, file, inherited, none), from_directory."""
-    found = licence_lines(docs)
-    matched = best_templates(found, templates or TEMPLATES, threshold)
+    templates = templates or TEMPLATES
+    found = licence_lines(docs, anchors(header_vectors(templates)[1], threshold))
+    found = common.written(found.withColumn("_line", F.xxhash64("line")).withColumn("_length", F.length("line")), "licence_lines")  # the texts are cut once
+    matched = common.written(best_templates(found, templates, threshold), "licences_of_lines")
     words, none = F.size(F.split("line", r"\s+")), F.lit(0)
     bare = F.when(F.col("licence") == "Proprietary", 3).otherwise(2)  # a copyright line says less than any named licence
     doc = ["doc_id", "path", "_print", "licence", "similarity"]
-    lines = found.join(matched, "line").select(*doc, bare.alias("place"), F.when(F.col("_whole"), words).otherwise(none).alias("whole"), F.when(F.col("_part"), words).otherwise(none).alias("parts"), none.alias("body"))
+    key = F.concat_ws("/", "_line", "_length").alias("_key")
+    lines = common.spread_join(found.select("*", key), matched.select(key, "licence", "similarity", "_often"), "_key", "_often", found.count())
+    lines = lines.select(*doc, bare.alias("place"), F.when(F.col("_whole"), words).otherwise(none).alias("whole"), F.when(F.col("_part"), words).otherwise(none).alias("parts"), none.alias("body"))
     blocks = licence_blocks(docs, threshold).select(*doc, F.lit(1).alias("place"), none.alias("whole"), none.alias("parts"), F.when(F.col("is_body"), F.col("words")).otherwise(none).alias("body"))
     tags = spdx_tags(docs).withColumn("similarity", F.lit(1.0)).select(*doc, F.lit(0).alias("place"), none.alias("whole"), none.alias("parts"), none.alias("body"))
     by_doc = lines.unionByName(blocks).unionByName(tags).groupBy("doc_id", "path", "_print").agg(F.min(F.struct("place", (-F.col("similarity")).alias("s"), "licence")).alias("b"), F.greatest(F.sum("whole"), F.sum("parts")).alias("_words"), F.sum("body").alias("_body"))
@@ -177,7 +209,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
     nearest = rows.where("own_licence is null and directory is not null").select("directory").distinct().withColumn("ancestor", F.explode(F.array_distinct(above))).join(given, "ancestor")
     nearest = nearest.groupBy("directory").agg(F.max(F.struct(F.length("ancestor").alias("n"), "ancestor", "given")).alias("x")).select("directory", F.col("x.ancestor").alias("from_directory"), F.col("x.given").alias("given"))
-    out = rows.join(nearest, "directory", "left")
+    every = rows.where("directory is not null").groupBy("directory").agg(F.count(F.lit(1)).alias("_files")).join(nearest, "directory", "left")
+    out = common.spread_join(rows, every, "directory", "_files", rows.count())
+    out = out.unionByName(rows.where("directory is null"), allowMissingColumns=True)
     has = F.col("own_licence").isNotNull()
     basis = F.when(has & F.col("is_file"), "file").when(has, "header").when(F.col("given").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", "own_licence", "similarity", F.coalesce("own_licence", "given").alias("licence"), basis.alias("basis"), F.when(~has, F.col("from_directory")).alias("from_directory"))

@@ -53,21 +53,41 @@ SELECT doc_id, piece, n_tokens, bucket, CAST(number // size AS BIGINT) AS batch,
 
 
 TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in licences.TEMPLATES.items())
-#: Lines longer than licences.LONG_LINE are cut into sentences by the operator, which takes look-around; the tables have none that speak of a licence.
+BODIES = ", ".join("({}, '{}', {}, '{}')".format(i, name, body, text.replace("'", "''")) for i, (name, body, text) in enumerate(licences.block_templates()))
+SPDX_NAMES = ", ".join(f"'{n}'" for n in sorted({*licences.TEMPLATES, *(n for n, _, _ in licences.block_templates())} - {"Proprietary"}))
+TOKENS = lambda text: f"regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '{licences.TOKEN}')"
+#: Every line and sentence is weighed here, without anchors; then blocks of runs, SPDX identifiers, and directories.
 LICENCES = f"""
-WITH file AS (SELECT doc_id, text, source || CASE WHEN doc_id % 100 = 0 THEN '' WHEN doc_id % 10 = 0 THEN '/' || lang ELSE '/' || lang || '/d' || (doc_id % 97) END AS directory FROM documents),
-line AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM file) WHERE regexp_matches(line, '{licences.SPEAKS}')),
-unit AS (SELECT licence, line FROM (VALUES {TEMPLATES}) AS v(licence, line) UNION ALL SELECT DISTINCT NULL, line FROM line),
-term AS (SELECT licence, line, token, count(*) AS tf FROM (SELECT licence, line, unnest(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{licences.TOKEN}')) AS token FROM unit) GROUP BY ALL),
-df AS (SELECT token, count(*) AS df FROM term GROUP BY token),
-w AS (SELECT licence, line, token, tf * (ln(((SELECT count(*) FROM unit) + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0::DOUBLE) AS w FROM term JOIN df USING (token)),
-norm AS (SELECT licence, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-vec AS (SELECT w.licence AS template, token, w / norm AS t FROM w JOIN norm ON w.licence = norm.licence WHERE w.licence IS NOT NULL),
-dot AS (SELECT line, template, sum(w * t) AS dot FROM w JOIN vec USING (token) WHERE licence IS NULL GROUP BY ALL),
-cosine AS (SELECT dot.line, template, round(dot / norm, 9) AS similarity FROM dot JOIN norm ON dot.line = norm.line AND norm.licence IS NULL),
-best AS (SELECT line, template, similarity FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY similarity DESC, template) AS nth FROM cosine WHERE similarity >= {licences.THRESHOLD}) WHERE nth = 1),
-own AS (SELECT doc_id, arg_min(template, (-similarity, template)) AS own_licence, max(similarity) AS similarity, sum(len(regexp_split_to_array(line, '\\s+'))) AS words FROM line JOIN best USING (line) GROUP BY doc_id),
-f AS (SELECT doc_id, directory, own_licence, similarity, words >= len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) * CAST({licences.FILE_SHARE} AS DOUBLE) AS is_file FROM file LEFT JOIN own USING (doc_id)),
+WITH file AS MATERIALIZED (SELECT doc_id, text, source || CASE WHEN doc_id % 100 = 0 THEN '' WHEN doc_id % 10 = 0 THEN '/' || lang ELSE '/' || lang || '/d' || (doc_id % 97) END AS directory FROM documents),
+template AS (SELECT licence, token, count(*) AS tf FROM (SELECT licence, unnest({TOKENS("line")}) AS token FROM (VALUES {TEMPLATES}) AS v(licence, line)) GROUP BY ALL),
+idf AS (SELECT token, ln({len(licences.TEMPLATES) + 1}.0::DOUBLE / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM template GROUP BY token),
+vec AS (SELECT licence, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY licence)) AS t FROM template JOIN idf USING (token)),
+line AS (SELECT doc_id, line, string_split(regexp_replace(line, '([.!?])\\s+(\\p{{Lu}})', '\\1' || chr(30) || '\\2', 'g'), chr(30)) AS parts FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM file)),
+piece AS MATERIALIZED (SELECT doc_id, line, TRUE AS whole, len(parts) = 1 AS part FROM line UNION ALL SELECT doc_id, unnest(parts), FALSE, TRUE FROM line WHERE len(parts) > 1),
+term AS (SELECT line, token, count(*) AS tf FROM (SELECT line, unnest({TOKENS("line")}) AS token FROM (SELECT DISTINCT line FROM piece)) GROUP BY ALL),
+w AS (SELECT line, token, tf * coalesce(idf, ln({len(licences.TEMPLATES) + 1}.0::DOUBLE) + 1.0::DOUBLE) AS w FROM term LEFT JOIN idf USING (token)),
+norm AS (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY line),
+cosine AS (SELECT line, licence, round(sum(w * t) / any_value(norm), 9) AS similarity FROM w JOIN vec USING (token) JOIN norm USING (line) GROUP BY line, licence),
+best AS (SELECT line, arg_min(licence, (-similarity, licence)) AS licence, max(similarity) AS similarity FROM cosine WHERE similarity >= {licences.THRESHOLD} GROUP BY line),
+body AS (SELECT t, licence, is_body, list_transform(range(1, len(w) - {licences.RUN - 2}), lambda i: array_to_string(w[i:i + {licences.RUN - 1}], ' ')) AS runs FROM (SELECT t, licence, is_body, {TOKENS("text")} AS w FROM (VALUES {BODIES}) AS v(t, licence, is_body, text))),
+brun AS (SELECT t, run, count(*) AS tf FROM (SELECT t, unnest(runs) AS run FROM body) GROUP BY ALL),
+ridf AS (SELECT run, ln(((SELECT count(*) FROM body) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM brun GROUP BY run),
+rvec AS (SELECT t, run, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS share FROM brun JOIN ridf USING (run)),
+drun AS (SELECT doc_id, pos, array_to_string(w[pos:pos + {licences.RUN - 1}], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - {licences.RUN - 2})) AS pos FROM (SELECT doc_id, {TOKENS("text")} AS w FROM file))),
+hit AS (SELECT doc_id, pos, run FROM (SELECT doc_id, pos, run, lag(pos) OVER o AS b, lead(pos) OVER o AS a FROM drun SEMI JOIN ridf USING (run) WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE b = pos - 1 OR a = pos + 1),
+block AS (SELECT doc_id, pos, run, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= {licences.GAP} THEN 0 ELSE 1 END AS fresh FROM hit)),
+bterm AS (SELECT doc_id, block, run, count(*) AS tf, min(pos) AS first, max(pos) AS last FROM block GROUP BY ALL),
+bsum AS (SELECT doc_id, block, sum(tf) AS runs, max(last) - min(first) + 1 AS span, sum(tf * idf * tf * idf) AS square FROM bterm JOIN ridf USING (run) GROUP BY ALL HAVING sum(tf) >= {licences.LEAST_RUNS}),
+bdot AS (SELECT doc_id, block, t, sum(tf * idf * share) AS dot FROM bterm JOIN ridf USING (run) JOIN rvec USING (run) GROUP BY ALL),
+bcos AS (SELECT doc_id, block, span, licence, is_body, round(dot / sqrt(square + (span - bsum.runs) * power(ln((SELECT count(*) FROM body) + 1.0::DOUBLE) + 1.0::DOUBLE, 2)), 9) AS similarity FROM bdot JOIN bsum USING (doc_id, block) JOIN body USING (t)),
+bbest AS (SELECT doc_id, span + {licences.RUN - 1} AS words, b.licence AS licence, b.similarity AS similarity, b.is_body AS is_body FROM (SELECT doc_id, block, any_value(span) AS span, arg_min({{'licence': licence, 'similarity': similarity, 'is_body': is_body}}, (-similarity, licence, is_body)) AS b FROM bcos GROUP BY doc_id, block) WHERE b.similarity >= {licences.THRESHOLD}),
+expression AS (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_extract_all(text, '{licences.SPDX}', 1)), '(?i)\\bWITH +\\S+', '', 'g'), '[()]', ' ', 'g') AS e FROM file),
+tag AS (SELECT doc_id, regexp_replace(unnest(list_distinct(list_concat([regexp_extract(e, '^\\s*(\\S+)', 1)], regexp_extract_all(e, '(?i)\\b(?:AND|OR)\\s+(\\S+)', 1)))), '(?i)(?:-only|-or-later|\\+)$|[.\\-]+$', '') AS licence FROM expression),
+named AS (SELECT doc_id, coalesce(list_filter([{SPDX_NAMES}], lambda n: lower(n) = lower(licence))[1], licence) AS licence FROM tag WHERE regexp_matches(licence, '^[A-Za-z0-9]') AND upper(licence) NOT IN ('NONE', 'NOASSERTION') AND NOT starts_with(upper(licence), 'LICENSEREF')),
+found AS (SELECT doc_id, CASE WHEN licence = 'Proprietary' THEN 3 ELSE 2 END AS place, licence, similarity, CASE WHEN whole THEN words ELSE 0 END AS whole, CASE WHEN part THEN words ELSE 0 END AS parts, 0 AS body FROM (SELECT *, len(regexp_split_to_array(line, '\\s+')) AS words FROM piece JOIN best USING (line))
+    UNION ALL SELECT doc_id, 1, licence, similarity, 0, 0, CASE WHEN is_body THEN words ELSE 0 END FROM bbest UNION ALL SELECT doc_id, 0, licence, 1.0, 0, 0, 0 FROM named),
+own AS (SELECT doc_id, arg_min(licence, (place, -similarity, licence)) AS own_licence, arg_min(similarity, (place, -similarity, licence)) AS similarity, greatest(sum(whole), sum(parts)) AS words, sum(body) AS body FROM found GROUP BY doc_id),
+f AS (SELECT doc_id, directory, own_licence, similarity, coalesce(words > 0 AND words >= n * CAST({licences.FILE_SHARE} AS DOUBLE) OR body > 0 AND body >= n * CAST({licences.BODY_SHARE} AS DOUBLE), FALSE) AS is_file FROM (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM file LEFT JOIN own USING (doc_id))),
 given AS (SELECT directory AS ancestor, arg_min(own_licence, (-similarity, own_licence)) AS given FROM f WHERE is_file GROUP BY 1),
 near AS (SELECT directory, arg_max(ancestor, length(ancestor)) AS from_directory, arg_max(given, length(ancestor)) AS given FROM (SELECT DISTINCT directory FROM f WHERE own_licence IS NULL) JOIN given ON directory = ancestor OR starts_with(directory, ancestor || '/') GROUP BY 1)
 SELECT doc_id, f.directory || '/' || doc_id || '.txt' AS path, own_licence, similarity, coalesce(own_licence, given) AS licence,
