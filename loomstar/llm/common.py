@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The name of a slot hash that any SQL engine can repeat: the first 32 bits of an MD5.
 HEX_DIGITS = 8
+#: A key is hot with more than one in so many of all rows.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, other: DataFrame, key: str, often: str, total: int) -> DataFrame:
+    """rows joined to other by a key without sending a hot key's rows to one task.
+
+    often: a column of other, how many of the total rows have the key. A key with more than one in HOT of them is hot, so
+    fewer than HOT keys are, and their side is broadcast; the others meet in a shuffle.
+    """
+    hot = F.broadcast(other.where(F.col(often) * HOT > total))
+    cold = rows.join(F.broadcast(other.where(F.col(often) * HOT > total).select(key).distinct()), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(other.where(F.col(often) * HOT <= total), key))
+
+
 def md5_slot(key: Column, slots: int) -> Column:
     """A slot of 0 to slots - 1 from the first 32 bits of the key's MD5."""
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("long") % F.lit(slots)).cast("int")

@@ -9,12 +9,13 @@
    similarity of the full sets confirms. Links give components.
 4. What a centre can't settle is done exactly: the full sets of the classes in lists that still span several
    components get lists of their own, with the prefix and place bounds that hold for every linked pair. Rounds of
-   CENTRES members of each list are tried with the others of other components, and leave it, until a list lies in one
-   component or has SHORT members at most; only members of such short lists meet each other, within the bounds.
+   CENTRES members (then twice as many, and so on) of each list are tried with the others of other components, and leave
+   it, until a list lies in one component or has SHORT members at most. Only in such short lists do members meet each
+   other, within the bounds, so that each is tried with fewer than SHORT others of a list.
 
 So no list but a short one is expanded into pairs, and no link between different texts is lost but with the chance that
-two texts at the threshold share fewer than LEAST of K values (3.4e-8 for large sets). Keys that hold more than one in
-HOT of all rows (fewer than HOT of them, so their side is broadcast) are joined apart from the others.
+two texts at the threshold share fewer than LEAST of K values (3.4e-8 for large sets). Joins by values and classes
+keep hot keys apart (common.spread_join).
 
 Edge cases: a null or wordless text is linked with nothing; equal texts are one class; repeated rows and repeated or
 null ids are told apart by their row; ids are taken as long integers; a component's id is its smallest id, null if it has
@@ -24,6 +25,7 @@ none; an empty table gives an empty result. Further columns are ignored, or kept
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ K, LEAST, ESTIMATE = 48, 22, 0.45
 KNOWN_WORDS = 400_000
 #: Ids of suspects that are broadcast at most (16 bytes each and the table's overhead); beyond, a shuffle joins them.
 BROADCAST_IDS = 1_000_000
-#: A key is hot with more than one in HOT of all rows; members tried in a round; members of a list that meet each other.
-HOT, CENTRES, SHORT = 1000, 16, 32
+#: Members of a long list tried in the first round (twice as many in each further one); members of a list that meet each other.
+CENTRES, SHORT = 32, 256
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -66,16 +68,6 @@ def shingle_hashes(words: list[bytes], known: WordHashes, size: int = WORDS) ->
     return np.unique((mixed * MIX[0]).view(np.int64))
 
 
-def spread_join(rows: DataFrame, other: DataFrame, key: str, often: str, total: int) -> DataFrame:
-    """rows joined to other by a key without sending a hot key's rows to one task.
-
-    often: a column of other, how many of the total rows have the key. Fewer than HOT keys can be hot.
-    """
-    hot = F.broadcast(other.where(F.col(often) * HOT > total))
-    cold = rows.join(F.broadcast(other.where(F.col(often) * HOT > total).select(key).distinct()), key, "left_anti")
-    return rows.join(hot, key).unionByName(cold.join(other.where(F.col(often) * HOT <= total), key))
-
-
 def sketched(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
     """doc_id, hash of the text, fingerprint of the word sequence, n_shingles and the sketch of each row."""
 
@@ -121,7 +113,7 @@ def lists(sets: DataFrame, column: str, k: int | None) -> DataFrame:
     """value, node, n_shingles and place (from 0, rarest values first) of the listed values that several sets have."""
     rows = sets.select("node", "n_shingles", F.size(column).alias("_held"), F.explode(column).alias("value"))
     often = common.written(rows.groupBy("value").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1"), "often")
-    rows = spread_join(rows, often, "value", "_df", often.agg(F.sum("_df")).first()[0] or 0)
+    rows = common.spread_join(rows, often, "value", "_df", often.agg(F.sum("_df")).first()[0] or 0)
     by = Window.partitionBy("node")
     place = F.col("_held") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("_df", "value")) - 1  # values that no other has come first
     least = four_fifths(F.col("n_shingles"))
@@ -158,7 +150,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("m", "u"))
-        large = spread_join(both, least, "u", "_n", 2 * (before[0] if before else edges.count())).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.spread_join(both, least, "u", "_n", 2 * (before[0] if before else edges.count())).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = common.written(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
@@ -196,31 +188,32 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame
     least = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
     label = common.written(label.join(least, "component").select("fingerprint", "component", "component_id", "copies"), "labels")
     some, none = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
-    out = spread_join(some, label, "fingerprint", "copies", rows.count()).drop("copies")
+    out = common.spread_join(some, label, "fingerprint", "copies", rows.count()).drop("copies")
     out = out.unionByName(none.withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id")))
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row", "text_hash", "component")
 
 
 def settled(exact: DataFrame, links: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Components after all links that the exact lists hold: rounds of centres in long lists, then pairs in the short ones."""
-    while True:
+    for step in count():
         apart = common.written(exact.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
         state = apart.groupBy("value").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b").select("value", "_n")
         state = common.written(state, "open_lists")
         total = apart.count()
-        apart = common.written(spread_join(apart, state, "value", "_n", total), "apart")
+        apart = common.written(common.spread_join(apart, state, "value", "_n", total), "apart")
         long = apart.where(F.col("_n") > SHORT)
         if long.limit(1).count() == 0:
             break
-        centre = common.written(centres(long), "centres")
-        pairs = stars(long, centre, "component", total)
-        links = common.written(links.union(confirmed(pairs, sets)), "confirmed")
-        found = common.written(components(links), "components")
+        centre = common.written(centres(long, CENTRES << step), "centres")
+        more = common.written(confirmed(stars(long, centre, "component", total), sets), "confirmed")
+        if more.limit(1).count():
+            links = links.union(more)
+            found = common.written(components(links), "components")
         exact = common.written(apart.join(centre.select("value", F.col("c.node").alias("node")), ["value", "node"], "left_anti").select("value", "node", "n_shingles", "place"), "exact_lists")
     return components(links.union(confirmed(across(apart), sets)))
 
 
-def centres(listed: DataFrame, number: int = CENTRES) -> DataFrame:
+def centres(listed: DataFrame, number: int) -> DataFrame:
     """value, c (place, node, n_shingles, component) and _n, the members of the list, of at most number members of each list.
 
     They are the members whose own values are the least rare among those of equal hash.
@@ -239,7 +232,7 @@ def stars(listed: DataFrame, centre: DataFrame | None = None, apart: str | None
         centre = listed.groupBy("value").agg(F.min(F.struct("place", "node", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
         total = listed.count()
     other = F.col(apart) != F.col(f"c.{apart}") if apart else F.col("node") != F.col("c.node")
-    pairs = spread_join(listed.drop("_n"), centre, "value", "_n", total).where(other).select("node", "n_shingles", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size"))
+    pairs = common.spread_join(listed.drop("_n"), centre, "value", "_n", total).where(other).select("node", "n_shingles", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size"))
     return pairs.where(alike_sizes("n_shingles", "centre_size")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomstar.llm import common
@@ -90,11 +90,12 @@ def walks(edges: DataFrame, seeds: DataFrame, both_ways: DataFrame | None = None
         moved = rank.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
         rank = moved.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if step % CUT_EVERY == 0:
-            rank = common.written(rank, "ranks")
-            apart = rank.union(before.select("kind", "host", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("d"))
-            if (apart.agg(F.sum("d").alias("d")).first()["d"] or 0.0) < tolerance:
+            change, zero = Observation(), F.lit(0.0)
+            both = rank.withColumn("_old", zero).union(before.select("kind", "host", zero, "rank")).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("_old").alias("_old"))
+            both = both.observe(change, F.sum(F.abs(F.col("rank") - F.col("_old"))).alias("all")).select("kind", "host", "rank")
+            before = rank = common.written(both, "ranks")
+            if (change.get["all"] or 0.0) < tolerance:
                 break
-            before = rank
     return in_shares(rank)
 
 
