@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstar.functions.columns import matches_project
-from loomstar.operators import inspection, simple
+from loomstar.operators import inspection, links, simple
 from loomstar.operators.star import Star
 from loomstar.plans import catalogue
 from loomstar.sources import sinks, transcripts
 
 
+def tell(rows: DataFrame) -> None:
+    """Every row as a line of JSON; partitions come one by one."""
+    for r in rows.select(F.to_json(F.struct("*")).alias("line")).toLocalIterator():
+        print(r["line"])
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="loomstar")
     sub = top.add_subparsers(dest="command", required=True)
@@ -46,27 +53,26 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("loomstar").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if given.command == "import":
         tables = simple.from_account_export(spark, given.source, given.conversation, not given.no_thinking)
-        sinks.write_parquet(tables, given.output)
-        print(json.dumps({n: spark.read.parquet(f"{given.output}/{n}").count() for n in tables}))
+        print(json.dumps(sinks.write_counted(tables, given.output)))
     elif given.command == "schema":
         lines = given.path.endswith(".jsonl")
-        (inspection.inspect_lines(spark, given.path, given.samples) if lines else inspection.inspect_folder(spark, given.path)).orderBy("path", "kind").show(1000, False)
+        tell((inspection.inspect_lines(spark, given.path, given.samples) if lines else inspection.inspect_folder(spark, given.path)).orderBy("path", "kind"))
     elif given.command == "query":
-        catalogue.run(spark, given.name, Star(transcripts.read_entries(spark, given.source)).table).show(100, False)
+        tell(catalogue.run(spark, given.name, Star(transcripts.read_entries(spark, given.source), keep=True).table))
     else:
         entries = transcripts.read_entries(spark, given.source).where(matches_project(F.element_at(F.split("project_path", "/"), -1), given.project))
         if not given.include_agents:
             entries = entries.where(~F.col("session_id").startswith("agent-"))
         kind, form = sinks.resolve_format(given.format, given.schema)
         if given.dry_run:
-            transcripts.messages_only(entries).groupBy("project_path", "session_id").count().orderBy("project_path", "session_id").show(1000, False)
+            tell(transcripts.messages_only(entries).groupBy("project_path", "session_id").count().orderBy("project_path", "session_id"))
             return
-        tables = Star(entries, thinking=given.include_thinking).tables() if kind == "star" else simple.simple_tables(entries, include_thinking=given.include_thinking)
-        if form == "json":
-            sinks.write_json(spark, tables, given.output, kind)
-        else:
-            sinks.write_parquet(tables, given.output)
-        print(json.dumps({"schema": kind, "tables": sorted(tables), **sinks.write_failed(spark, entries, given.output)}))
+        began = time.perf_counter()
+        entries = links.cut(entries, "entries")  # the files are parsed once
+        tables = Star(entries, thinking=given.include_thinking, keep=True).tables() if kind == "star" else simple.simple_tables(entries, include_thinking=given.include_thinking)
+        counts = sinks.write_json(spark, tables, given.output, kind) if form == "json" else sinks.write_counted(tables, given.output)
+        done = sinks.statistics(spark, given.output, counts, time.perf_counter() - began)
+        print(json.dumps({"schema": kind, "tables": sorted(tables), **done, **sinks.write_failed(spark, entries, given.output)}))
 
 
 if __name__ == "__main__":

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from loomstar.functions import fixed
 
+#: What every mention has something of; texts without any need not go to Python.
+MAY_NAME = r"/|:\\|def|func|const|class|interface|struct|import|from|require|E[0-9]|ERR_|Error|Exception|[a-f0-9]{7}|HEAD|main|master|develop"
 MENTION = "array<struct<entity_type string, entity_text string, context_snippet string, position_start int, position_end int>>"
 
 

@@ -120,6 +120,19 @@ def matches_terms(text: Column, query: str) -> Column:
     return reduce(lambda a, b: a & b, [F.contains(F.lower(text), F.lit(t)) for t in terms], F.lit(True))
 
 
+def is_json_like(text: Column) -> Column:
+    """Whether a text, without the spaces around it, is in braces or brackets."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return (bare.startswith("{") & bare.endswith("}")) | (bare.startswith("[") & bare.endswith("]"))
+
+
+def is_tool_result_message(content: Column) -> Column:
+    """Whether a content is a JSON array of tool results, at least one, and of nothing else."""
+    items = F.from_json(content, "array<string>")
+    own = F.forall(items, lambda x: x.startswith("{") & F.coalesce(F.get_json_object(x, "$.type") == "tool_result", F.lit(False)))
+    return F.coalesce((F.size(items) > 0) & own, F.lit(False))
+
+
 def message_anchor(timestamp: Column) -> Column:
     return F.when(F.coalesce(timestamp, F.lit("")) == "", "").otherwise(F.concat(F.lit("msg-"), F.translate(timestamp, ":.", "--")))
 

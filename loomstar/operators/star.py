@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from loomstar.functions import columns as C
 from loomstar.functions import fixed
-from loomstar.functions.arrow import as_python_json, entity_mentions
+from loomstar.functions.arrow import MAY_NAME, as_python_json, entity_mentions
 from loomstar.operators import links
 from loomstar.sources import transcripts
 
@@ -199,7 +199,7 @@ class Star:
 
     @cached_property
     def fact_entity_mentions(self) -> DataFrame:
-        rows = self.texts.where("full_text <> ''").select(F.col("uuid").alias("message_id"), "session_key", F.explode(entity_mentions("full_text")).alias("m"))
+        rows = self.texts.where(F.col("full_text").rlike(MAY_NAME)).select(F.col("uuid").alias("message_id"), "session_key", F.explode(entity_mentions("full_text")).alias("m"))
         key = C.dimension_key(F.col("message_id"), F.col("m.entity_type"), F.col("m.position_start"))
         return rows.select(key.alias("mention_id"), "message_id", "session_key", C.dimension_key(F.col("m.entity_type")).alias("entity_type_key"), "m.entity_text", F.lower("m.entity_text").alias("entity_normalized"), "m.context_snippet", "m.position_start", "m.position_end")
 

@@ -65,14 +65,31 @@ def save_tables(tables: dict[str, DataFrame], database: str) -> None:
         df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
 
 
-def write_json(spark: SparkSession, tables: dict[str, DataFrame], folder: str, schema: str) -> DataFrame:
-    """JSON Lines of each table, and a manifest with row counts, schema and declared relationships."""
+def write_json(spark: SparkSession, tables: dict[str, DataFrame], folder: str, schema: str) -> dict[str, int]:
+    """JSON Lines of each table, and a manifest with row counts, schema and declared relationships; gives the counts."""
     counts = write_counted(tables, folder, "json", lambda n: f"{'dimensions' if n.startswith('dim_') else 'facts' if n.startswith('fact_') else 'tables'}/{n}")
     known = [r for r in RELATIONSHIPS if r[0] in tables and r[2] in tables]
     meta = {"version": "1.0", "schema_type": schema, "row_counts": counts, "relationships": [dict(zip(("from_table", "from_column", "to_table", "to_column"), r, strict=True)) for r in known]}
     out = spark.createDataFrame([(json.dumps(meta),)], "value string").withColumn("exported_at", F.current_timestamp())
     out.coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
-    return out
+    return counts
+
+
+def write_search_index(spark: SparkSession, documents: DataFrame, folder: str, version: int = 1) -> int:
+    """What a search reads: the documents (conversation.search_documents) as JSON Lines, and a line with version and count beside them."""
+    n = write_counted({"documents": documents}, folder, "json")["documents"]
+    spark.createDataFrame([(version, n)], "version int, documents long").coalesce(1).write.mode("overwrite").json(f"{folder}/version")
+    return n
+
+
+def statistics(spark: SparkSession, folder: str, counts: dict[str, int], seconds: float) -> dict:
+    """Sessions, rows of the main tables, size on disk and sessions a second of an archive that took so long."""
+    star = "fact_messages" in counts
+    main = ("fact_messages", "fact_tool_calls", "fact_content_blocks", "fact_session_summary") if star else ("messages", "tool_calls", "sessions")
+    sessions = counts["dim_session" if star else "sessions"]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return {"sessions": sessions, "rows": sum(counts[t] for t in main), "size_mb": round(size / 2**20, 2), "seconds": round(seconds, 1), "rate": round(sessions / max(seconds, 1e-9), 2)}
 
 
 def write_failed(spark: SparkSession, entries: DataFrame, folder: str, told: int = 1000) -> dict:

@@ -87,6 +87,11 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(raw.select(F.url_decode(stem).alias("session_id"), F.url_decode(folder).alias("project_path"), F.posexplode(items).alias("line_no", "line")))
 
 
+def read_session(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of one transcript in either form, by its suffix: .jsonl has lines, any other is one JSON document."""
+    return read_entries(spark, path) if path.endswith(".jsonl") else read_document(spark, path)
+
+
 def messages_only(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("type").isin("user", "assistant"))
 
