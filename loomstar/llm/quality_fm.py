@@ -5,7 +5,8 @@ minus the sum of (v x) squared, so that a text is scored in time linear in its d
 
 Edge cases: a null text counts as an empty one; an empty text has its statistics alone and still gets a score; null
 metadata add nothing; repeated rows are scored each; an empty table gives an empty result; without labelled rows of
-both classes the score is the share of label 1 (0.5 without any). Further columns are ignored, or kept by name.
+both classes the score is the share of label 1 (0.5 without any); ids of training rows are long integers. Further columns
+are ignored, or kept by name.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ labels, and the same scorer then locates the offending sentences.
 
 Edge cases: a null or empty text has no sentence and score 0 before the share of label 1 is allowed for, so 0 after;
 repeated rows are scored each; an empty table gives an empty result; without labelled rows of both classes every text
-that has a sentence gets the share of label 1. Further columns are ignored, or kept by name.
+that has a sentence gets the share of label 1; ids of training rows and of locate() are long integers. Further columns are
+ignored, or kept by name.
 """
 
 from __future__ import annotations

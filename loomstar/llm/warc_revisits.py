@@ -1,8 +1,9 @@
 """WARC revisits that say not modified: each is resolved to the latest earlier full response of its canonical url.
 
-It is an as-of join. A window over a url's records would send a hot url to one task, so a url's time is cut into
-spans: only a url's records of one span meet, and what holds at a span's start comes from a table with a row for each
-url and span. Validators are then checked (entity tags with the weak comparison, else the modification time), and the
+It is an as-of join. A window over a url's records would send a hot url to one task, so a url's seconds (one row for each
+that has records, with its last response) are cut into spans: a window holds the seconds of one span at most, and what
+holds at a span's start comes from a table with a row for each url and span. Revisits then find their second by a join
+that keeps hot ones apart. Validators are then checked (entity tags with the weak comparison, else the modification time), and the
 headers that a 304 may renew are merged over the response's.
 
 Edge cases: a record without url or time is resolved to nothing; a response of the same instant counts as earlier, of
@@ -53,16 +54,21 @@ def resolve(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     """
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", F.coalesce("headers", none).alias("headers"))
-    rows = rows.withColumn("span", F.floor(F.col("ts") / span_seconds))
+    rows = common.written(rows.withColumn("span", F.floor(F.col("ts") / span_seconds)), "captures")
     full = F.when(F.col("kind") == "response", F.struct("ts", F.col("record_id").alias("id"), "headers"))
-    placed = rows.where("canonical_url is not null and ts is not null").withColumn("_full", full)
-    last = placed.where("kind = 'response'").groupBy("canonical_url", "span").agg(F.max_by("_full", F.struct("ts", "record_id")).alias("_last"))
-    spans = placed.select("canonical_url", "span").distinct().join(last, ["canonical_url", "span"], "left")
+    placed = rows.where("canonical_url is not null and ts is not null")
+    last = F.max_by(full, F.when(F.col("kind") == "response", F.col("record_id")))
+    seconds = placed.groupBy("canonical_url", "span", "ts").agg(last.alias("_full"), F.count_if(F.col("kind") == "revisit").alias("_n"))
+    seconds = common.written(seconds, "seconds_of_urls")
+    spans = seconds.groupBy("canonical_url", "span").agg(F.max_by("_full", F.when(F.col("_full").isNotNull(), F.col("ts"))).alias("_last"))
     before = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     held = spans.select("canonical_url", "span", F.last("_last", ignorenulls=True).over(before).alias("_held"))
-    within = Window.partitionBy("canonical_url", "span").orderBy("ts", F.col("kind") == "revisit", "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    found = placed.withColumn("_own", F.last("_full", ignorenulls=True).over(within)).where("kind = 'revisit'").drop("_full", "kind")
-    found = found.join(held, ["canonical_url", "span"], "left").withColumn("r", F.coalesce("_own", "_held"))
+    within = Window.partitionBy("canonical_url", "span").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    key = F.concat_ws(" ", "ts", "canonical_url").alias("_key")
+    known = seconds.withColumn("_own", F.last("_full", ignorenulls=True).over(within)).join(held, ["canonical_url", "span"], "left")
+    known = known.where("_n > 0").select(key, F.coalesce("_own", "_held").alias("r"), "_n")
+    revisits = placed.where("kind = 'revisit'").select("record_id", "canonical_url", "ts", "headers", key)
+    found = common.spread_join(revisits, known, "_key", "_n", revisits.count())
     lost = rows.where("kind = 'revisit' and (canonical_url is null or ts is null)").select("record_id", "canonical_url", "ts", "headers")
     found = found.select("record_id", "canonical_url", "ts", "headers", "r").unionByName(lost, allowMissingColumns=True)
     old, new = F.col("r.headers"), F.col("headers")
