@@ -60,14 +60,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread_join(rows: DataFrame, other: DataFrame, key: str, often: str, total: int) -> DataFrame:
-    """rows joined to other by a key without sending a hot key's rows to one task.
+    """rows joined to other, a written table, by a key without sending a hot key's rows to one task.
 
     often: a column of other, how many of the total rows have the key. A key with more than one in HOT of them is hot, so
     fewer than HOT keys are, and their side is broadcast; the others meet in a shuffle.
     """
-    hot = F.broadcast(other.where(F.col(often) * HOT > total))
-    cold = rows.join(F.broadcast(other.where(F.col(often) * HOT > total).select(key).distinct()), key, "left_anti")
-    return rows.join(hot, key).unionByName(cold.join(other.where(F.col(often) * HOT <= total), key))
+    hot = other.where(F.col(often) * HOT > total)
+    if hot.limit(1).count() == 0:
+        return rows.join(other, key)
+    cold = rows.join(F.broadcast(hot.select(key).distinct()), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(other.where(F.col(often) * HOT <= total), key))
 
 
 def md5_slot(key: Column, slots: int) -> Column:

@@ -210,7 +210,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     nearest = rows.where("own_licence is null and directory is not null").select("directory").distinct().withColumn("ancestor", F.explode(F.array_distinct(above))).join(given, "ancestor")
     nearest = nearest.groupBy("directory").agg(F.max(F.struct(F.length("ancestor").alias("n"), "ancestor", "given")).alias("x")).select("directory", F.col("x.ancestor").alias("from_directory"), F.col("x.given").alias("given"))
     every = rows.where("directory is not null").groupBy("directory").agg(F.count(F.lit(1)).alias("_files")).join(nearest, "directory", "left")
-    out = common.spread_join(rows, every, "directory", "_files", rows.count())
+    out = common.spread_join(rows, common.written(every, "directories"), "directory", "_files", rows.count())
     out = out.unionByName(rows.where("directory is null"), allowMissingColumns=True)
     has = F.col("own_licence").isNotNull()
     basis = F.when(has & F.col("is_file"), "file").when(has, "header").when(F.col("given").isNotNull(), "inherited").otherwise("none")

@@ -8,12 +8,13 @@
    smallest K values of both sketches that both have estimates the similarity and filters; the exact Jaccard
    similarity of the full sets confirms. Links give components.
 4. What a centre can't settle is done exactly: the full sets of the classes in lists that still span several
-   components get lists of their own, with the prefix and place bounds that hold for every linked pair. Rounds of
-   CENTRES members (then twice as many, and so on) of each list are tried with the others of other components, and leave
-   it, until a list lies in one component or has SHORT members at most. Only in such short lists do members meet each
-   other, within the bounds, so that each is tried with fewer than SHORT others of a list.
+   components get lists of their own, with the prefix and place bounds that hold for every linked pair. By these the
+   smaller of two linked sets has the list's value in its first ninth; such members are inner ones, and only they are
+   tried with others. Rounds of CENTRES inner members (then twice as many, and so on) of each long list are tried with
+   the others of other components, and leave it, until a list lies in one component or has SHORT inner members at most.
+   Members of such short lists meet its inner ones, within the bounds, so each is tried with SHORT others at most.
 
-So no list but a short one is expanded into pairs, and no link between different texts is lost but with the chance that
+So no list is expanded into all its pairs, and no link between different texts is lost but with the chance that
 two texts at the threshold share fewer than LEAST of K values (3.4e-8 for large sets). Joins by values and classes
 keep hot keys apart (common.spread_join).
 
@@ -41,8 +42,9 @@ K, LEAST, ESTIMATE = 48, 22, 0.45
 KNOWN_WORDS = 400_000
 #: Ids of suspects that are broadcast at most (16 bytes each and the table's overhead); beyond, a shuffle joins them.
 BROADCAST_IDS = 1_000_000
-#: Members of a long list tried in the first round (twice as many in each further one); members of a list that meet each other.
+#: Inner members of a long list tried in the first round (twice as many in each further one); inner members of a short list at most.
 CENTRES, SHORT = 32, 256
+INNER = "9 * place <= n_shingles"
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -150,7 +152,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("m", "u"))
-        large = common.spread_join(both, least, "u", "_n", 2 * (before[0] if before else edges.count())).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.spread_join(both, common.written(least, "least"), "u", "_n", 2 * (before[0] if before else edges.count())).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = common.written(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
@@ -197,53 +199,48 @@ def settled(exact: DataFrame, links: DataFrame, found: DataFrame, sets: DataFram
     """Components after all links that the exact lists hold: rounds of centres in long lists, then pairs in the short ones."""
     for step in count():
         apart = common.written(exact.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-        state = apart.groupBy("value").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b").select("value", "_n")
-        state = common.written(state, "open_lists")
+        state = apart.groupBy("value").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count_if(F.expr(INNER)).alias("_inner"), F.count(F.lit(1)).alias("_n")).where("_a <> _b and _inner > 0")
+        state = common.written(state.select("value", "_inner", "_n"), "open_lists")
         total = apart.count()
         apart = common.written(common.spread_join(apart, state, "value", "_n", total), "apart")
-        long = apart.where(F.col("_n") > SHORT)
+        long = apart.where(F.col("_inner") > SHORT)
         if long.limit(1).count() == 0:
             break
-        centre = common.written(centres(long, CENTRES << step), "centres")
-        more = common.written(confirmed(stars(long, centre, "component", total), sets), "confirmed")
+        centre = common.written(centres(long.where(INNER), CENTRES << step), "centres")
+        more = common.written(confirmed(tried(long, centre, total), sets), "confirmed")
         if more.limit(1).count():
             links = links.union(more)
             found = common.written(components(links), "components")
-        exact = common.written(apart.join(centre.select("value", F.col("c.node").alias("node")), ["value", "node"], "left_anti").select("value", "node", "n_shingles", "place"), "exact_lists")
-    return components(links.union(confirmed(across(apart), sets)))
+        exact = common.written(apart.join(centre.select("value", F.col("x").alias("node")), ["value", "node"], "left_anti").select("value", "node", "n_shingles", "place"), "exact_lists")
+    return components(links.union(confirmed(tried(apart, as_inner(apart.where(INNER)), total), sets)))
 
 
-def centres(listed: DataFrame, number: int) -> DataFrame:
-    """value, c (place, node, n_shingles, component) and _n, the members of the list, of at most number members of each list.
+def as_inner(rows: DataFrame) -> DataFrame:
+    """Members as one side of a pair: value, x, xc, xn, xp, and _n, the members of the list."""
+    return rows.select("value", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n_shingles").alias("xn"), F.col("place").alias("xp"), "_n")
 
-    They are the members whose own values are the least rare among those of equal hash.
-    """
+
+def centres(listed: DataFrame, number: int) -> DataFrame:
+    """At most number members of each list, as_inner: those whose own values are the least rare among those of equal hash."""
     part = F.pmod(F.xxhash64("node"), F.lit(number))
     best = listed.groupBy("value", part.alias("_part")).agg(F.min(F.struct("place", "node", "n_shingles", "component")).alias("c"), F.max("_n").alias("_n"))
-    return best.select("value", "c", "_n")
+    return as_inner(best.select("value", "c.place", "c.node", "c.n_shingles", "c.component", "_n"))
 
 
-def stars(listed: DataFrame, centre: DataFrame | None = None, apart: str | None = None, total: int | None = None) -> DataFrame:
-    """Pairs (a, b) of each list's members with its centres; by default with the member whose own values are the least rare.
+def tried(listed: DataFrame, inner: DataFrame, total: int) -> DataFrame:
+    """Pairs (a, b) of inner members (as_inner) and of members of other components of their lists that the place bound allows."""
+    need = F.col("xn") + F.col("n_shingles")  # 9 x overlap >= 4 x sum of the sizes, where J >= 0.8
+    bound = (F.least(F.col("xn") - F.col("xp"), F.col("n_shingles") - F.col("place")) * 9 >= need * 4) & alike_sizes("xn", "n_shingles")
+    pairs = common.spread_join(listed.drop("_n"), inner, "value", "_n", total).where((F.col("component") != F.col("xc")) & bound)
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
-    apart: a column in which the two must differ.
-    """
-    if centre is None:
-        centre = listed.groupBy("value").agg(F.min(F.struct("place", "node", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        total = listed.count()
-    other = F.col(apart) != F.col(f"c.{apart}") if apart else F.col("node") != F.col("c.node")
-    pairs = common.spread_join(listed.drop("_n"), centre, "value", "_n", total).where(other).select("node", "n_shingles", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size"))
-    return pairs.where(alike_sizes("n_shingles", "centre_size")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-
-
-def across(exact: DataFrame) -> DataFrame:
-    """Pairs of members of one short list and of different components that the place bound allows."""
-    x = exact.select("value", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n_shingles").alias("xn"), F.col("place").alias("xp"))
-    y = exact.select("value", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n_shingles").alias("yn"), F.col("place").alias("yp"))
-    need = F.col("xn") + F.col("yn")  # 9 x overlap >= 4 x sum of the sizes, where J >= 0.8
-    bound = (F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) * 9 >= need * 4) & alike_sizes("xn", "yn")
-    pairs = x.join(y, "value").where((F.col("xc") != F.col("yc")) & (F.col("x") < F.col("y")) & bound)
-    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+def stars(listed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's members with its centre, the member whose own values are the least rare."""
+    centre = listed.groupBy("value").agg(F.min(F.struct("place", "node", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    pairs = common.spread_join(listed, common.written(centre, "centres"), "value", "_n", listed.count()).where(F.col("node") != F.col("c.node"))
+    pairs = pairs.where(alike_sizes("n_shingles", "c.n_shingles"))
+    return pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:

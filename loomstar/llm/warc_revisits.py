@@ -66,7 +66,7 @@ def resolve(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     within = Window.partitionBy("canonical_url", "span").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     key = F.concat_ws(" ", "ts", "canonical_url").alias("_key")
     known = seconds.withColumn("_own", F.last("_full", ignorenulls=True).over(within)).join(held, ["canonical_url", "span"], "left")
-    known = known.where("_n > 0").select(key, F.coalesce("_own", "_held").alias("r"), "_n")
+    known = common.written(known.where("_n > 0").select(key, F.coalesce("_own", "_held").alias("r"), "_n"), "responses_of_seconds")
     revisits = placed.where("kind = 'revisit'").select("record_id", "canonical_url", "ts", "headers", key)
     found = common.spread_join(revisits, known, "_key", "_n", revisits.count())
     lost = rows.where("kind = 'revisit' and (canonical_url is null or ts is null)").select("record_id", "canonical_url", "ts", "headers")
