@@ -5,26 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cuts a growing lineage: df as Parquet in the folder that executors share, read again.
-
-    The folder is the one that spark.checkpoint.dir names; only in local mode, where none is named, a temporary one is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share, as spark.checkpoint.dir names it; only in local mode, where none is named, a temporary one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="loomstar-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/loomstar-{uuid.uuid4().hex}/{name}"
+    return folder
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Cuts a growing lineage: df as Parquet in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/loomstar-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def latest_before(rows: DataFrame, keys: list[str], order: list[str], is_source: str, value: str, name: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstar.functions import fixed
 from loomstar.operators import conversation, inspection, simple
+from loomstar.operators.links import shared_folder
 from loomstar.plans import catalogue, oracle, planted
 from loomstar.plans.given_tables import read
-from loomstar.sources import transcripts
+from loomstar.sources import sinks, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -158,6 +161,46 @@ def simple_thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple.simple_tables(planted.star(spark, sf_dir).all_entries, include_thinking=True)["thinking"]
 
 
+# Sinks, written below the shared folder and read again.
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/loomstar-{uuid.uuid4().hex}/{name}"
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_told, count(*) AS n_read FROM {own}" for t, own in (("fact_tool_calls", "pcall"), ("fact_code_blocks", "pcode"), ("dim_programming_language", "planguage"), ("fact_messages", "pmessage"))))
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables as JSON Lines: the rows that the manifest tells, and those read again."""
+    s, folder = planted.star(spark, sf_dir), fresh_folder(spark, "json")
+    tables = {t: s.table(t) for t in ("fact_tool_calls", "fact_code_blocks", "dim_programming_language", "fact_messages")}
+    sinks.write_json(spark, tables, folder, "star")
+    told = F.from_json(F.get_json_object("value", "$.row_counts"), "map<string, bigint>")
+    told = spark.read.json(f"{folder}/meta").select(F.explode(told).alias("table_name", "n_told"))
+    kinds = {t: "dimensions" if t.startswith("dim_") else "facts" for t in tables}
+    read_again = [spark.read.schema(df.schema).json(f"{folder}/{kinds[t]}/{t}").agg(F.count(F.lit(1)).alias("n_read")).select(F.lit(t).alias("table_name"), "n_read") for t, df in tables.items()]
+    return told.join(reduce(DataFrame.union, read_again), "table_name")
+
+
+@query("SELECT tool_call_id, session_key, output_char_count, is_error FROM pcall")
+def session_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table added to by session, twice, and a third time in part: later runs replace the rows of their sessions."""
+    calls, folder = planted.star(spark, sf_dir).table("fact_tool_calls").select("tool_call_id", "session_key", "output_char_count", "is_error"), fresh_folder(spark, "sessions")
+    for rows in (calls, calls, calls.where(F.col("session_key") < "8")):
+        sinks.append_sessions(rows, folder)
+    return spark.read.parquet(folder).select(calls.columns)
+
+
+@query("SELECT id, type, role = 'user' AS of_user FROM (SELECT session_id || '#' || t || '#' || block_idx AS id, type, role FROM pb) WHERE id IS NOT NULL")
+def search_index_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with a name of their own as documents of an index, read again."""
+    entries, blocks = all_entries(spark, sf_dir)
+    rows = blocks.join(entries.select("session_id", "line_no", F.col("type").alias("role")), ["session_id", "line_no"])
+    docs, folder = rows.select(F.concat_ws("#", "session_id", (F.col("line_no") / 3).cast("int"), "block_idx").alias("id"), "type", (F.col("role") == "user").alias("of_user")), fresh_folder(spark, "index")
+    n = sinks.write_search_index(spark, docs, folder)
+    found = spark.read.schema(docs.schema).json(f"{folder}/documents")
+    return found.where(F.lit(n) > 0)
+
+
 # Conversations, timelines, search.
 
 

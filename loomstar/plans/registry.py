@@ -350,7 +350,7 @@ _rows = " ".join(f"WHEN '{t}' THEN (SELECT count(*) FROM {t})" for t in MODELLED
     CASE WHEN rel THEN to_table END AS related_table, CASE WHEN rel THEN column_name END AS related_column, what <> 'key' OR table_type = 'dimension' AS is_visible, what IN ('key', 'attribute') AS is_filterable, sort_order, CASE source {_rows} END AS n_rows
     FROM (SELECT *, what = 'key' AND table_type IN ('fact', 'staging') AND to_table IN ({", ".join(f"'{t}'" for t in MODELLED)}) AS rel FROM (SELECT *, CASE WHEN regexp_matches(column_name, '(_key|_id)$') THEN 'key' WHEN table_type IN ('fact', 'semantic') AND (data_type IN ('integer', 'float') AND regexp_matches(column_name, '(_count|_length|_score|_seconds|_size|_chars|_tokens|_depth)$|^(total|estimated)_') OR data_type = 'boolean' AND regexp_matches(column_name, '^(is|has)_')) THEN 'measure' ELSE 'attribute' END AS what
     FROM (SELECT v.name AS table_name, v.source, CASE split_part(v.name, '_', 1) WHEN 'fact' THEN 'fact' WHEN 'dim' THEN 'dimension' WHEN 'stg' THEN 'staging' ELSE 'semantic' END AS table_type, column_name, CAST(ordinal_position - 1 AS INTEGER) AS sort_order, 'dim_' || regexp_replace(column_name, '_[^_]*$', '') AS to_table,
-    CASE WHEN column_name LIKE '%\_json' ESCAPE '\' THEN 'json' WHEN regexp_matches(data_type, '^(BIGINT|INTEGER|SMALLINT)$') THEN 'integer' WHEN regexp_matches(data_type, '^(DOUBLE|FLOAT$|DECIMAL)') THEN 'float' WHEN data_type = 'TIMESTAMP' THEN 'timestamp' WHEN data_type = 'DATE' THEN 'date' WHEN data_type = 'BOOLEAN' THEN 'boolean' ELSE 'varchar' END AS data_type
+    CASE WHEN column_name LIKE '%#_json' ESCAPE '#' THEN 'json' WHEN regexp_matches(data_type, '^(BIGINT|INTEGER|SMALLINT)$') THEN 'integer' WHEN regexp_matches(data_type, '^(DOUBLE|FLOAT$|DECIMAL)') THEN 'float' WHEN data_type = 'TIMESTAMP' THEN 'timestamp' WHEN data_type = 'DATE' THEN 'date' WHEN data_type = 'BOOLEAN' THEN 'boolean' ELSE 'varchar' END AS data_type
     FROM information_schema.columns JOIN (VALUES {", ".join(f"('{k}', '{t}')" for k, t in MODELLED.items())}) AS v(name, source) ON v.source = information_schema.columns.table_name)))""")
 def semantic_model_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model of the given tables, with the rows of each."""

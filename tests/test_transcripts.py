@@ -254,6 +254,25 @@ def test_deep_chain(spark):
     assert links.depths(rows_, "g", "o", "n", "p").where("conversation_depth = o").count() == n
 
 
+def test_depths_of_random_trees(spark):
+    """Branches, repeated and unknown ids, parents that come later: against going up row by row."""
+    import random
+
+    rng, rows_, want = random.Random(4), [], {}
+    for g in range(6):
+        latest: dict[str, int] = {}
+        for i in range(80):
+            node = f"m{rng.randrange(50)}" if g % 2 else f"m{i}"
+            parent = rng.choice([None, "", "none", f"m{rng.randrange(60)}", f"m{max(0, i - 1)}", f"m{max(0, i - 1)}", f"m{max(0, i - 2)}"])
+            order = i * 3
+            want[f"g{g}", order] = want[f"g{g}", latest[parent]] + 1 if parent in latest else 0
+            latest[node] = order
+            rows_.append((f"g{g}", order, node, parent))
+    df = spark.createDataFrame(rows_, "g string, o int, n string, p string").repartition(7)
+    assert {(r["g"], r["o"]): r["conversation_depth"] for r in links.depths(df, "g", "o", "n", "p").collect()} == want
+    assert max(want.values()) > 5
+
+
 def test_column_functions(spark):
     df = spark.createDataFrame([("-home-u-projects-my-app", "a\x1cb c"), ("-Users-u-code-src-x", ""), ("plain", None), ("-home-u", "def f"), ("", " ")], "f string, t string")
     got = df.select(C.project_display_name(F.col("f")).alias("p"), C.word_count(F.col("t")).alias("w"), C.estimated_tokens(F.coalesce("t", F.lit(""))).alias("e")).collect()
