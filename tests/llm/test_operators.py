@@ -40,7 +40,7 @@ def edge(spark, tmp_path_factory):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     labels = [(i, i % 2, (i // 2) % 2) for i in range(12)] + [(None, 1, 1), (5, None, None)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    pages = [(1, "http://A.net/x?q", '<a href="http://b.org/">'), (2, None, None), (3, "no scheme", ""), (4, "https://m.example.net/en/1#t", "<a href='//evil.net/p'>"), (5, "https://b.org/fr/", None), (6, "https://x.com", '<a href="https://evil.net/">'), (7, "http://evil.net/", ""), (7, "http://evil.net/", ""), (8, "https://c.org/a", "<a href=https://b.org/fr/2>")]
+    pages = [(1, "http://A.net/x?q", '<a href="http://b.org/">'), (2, None, None), (3, "no scheme", ""), (4, "https://m.example.net/en/1#t", "<a href='//evil.net/p'>"), (5, "https://b.org/fr/", None), (6, "https://x.com", '<a href="https://evil.net/">'), (7, "http://evil.net/", ""), (7, "http://evil.net/", ""), (8, "https://c.org/a", "<a href=https://b.org/fr/2>"), (9, "http://evil.net/" + "x" * 5000, "<p>" + "word " * 100_000)]
     spark.createDataFrame(pages, "page_id long, url string, html string").select("*", *[F.lit("clash").alias(c) for c in PAGE_CLASHES]).write.parquet(f"{d}/pages.parquet")
     return d
 
