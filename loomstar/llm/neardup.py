@@ -43,7 +43,7 @@ KNOWN_WORDS = 400_000
 #: Ids of suspects that are broadcast at most (16 bytes each and the table's overhead); beyond, a shuffle joins them.
 BROADCAST_IDS = 1_000_000
 #: Inner members of a long list tried in the first round (twice as many in each further one); inner members of a short list at most.
-CENTRES, SHORT = 32, 256
+CENTRES, SHORT = 256, 256
 INNER = "9 * place <= n_shingles"
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -186,9 +186,11 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame
     exact = common.written(lists(open_sets, "set", None), "exact_lists")
     final = settled(exact, links, first, sets)
 
-    label = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    label = common.written(label.join(least, "component").select("fingerprint", "component", "component_id", "copies"), "labels")
+    label = reps.join(final, "node", "left").select("fingerprint", "least_id", "copies", F.coalesce("component", "node").alias("component"))
+    label = common.written(label, "components_of_classes")
+    least = common.written(label.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("_n")), "least_ids")
+    label = common.spread_join(label, least, "component", "_n", label.count()).select("fingerprint", "component", "component_id", "copies")
+    label = common.written(label, "labels")
     some, none = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
     out = common.spread_join(some, label, "fingerprint", "copies", rows.count()).drop("copies")
     out = out.unionByName(none.withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id")))
@@ -198,10 +200,10 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame
 def settled(exact: DataFrame, links: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Components after all links that the exact lists hold: rounds of centres in long lists, then pairs in the short ones."""
     for step in count():
-        apart = common.written(exact.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+        apart = exact.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         state = apart.groupBy("value").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count_if(F.expr(INNER)).alias("_inner"), F.count(F.lit(1)).alias("_n")).where("_a <> _b and _inner > 0")
         state = common.written(state.select("value", "_inner", "_n"), "open_lists")
-        total = apart.count()
+        total = exact.count()
         apart = common.written(common.spread_join(apart, state, "value", "_n", total), "apart")
         long = apart.where(F.col("_inner") > SHORT)
         if long.limit(1).count() == 0:
@@ -211,7 +213,7 @@ def settled(exact: DataFrame, links: DataFrame, found: DataFrame, sets: DataFram
         if more.limit(1).count():
             links = links.union(more)
             found = common.written(components(links), "components")
-        exact = common.written(apart.join(centre.select("value", F.col("x").alias("node")), ["value", "node"], "left_anti").select("value", "node", "n_shingles", "place"), "exact_lists")
+        exact = apart.join(centre.select("value", F.col("x").alias("node")), ["value", "node"], "left_anti").select("value", "node", "n_shingles", "place")
     return components(links.union(confirmed(tried(apart, as_inner(apart.where(INNER)), total), sets)))
 
 
