@@ -2,8 +2,9 @@
 
 1. Lines of the whole text, and the sentences of a line that has several, are sparse TF-IDF vectors of words, with the
    document frequencies of the header templates; each gets the template with the highest cosine, if that reaches the
-   threshold. A line without an anchor isn't weighed: the words of a template that aren't anchors have together a length
-   under the threshold, so that no line without an anchor can reach it.
+   threshold. Two tests that no such line fails keep the others from being weighed: the line has an anchor (the words of
+   a template that aren't anchors have together a length under the threshold), and the length of the part of a template
+   that it shares, times the share of the line's own length in known words, reaches the threshold (Cauchy-Schwarz).
 2. Licence bodies and standard headers, however wrapped, commented or embedded, are found as blocks: stretches of a
    text of which the runs of three words occur in the templates of licence_texts, with short gaps for names. A block's
    sparse vector of such runs gets the template with the highest cosine in the same way; a run that no template has
@@ -89,6 +90,22 @@ def anchors(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]
     return sorted(found)
 
 
+def may_reach(rows: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """The rows of which the line may reach the threshold. Explosions of one array keep words from being found more than once."""
+    words, vectors, unknown = header_vectors(templates)
+    rows = rows.withColumn("_t", F.explode(F.array(tokens(F.col("line")))))
+    rows = rows.withColumn("_s", F.explode(F.array(F.array_intersect("_t", F.array(*[F.lit(w) for w in sorted(words)])))))
+    table = lambda m: F.create_map(*[F.lit(x) for kv in sorted(m.items()) for x in kv])
+    idf, zero = table(words), F.lit(0.0)
+    known = F.aggregate("_s", zero, lambda a, w: a + F.pow(F.size(F.filter("_t", lambda x: x == w)) * F.element_at(idf, w), F.lit(2.0)))
+    total = lambda m: F.aggregate("_s", zero, lambda a, w: a + F.coalesce(F.try_element_at(table(m), w), zero))
+    squares = [{t: x * x for t, x in v.items()} for v in vectors.values()]
+    rest = (F.size(F.array_distinct("_t")) - F.size("_s")) * unknown * unknown
+    enough = lambda share: share * known >= (threshold - 1e-6) ** 2 * (known + rest)
+    of_any = total({w: max(s.get(w, 0.0) for s in squares) for w in words})  # quick to find: as if one template had the most of each word
+    return rows.where((F.size("_s") > 0) & enough(of_any) & enough(F.greatest(*map(total, squares), zero))).drop("_t", "_s")
+
+
 def licence_lines(docs: DataFrame, words: list[str]) -> DataFrame:
     """doc_id, path, _print, line, of each line with one of the words, and of its sentences with one if it has several, from whole texts.
 
@@ -186,7 +203,7 @@ def licence_blocks(docs: DataFrame, threshold: float) -> DataFrame:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """doc_id, path, own_licence, similarity, licence (own or inherited), basis (header, file, inherited, none), from_directory."""
     templates = templates or TEMPLATES
-    found = licence_lines(docs, anchors(header_vectors(templates)[1], threshold))
+    found = may_reach(licence_lines(docs, anchors(header_vectors(templates)[1], threshold)), templates, threshold)
     found = common.written(found.withColumn("_line", F.xxhash64("line")).withColumn("_length", F.length("line")), "licence_lines")  # the texts are cut once
     matched = common.written(best_templates(found, templates, threshold), "licences_of_lines")
     words, none = F.size(F.split("line", r"\s+")), F.lit(0)
