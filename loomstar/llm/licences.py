@@ -36,6 +36,8 @@ from loomstar.llm import common
 
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD, FILE_SHARE = 0.5, 0.2
+#: Words that many lines have.
+COMMON = ("a", "all", "and", "by", "for", "in", "is", "of", "on", "that", "the", "this", "to", "under", "use", "with")
 #: Headers as licences ask for them, by their SPDX names (fixed values).
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -79,13 +81,17 @@ def header_vectors(templates: dict[str, str]) -> tuple[dict[str, float], dict[st
 
 
 def anchors(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]:
-    """Words of which each line that reaches the threshold has one: what they leave of a vector is shorter than it."""
+    """Words of which each line that reaches the threshold has one: what they leave of a vector is shorter than it.
+
+    Common words are left first, then those of small weight, as long as there is room.
+    """
     found: set[str] = set()
     for vector in vectors.values():
         rest = 0.0
-        for token, x in sorted(vector.items(), key=lambda e: (e[1], e[0])):
-            rest += x * x
-            if rest > (threshold - 1e-6) ** 2:
+        for token, x in sorted(vector.items(), key=lambda e: (e[0] not in COMMON, e[1], e[0])):
+            if rest + x * x <= (threshold - 1e-6) ** 2:
+                rest += x * x
+            else:
                 found.add(token)
     return sorted(found)
 
