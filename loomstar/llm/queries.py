@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstar.llm import decontamination, licences, media_png, neardup, packing, quality_fm, sharding, toxicity_mil, url_graph, warc_revisits
+from loomstar.llm import decontamination, licences, media_png, neardup, packing, periodic_runs, quality_fm, sharding, toxicity_mil, url_graph, warc_revisits
 from loomstar.llm.common import fold, shared_folder, table
 
 THRESHOLD = 0.3
@@ -77,4 +77,15 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_url_graph, op3_packing, op4_decontamination, op5_toxicity_mil, op6_media_png, op7_licences, op8_sharding, op9_warc_revisits, op10_neardup)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_periods(table(spark, sf_dir, "documents")))
+    found = found.withColumn("_best", periodic_runs.strongest("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = [F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *best, F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_url_graph, op3_packing, op4_decontamination, op5_toxicity_mil, op6_media_png, op7_licences, op8_sharding, op9_warc_revisits, op10_neardup, op12_periodic_runs)}
