@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstar.llm import decontamination, licences, media_png, neardup, packing, periodic_runs, quality_fm, sharding, toxicity_mil, url_graph, warc_revisits
+from loomstar.llm import decontamination, licences, media_png, neardup, packing, periodic_runs, quality_fm, sharding, toxicity_mil, turn_repair, url_graph, warc_revisits
 from loomstar.llm.common import fold, shared_folder, table
 
 THRESHOLD = 0.3
@@ -77,6 +77,11 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.audits(turn_repair.damaged(conversations), conversations.select("conv_id"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.periodic_runs(periodic_runs.with_periods(table(spark, sf_dir, "documents")))
     found = found.withColumn("_best", periodic_runs.strongest("runs"))
@@ -88,4 +93,4 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_url_graph, op3_packing, op4_decontamination, op5_toxicity_mil, op6_media_png, op7_licences, op8_sharding, op9_warc_revisits, op10_neardup, op12_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_url_graph, op3_packing, op4_decontamination, op5_toxicity_mil, op6_media_png, op7_licences, op8_sharding, op9_warc_revisits, op10_neardup, op11_turn_repair, op12_periodic_runs)}

@@ -6,7 +6,7 @@ from loomstar.llm import licences, packing, sharding, url_graph
 from loomstar.llm.common import LOWER, UPPER
 from loomstar.llm.decontamination import N
 from loomstar.llm.neardup import WORDS
-from loomstar.llm.sql_sequences import PERIODIC_RUNS
+from loomstar.llm.sql_sequences import PERIODIC_RUNS, TURN_REPAIR
 
 ASCII_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
@@ -152,4 +152,4 @@ placed AS (SELECT CAST(0 AS BIGINT) AS nth, list_transform(range({SHARDS}), lamb
 SELECT doc_id, record.size, text_crc32, 'bytes' AS law, goes AS shard, row_number() OVER (PARTITION BY goes ORDER BY virtual_slot, doc_id, record.size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, virtual_slot
 FROM record JOIN queue USING (virtual_slot) JOIN placed USING (nth)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_url_graph": url_sql(), "op3_packing": packing_sql(), "op4_decontamination": DECONTAMINATION, "op7_licences": LICENCES, "op8_sharding": SHARDING, "op9_warc_revisits": REVISITS, "op10_neardup": NEARDUP, "op12_periodic_runs": PERIODIC_RUNS}
+ORACLE_SQL: dict[str, str] = {"op2_url_graph": url_sql(), "op3_packing": packing_sql(), "op4_decontamination": DECONTAMINATION, "op7_licences": LICENCES, "op8_sharding": SHARDING, "op9_warc_revisits": REVISITS, "op10_neardup": NEARDUP, "op11_turn_repair": TURN_REPAIR, "op12_periodic_runs": PERIODIC_RUNS}

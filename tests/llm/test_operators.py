@@ -42,13 +42,15 @@ def edge(spark, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     pages = [(1, "http://A.net/x?q", '<a href="http://b.org/">'), (2, None, None), (3, "no scheme", ""), (4, "https://m.example.net/en/1#t", "<a href='//evil.net/p'>"), (5, "https://b.org/fr/", None), (6, "https://x.com", '<a href="https://evil.net/">'), (7, "http://evil.net/", ""), (7, "http://evil.net/", ""), (8, "https://c.org/a", "<a href=https://b.org/fr/2>"), (9, "http://evil.net/" + "x" * 5000, "<p>" + "word " * 100_000)]
     spark.createDataFrame(pages, "page_id long, url string, html string").select("*", *[F.lit("clash").alias(c) for c in PAGE_CLASHES]).write.parquet(f"{d}/pages.parquet")
+    turns = [(1, 0, "user", "Hi."), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (1, None, None, None), (2, 0, "tool", "x " * 100_000), (None, 0, "user", ""), (3, 3, "assistant", None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").select("*", *[F.lit("clash").alias(c) for c in ("part", "fault", "row", "digest", "open", "cost", "audit", "_conv", "_first", "_harm", "_copy")]).write.parquet(f"{d}/conversations.parquet")
     return d
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
-    for name, kind in (("documents", DOC), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string")):
+    for name, kind in (("documents", DOC), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("conversations", "conv_id long, turn int, role string, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{d}/{name}.parquet")
     return d
 
@@ -64,7 +66,9 @@ def test_empty_and_edge_tables(spark, edge, empty, name):
     table = "pages" if name.startswith(("op2_", "op9_")) else "documents"
     n = spark.read.parquet(f"{edge}/{table}.parquet").count()
     rows = got.collect()
-    if name.startswith("op3_"):
+    if name.startswith("op11_"):
+        assert len(rows) == spark.read.parquet(f"{edge}/conversations.parquet").select("conv_id").distinct().count()
+    elif name.startswith("op3_"):
         assert sum(r["piece"] == 0 for r in rows) == n
     else:
         assert len(rows) == n * (3 if name.startswith("op9_") else 1)
