@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstar.llm import decontamination, licences, media_png, neardup, packing, periodic_runs, quality_fm, sharding, toxicity_mil, turn_repair, url_graph, warc_revisits
+from loomstar.llm import decontamination, licences, media_png, neardup, packing, periodic_runs, quality_fm, sharding, toxicity_mil, trie_join, turn_repair, url_graph, warc_revisits
 from loomstar.llm.common import fold, shared_folder, table
 
 THRESHOLD = 0.3
@@ -93,4 +93,8 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_url_graph, op3_packing, op4_decontamination, op5_toxicity_mil, op6_media_png, op7_licences, op8_sharding, op9_warc_revisits, op10_neardup, op11_turn_repair, op12_periodic_runs)}
+def op13_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.join_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_url_graph, op3_packing, op4_decontamination, op5_toxicity_mil, op6_media_png, op7_licences, op8_sharding, op9_warc_revisits, op10_neardup, op11_turn_repair, op12_periodic_runs, op13_trie_join)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstar.llm import licences, packing, sharding, url_graph
+from loomstar.llm import licences, packing, sharding, trie_join, url_graph
 from loomstar.llm.common import LOWER, UPPER
 from loomstar.llm.decontamination import N
 from loomstar.llm.neardup import WORDS
@@ -21,15 +21,22 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN place USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
-NEARDUP = f"""
+def linked_sql(words: int, percent: int, more: str = "") -> str:
+    """Documents, their shingles and the least id that links reach; more: further columns."""
+    return f"""
 WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {WORDS - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {WORDS - 1}) + 1)) AS i FROM doc WHERE len(w) > 0)),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {words - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {words - 1}) + 1)) AS i FROM doc WHERE len(w) > 0)),
 size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
 pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
 edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{more} FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
+
+
+NEARDUP = linked_sql(WORDS, 80, ", doc_id = component_id AS kept")
+TRIE_JOIN = linked_sql(trie_join.WORDS, 90)
+
 
 
 def packing_sql(longest: int = packing.LONGEST, buckets: int = packing.BUCKETS, budget: int = packing.BUDGET, slots: int = packing.SLOTS) -> str:
@@ -152,4 +159,4 @@ placed AS (SELECT CAST(0 AS BIGINT) AS nth, list_transform(range({SHARDS}), lamb
 SELECT doc_id, record.size, text_crc32, 'bytes' AS law, goes AS shard, row_number() OVER (PARTITION BY goes ORDER BY virtual_slot, doc_id, record.size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, virtual_slot
 FROM record JOIN queue USING (virtual_slot) JOIN placed USING (nth)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_url_graph": url_sql(), "op3_packing": packing_sql(), "op4_decontamination": DECONTAMINATION, "op7_licences": LICENCES, "op8_sharding": SHARDING, "op9_warc_revisits": REVISITS, "op10_neardup": NEARDUP, "op11_turn_repair": TURN_REPAIR, "op12_periodic_runs": PERIODIC_RUNS}
+ORACLE_SQL: dict[str, str] = {"op2_url_graph": url_sql(), "op3_packing": packing_sql(), "op4_decontamination": DECONTAMINATION, "op7_licences": LICENCES, "op8_sharding": SHARDING, "op9_warc_revisits": REVISITS, "op10_neardup": NEARDUP, "op11_turn_repair": TURN_REPAIR, "op12_periodic_runs": PERIODIC_RUNS, "op13_trie_join": TRIE_JOIN}
