@@ -55,3 +55,32 @@ def all_python_json(texts: pd.Series) -> pd.Series:
 def as_python_json(text: Column | str) -> Column:
     """The text that Python writes for a JSON value (spaces after separators, escapes beyond ASCII)."""
     return F.pandas_udf(all_python_json, "string")(text)
+
+
+def python_str(text: str | None) -> str | None:
+    try:
+        return None if text is None else str(json.loads(text))
+    except ValueError:
+        return text
+
+
+def all_python_str(texts: pd.Series) -> pd.Series:
+    return texts.map(python_str)
+
+
+def as_python_str(text: Column | str) -> Column:
+    """What Python's str() gives for a JSON value: {'a': None}, [1, 'b'], True; a text that isn't JSON stays."""
+    return F.pandas_udf(all_python_str, "string")(text)
+
+
+def python_texts(text: str | None) -> str | None:
+    return None if text is None else " ".join(str(x.get("text", "")) for x in json.loads(text) if isinstance(x, dict))
+
+
+def all_python_texts(texts: pd.Series) -> pd.Series:
+    return texts.map(python_texts)
+
+
+def as_python_texts(text: Column | str) -> Column:
+    """The texts of a JSON array's objects with a space between, as Python's str() gives them."""
+    return F.pandas_udf(all_python_texts, "string")(text)

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from loomstar.functions import fixed
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+#: What Python's strip() takes from both ends.
+ENDS = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space at its ends, of any kind that Python knows."""
+    return F.regexp_replace(text, ENDS, "")
 
 
 def lookup(value: Column, table: dict[str, str], default: Column | str | None) -> Column:
@@ -120,6 +127,13 @@ def matches_terms(text: Column, query: str) -> Column:
     return reduce(lambda a, b: a & b, [F.contains(F.lower(text), F.lit(t)) for t in terms], F.lit(True))
 
 
+def json_kind(value: Column) -> Column:
+    """string, array, object, scalar (numbers, booleans) or null, of a variant; null of what isn't there."""
+    whole = lambda kind: F.try_variant_get(value, "$", kind).isNotNull()
+    string = F.schema_of_variant(value) == "STRING"
+    return F.when(value.isNull(), None).when(F.is_variant_null(value), "null").when(whole("array<variant>"), "array").when(whole("map<string,variant>"), "object").when(string, "string").otherwise("scalar")
+
+
 def is_json_like(text: Column) -> Column:
     """Whether a text, without the spaces around it, is in braces or brackets."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")

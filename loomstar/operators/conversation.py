@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from loomstar.functions import columns as C
 from loomstar.functions import fixed
-from loomstar.functions.arrow import as_python_json
+from loomstar.functions.arrow import as_python_json, as_python_str
 from loomstar.sources import transcripts
 
 UP_TO_HERE = (Window.unboundedPreceding, 0)
@@ -46,14 +46,14 @@ def analysis(segmented: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def commit_rows(placed_blocks: DataFrame) -> DataFrame:
-    return placed_blocks.where("type = 'tool_result' and not startswith(result, '[{')").select("session_id", "conversation", "ts_text", F.explode(C.commits(F.col("result"))).alias("c")).select("session_id", "conversation", "ts_text", "c.hash", "c.message")
+    return placed_blocks.where("type = 'tool_result' and result_kind = 'string'").select("session_id", "conversation", "ts_text", F.explode(C.commits(F.col("result"))).alias("c")).select("session_id", "conversation", "ts_text", "c.hash", "c.message")
 
 
 def timeline(segmented: DataFrame, blocks: DataFrame) -> DataFrame:
     """session_id, ts_text, kind (prompt or commit), content, conversation, page; in the order of their times."""
     prompts = prompt_numbers(segmented).where("not is_compact_summary and not startswith(text, 'Stop hook feedback:')").select("session_id", "ts_text", F.lit("prompt").alias("kind"), F.col("text").alias("content"), "conversation", "page")
     placed = blocks.join(segmented.select("session_id", "line_no", "conversation", "page", "ts_text"), ["session_id", "line_no"])
-    made = placed.where("type = 'tool_result' and not startswith(result, '[{')").select("session_id", "ts_text", "conversation", "page", F.explode(C.commits(F.col("result"))).alias("c"))
+    made = placed.where("type = 'tool_result' and result_kind = 'string'").select("session_id", "ts_text", "conversation", "page", F.explode(C.commits(F.col("result"))).alias("c"))
     commits = made.select("session_id", "ts_text", F.lit("commit").alias("kind"), F.concat("c.hash", F.lit(" "), "c.message").alias("content"), "conversation", "page")
     return prompts.unionByName(commits).orderBy("session_id", "ts_text", "conversation", "kind", "content")
 
@@ -69,7 +69,11 @@ def search_documents(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     rows = transcripts.messages_only(entries).withColumn("page", page).select("session_id", "project_path", "line_no", F.col("type").alias("role"), "ts_text", "content", "content_kind", "page")
     strings = rows.where("role = 'user' and content_kind = 'string'").select("session_id", "project_path", "line_no", F.lit(0).alias("block_idx"), "ts_text", "page", F.lit("user").alias("type"), "content")
     placed = blocks.join(rows.drop("content"), ["session_id", "line_no"])
-    text = F.when(F.col("type") == "text", F.col("text")).when((F.col("type") == "tool_result") & (F.col("role") == "user") & ~F.col("result").startswith("["), F.substring("result", 1, 500)).when((F.col("type") == "tool_use") & (F.col("role") == "assistant"), F.concat(F.coalesce("name", F.lit("")), F.lit(": "), F.substring(as_python_json(F.coalesce("input", F.lit("{}"))), 1, 1000)))
+    use = F.col("type") == "tool_use"
+    kind_of_input = C.json_kind(F.from_json(F.when(use, F.col("raw")), "input variant")["input"])
+    object_, other = use & (F.coalesce(kind_of_input, F.lit("object")) == "object"), use & kind_of_input.isin("array", "scalar", "null")
+    given = F.when(object_, as_python_json(F.when(object_, F.coalesce("input", F.lit("{}"))))).when(other, as_python_str(F.when(other, F.coalesce("input", F.lit("null"))))).otherwise(F.col("input"))
+    text = F.when(F.col("type") == "text", F.col("text")).when((F.col("type") == "tool_result") & (F.col("role") == "user") & (F.col("result_kind") == "string"), F.substring("result", 1, 500)).when((F.col("type") == "tool_use") & (F.col("role") == "assistant"), F.concat(F.coalesce("name", F.lit("")), F.lit(": "), F.substring(given, 1, 1000)))
     kind = F.when(F.col("type") == "text", F.col("role")).otherwise(F.col("type"))
     parts = placed.withColumn("content", text).select("session_id", "project_path", "line_no", "block_idx", "ts_text", "page", kind.alias("type"), "content")
     docs = strings.unionByName(parts).withColumn("content", F.regexp_replace("content", r"^[\s]+|[\s]+$", "")).where("content <> ''")
@@ -87,5 +91,5 @@ def search(documents: DataFrame, query: str, limit: int = 100, order: tuple[str,
 
 def repositories(blocks: DataFrame) -> DataFrame:
     """session_id and the repository named by the first push of each session."""
-    found = blocks.where("type = 'tool_result'").withColumn("repository", C.repository(F.col("result"))).where("repository is not null")
+    found = blocks.where("type = 'tool_result' and result_kind = 'string'").withColumn("repository", C.repository(F.col("result"))).where("repository is not null")
     return found.groupBy("session_id").agg(F.min_by("repository", F.struct("line_no", "block_idx")).alias("repository"))

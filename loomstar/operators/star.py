@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from loomstar.functions import columns as C
 from loomstar.functions import fixed
-from loomstar.functions.arrow import MAY_NAME, as_python_json, entity_mentions
+from loomstar.functions.arrow import MAY_NAME, as_python_json, as_python_str, as_python_texts, entity_mentions
 from loomstar.operators import links
 from loomstar.sources import transcripts
 
@@ -75,9 +75,15 @@ class Star:
         """Blocks with the message they stand in; of uses the input as Python writes it, of results their text."""
         own = self.keyed.select("session_id", "line_no", "content", "content_kind", "session_key", F.col("uuid").alias("message_id"), "ts", "date_key", "time_key", F.col("type").alias("message_type"))
         rows = transcripts.blocks(own, ("session_key", "message_id", "ts", "date_key", "time_key", "message_type"))
-        listed = F.col("result").startswith("[") & F.from_json("result", "array<string>").isNotNull()
-        items = F.filter(F.from_json("result", "array<string>"), lambda x: x.startswith("{"))
-        text = F.when(listed, F.array_join(F.transform(items, lambda x: F.coalesce(F.get_json_object(x, "$.text"), F.lit(""))), " ")).otherwise(F.coalesce("result", F.lit("")))
+        # lists of texts are joined here; what needs Python's way to write a value goes there
+        items = F.from_json(F.when(F.col("result_kind") == "array", F.col("result")), "array<variant>")
+        objects = F.filter(items, lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())
+        kinds = F.transform(objects, lambda x: C.json_kind(F.try_variant_get(x, "$.text", "variant")))
+        plain = F.forall(kinds, lambda k: F.coalesce(k, F.lit("string")) == "string")
+        joined = F.array_join(F.transform(objects, lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))), " ")
+        kind, other = F.col("result_kind"), F.col("result_kind").isin("object", "scalar", "null")
+        text = F.when(kind == "string", F.col("result")).when(plain, joined).when(kind == "array", as_python_texts(F.when(~plain, F.col("result"))))
+        text = F.coalesce(text.when(other, as_python_str(F.when(other, F.coalesce("result", F.lit("null"))))), F.lit(""))
         given = F.when(F.col("type") == "tool_use", F.coalesce("input", F.lit("{}")))
         return self.kept_once(rows.withColumn("full_output", F.when(F.col("type") == "tool_result", text)).withColumn("input_json", as_python_json(given)), "blocks")
 
@@ -174,7 +180,8 @@ class Star:
 
     @cached_property
     def fact_file_operations(self) -> DataFrame:
-        content = F.coalesce(F.get_json_object("input", "$.content"), F.lit(""))
+        own = F.try_variant_get(F.try_parse_json("input"), "$.content", "variant")  # what isn't a string has no size
+        content = F.when(C.json_kind(own) == "string", F.try_variant_get(own, "$", "string")).otherwise("")
         return self._file_uses.select(F.concat("id", F.lit("-file")).alias("file_operation_id"), F.col("id").alias("tool_call_id"), "session_key", C.dimension_key(F.col("file_path")).alias("file_key"), "tool_key", "date_key", "time_key", C.operation_type(F.col("tool_name")).alias("operation_type"), F.length(content).alias("file_size_chars"), F.col("ts").alias("timestamp"))
 
     @cached_property

@@ -1,8 +1,8 @@
 """The conversations as transcripts in JSON Lines, with what real ones have: odd lines, mixed blocks, code, tool calls, commits.
 
 Every turn is a line, and an odd line follows it. An assistant's turn thinks (or not), says its text, with fenced code or
-a sentence full of names in some, and calls a tool; a user's is a string, a tool's result, or a text with a result. The
-text of the lines is parsed by the transcript operators, as with files.
+a sentence full of names in some, and calls a tool; a user's is a string, a tool's result (strings, some of which look like
+JSON, an object, a number, null), or a text with a result that is a list. The text of the lines is parsed by the transcript operators, as with files.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ TOOLS = ["Read", "Bash", "Edit", "Grep"]
 FENCES = "\n```py\nprint(1)\nx = 2\n```\nand\n```\nplain\n```"
 #: What the sentence of names holds; {c} is the conversation and {t} the turn.
 NAMES = "\nSee /src/app_{c}.py and https://example.org/{c} where class Foo{c} has def go_{t}( and import os on git main OSError"
+#: Results that begin as JSON does, but are strings; and those that aren't strings, with what Python's str() makes of them.
+STRINGS = ["[1, 2, 3]", "[]", '["a"]', '[{"x": 1}]']
+VALUES = {'{"stdout":"done","z":{t},"ok":true,"a":null,"list":[1,"b"]}': "{'stdout': 'done', 'z': {t}, 'ok': True, 'a': None, 'list': [1, 'b']}", "{t}": "{t}", "null": "None"}
+ODD_LIST, ODD_TEXT = '[{"type":"text","text":7},"bare",{"type":"image"},{"type":"text","text":null}]', "7  None"
 START, TRUNCATE = 1_709_251_200, 100
 
 
@@ -43,8 +47,14 @@ def lines(conversations: DataFrame) -> DataFrame:
     thought = F.when(sum_ % 2 == 0, F.concat(F.lit('{"type":"thinking","thinking":'), quoted(filled("On turn {t}")), F.lit("},"))).otherwise("")
     said = F.concat(F.lit("["), thought, F.lit('{"type":"text","text":'), quoted(body), F.lit('},{"type":"tool_use","id":'), quoted(filled("t{c}-{t}")), F.lit(',"name":'), quoted(tool), F.lit(',"input":{"file_path":'), quoted(F.concat(F.lit("/src/m"), (c % 11).cast("string"), F.lit(".py"))), F.lit(',"n":'), t.cast("string"), F.lit("}}]"))
     result = F.concat(F.lit('{"type":"tool_result","tool_use_id":'), quoted(F.concat(F.lit("t"), last)), F.lit(',"content":'))
-    plain = F.concat(F.lit("["), result, quoted(F.concat(F.lit("ok\n"), commit, F.lit("\nrest"))), F.lit(',"is_error":'), (c % 7 == 0).cast("string"), F.lit("}]"))
-    mixed = F.concat(F.lit('[{"type":"text","text":'), quoted(F.col("text")), F.lit('},"bare",'), result, F.lit('[{"type":"text","text":'), quoted(commit), F.lit('},{"type":"text","text":"done"}]}]'))
+    given = quoted(F.concat(F.lit("ok\n"), commit, F.lit("\nrest")))
+    for k, value in reversed(list(enumerate([commit, *map(F.lit, STRINGS)], 1))):
+        given = F.when(c % 9 == k, quoted(value)).otherwise(given)
+    for k, value in enumerate(VALUES, 1 + len(STRINGS) + 1):
+        given = F.when(c % 9 == k, filled(value)).otherwise(given)
+    plain = F.concat(F.lit("["), result, given, F.lit(',"is_error":'), (c % 7 == 0).cast("string"), F.lit("}]"))
+    texts = F.when(c % 4 == 1, ODD_LIST).otherwise(F.concat(F.lit('[{"type":"text","text":'), quoted(commit), F.lit('},{"type":"text","text":"done"}]')))
+    mixed = F.concat(F.lit('[{"type":"text","text":'), quoted(F.col("text")), F.lit('},"bare",'), result, texts, F.lit("}]"))
     content = F.when(F.col("role") == "assistant", said).when((F.col("role") == "user") & (t % 3 == 1), plain).when((F.col("role") == "user") & (t % 3 == 2), mixed).otherwise(quoted(F.col("text")))
     ts = F.date_format(F.timestamp_seconds(F.lit(START) + c * 3607 + t * 61), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     fields = [("type", quoted(F.col("role"))), ("uuid", quoted(filled("{c}-{t}"))), ("parentUuid", F.when(t > 0, quoted(last)).otherwise("null")), ("timestamp", quoted(ts)), ("sessionId", quoted(session)), ("cwd", F.when(t > 0, F.lit('"/work"')).otherwise("null")), ("gitBranch", quoted(F.concat(F.lit("b"), (t % 2).cast("string")))), ("version", quoted(filled("1.{t}"))), ("isSidechain", (c % 6 == 0).cast("string")), ("isMeta", ((t == 0) & (c % 5 == 0)).cast("string")), ("isCompactSummary", ((F.col("role") == "user") & (t > 0) & (sum_ % 4 == 0)).cast("string")), ("slug", quoted(F.concat(F.lit("s"), (c % 13).cast("string"))))]

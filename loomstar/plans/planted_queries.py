@@ -121,7 +121,7 @@ def jsonl_content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM pcall")
 def jsonl_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results are strings or lists of texts; those without an earlier use aren't calls."""
+    """Results are strings (some look like JSON), lists of texts and other values, or objects, numbers and null; those without an earlier use aren't calls."""
     return planted.star(spark, sf_dir).table("fact_tool_calls")
 
 
@@ -213,7 +213,7 @@ def jsonl_prompt_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT session_id, conversation, coalesce(stats, '') AS tool_stats, coalesce(n_long, 0) AS n_long, commits FROM (SELECT DISTINCT session_id, conversation FROM pseg)
     LEFT JOIN (SELECT session_id, conversation, string_agg(n || ' ' || lower(name), ' . ' ORDER BY n DESC, name) AS stats FROM (SELECT session_id, conversation, name, count(*) AS n FROM pb JOIN (SELECT c, t, conversation FROM pseg) USING (c, t) WHERE type = 'tool_use' GROUP BY ALL) GROUP BY ALL) USING (session_id, conversation)
     LEFT JOIN (SELECT session_id, conversation, CAST(count(*) AS INTEGER) AS n_long FROM pb JOIN (SELECT c, t, conversation FROM pseg) USING (c, t) WHERE type = 'text' AND length(text) >= 300 GROUP BY ALL) USING (session_id, conversation)
-    LEFT JOIN (SELECT session_id, conversation, string_agg(substr(md5(message_id), 1, 8) || ' Commit ' || t, ',' ORDER BY ts) AS commits FROM pb JOIN (SELECT c, t, conversation FROM pseg) USING (c, t) WHERE type = 'tool_result' AND NOT list GROUP BY ALL) USING (session_id, conversation)""")
+    LEFT JOIN (SELECT session_id, conversation, string_agg(substr(md5(message_id), 1, 8) || ' Commit ' || t, ',' ORDER BY ts) AS commits FROM pb JOIN (SELECT c, t, conversation FROM pseg) USING (c, t) WHERE type = 'tool_result' AND NOT list AND c % 9 <= 1 GROUP BY ALL) USING (session_id, conversation)""")
 def jsonl_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each conversation did: tools by use, long texts, commits."""
     rows = conversation.analysis(*segmented(spark, sf_dir))
@@ -222,7 +222,7 @@ def jsonl_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT session_id, 'prompt' AS kind, trim(full_text) AS content, conversation, page FROM pseg WHERE is_prompt AND NOT is_compact_summary
-    UNION ALL SELECT session_id, 'commit', substr(md5(message_id), 1, 8) || ' Commit ' || t, conversation, page FROM pseg WHERE role = 'user' AND t % 3 = 1""")
+    UNION ALL SELECT session_id, 'commit', substr(md5(message_id), 1, 8) || ' Commit ' || t, conversation, page FROM pseg WHERE role = 'user' AND t % 3 = 1 AND commits""")
 def jsonl_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts and commits, without prompts that only continue."""
     return conversation.timeline(*segmented(spark, sf_dir)).select("session_id", "kind", "content", "conversation", "page")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomstar.functions import fixed
-from loomstar.plans.planted import FENCES, NAMES, START, TOOLS, TRUNCATE
+from loomstar.plans.planted import FENCES, NAMES, ODD_TEXT, START, STRINGS, TOOLS, TRUNCATE, VALUES
 
 
 def text_of(text: str) -> str:
@@ -18,18 +18,21 @@ code = [("py", "python", "print(1)\nx = 2\n"), ("", "unknown", "plain\n")]
 codes = " UNION ALL ".join(f"SELECT message_id || '-code-{i}' AS code_block_id, message_id, md5(session_id) AS session_key, md5('{name}') AS language_key, date_key, time_key, {i} AS block_index, {body.count(chr(10)) + 1} AS line_count, {len(body)} AS char_count, {text_of(body)} AS code_text FROM pe WHERE fenced" for i, (_, name, body) in enumerate(code))
 languages = " UNION ALL ".join(f"SELECT '{name}' AS language_name, '{','.join(fixed.LANGUAGE_EXTENSIONS.get(name, []))}' AS file_extensions" for _, name, _ in code)
 
+COMMIT = "'[main ' || substr(md5(conv_id || '-' || turn), 1, 8) || '] Commit ' || turn"
+plain = " ".join(f"WHEN {k} THEN {text_of(value).replace('|| c ||', '|| conv_id ||').replace('|| t ||', '|| turn ||')}" for k, value in enumerate([*STRINGS, *VALUES.values()], 2))
+
 TABLES = {
     "pall": f"""SELECT conv_id AS c, turn AS t, role, text, 'p' || conv_id AS session_id, '/w/q' || (conv_id % 3) AS project_path, conv_id || '-' || turn AS message_id, CASE WHEN turn > 0 THEN conv_id || '-' || (turn - 1) END AS parent_uuid,
         TIMESTAMP '1970-01-01 00:00:00' + to_seconds({START} + conv_id * 3607 + turn * 61) AS ts, CASE WHEN turn > 0 THEN '/work' END AS cwd, 'b' || (turn % 2) AS git_branch, '1.' || turn AS version, conv_id % 6 = 0 AS is_sidechain, turn = 0 AND conv_id % 5 = 0 AS is_meta,
-        role = 'user' AND turn > 0 AND (conv_id + turn) % 4 = 0 AS is_compact_summary, 's' || (conv_id % 13) AS slug, 'ok' || chr(10) || '[main ' || substr(md5(conv_id || '-' || turn), 1, 8) || '] Commit ' || turn || chr(10) || 'rest' AS plain_result,
-        '[main ' || substr(md5(conv_id || '-' || turn), 1, 8) || '] Commit ' || turn || ' done' AS mixed_result, CASE WHEN role = 'user' AND turn % 3 > 0 OR role = 'assistant' THEN 'array' ELSE 'string' END AS content_kind FROM conversations""",
+        role = 'user' AND turn > 0 AND (conv_id + turn) % 4 = 0 AS is_compact_summary, 's' || (conv_id % 13) AS slug, CASE conv_id % 9 WHEN 1 THEN {COMMIT} {plain} ELSE 'ok' || chr(10) || {COMMIT} || chr(10) || 'rest' END AS plain_result, conv_id % 9 <= {1 + len(STRINGS)} AS is_string, conv_id % 9 <= 1 AS commits,
+        CASE WHEN conv_id % 4 = 1 THEN '{ODD_TEXT}' ELSE {COMMIT} || ' done' END AS mixed_result, CASE WHEN role = 'user' AND turn % 3 > 0 OR role = 'assistant' THEN 'array' ELSE 'string' END AS content_kind FROM conversations""",
     "pe": f"""SELECT *, CASE WHEN role = 'assistant' THEN text || CASE WHEN fenced THEN {text_of(FENCES)} ELSE '' END || CASE WHEN named THEN {text_of(NAMES)} ELSE '' END WHEN t % 3 = 1 THEN '' ELSE text END AS full_text, length(text) + CASE WHEN fenced THEN {len(FENCES)} ELSE 0 END AS text_length,
         CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS date_key, CAST(strftime(ts, '%H%M') AS INTEGER) AS time_key, CAST(row_number() OVER (PARTITION BY c ORDER BY t) - 1 AS INTEGER) AS depth, lag(ts) OVER (PARTITION BY c ORDER BY t) AS parent_ts
         FROM (SELECT *, role = 'assistant' AND (c + t) % 3 = 0 AS fenced, role = 'assistant' AND (c + t) % 5 = 1 AS named, role = 'assistant' AND (c + t) % 2 = 0 AS thinks FROM pall WHERE role IN ('user', 'assistant'))""",
     "pb": f"""SELECT c, t, role, session_id, message_id, ts, date_key, time_key, 0 AS block_idx, 'thinking' AS type, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS tool_use_id, FALSE AS is_error, 'On turn ' || t AS thinking, CAST(NULL AS VARCHAR) AS value, FALSE AS list FROM pe WHERE thinks
         UNION ALL SELECT c, t, role, session_id, message_id, ts, date_key, time_key, CAST(thinks AS INTEGER), 'text', full_text, NULL, NULL, NULL, FALSE, NULL, NULL, FALSE FROM pe WHERE role = 'assistant'
         UNION ALL SELECT c, t, role, session_id, message_id, ts, date_key, time_key, 1 + CAST(thinks AS INTEGER), 'tool_use', NULL, 't' || c || '-' || t, CASE (c + t) % 4 WHEN 0 THEN '{TOOLS[0]}' WHEN 1 THEN '{TOOLS[1]}' WHEN 2 THEN '{TOOLS[2]}' ELSE '{TOOLS[3]}' END, NULL, FALSE, NULL, '{{"file_path": "/src/m' || (c % 11) || '.py", "n": ' || t || '}}', FALSE FROM pe WHERE role = 'assistant'
-        UNION ALL SELECT c, t, role, session_id, message_id, ts, date_key, time_key, 0, 'tool_result', NULL, NULL, NULL, 't' || c || '-' || (t - 1), c % 7 = 0, NULL, plain_result, FALSE FROM pe WHERE role = 'user' AND t % 3 = 1
+        UNION ALL SELECT c, t, role, session_id, message_id, ts, date_key, time_key, 0, 'tool_result', NULL, NULL, NULL, 't' || c || '-' || (t - 1), c % 7 = 0, NULL, plain_result, NOT is_string FROM pe WHERE role = 'user' AND t % 3 = 1
         UNION ALL SELECT c, t, role, session_id, message_id, ts, date_key, time_key, 0, 'text', text, NULL, NULL, NULL, FALSE, NULL, NULL, FALSE FROM pe WHERE role = 'user' AND t % 3 = 2
         UNION ALL SELECT c, t, role, session_id, message_id, ts, date_key, time_key, 2, 'tool_result', NULL, NULL, NULL, 't' || c || '-' || (t - 1), FALSE, NULL, mixed_result, TRUE FROM pe WHERE role = 'user' AND t % 3 = 2""",
     "pseg": """SELECT *, CAST((conversation - 1) // 5 + 1 AS INTEGER) AS page FROM (SELECT *, role = 'user' AND trim(full_text) <> '' AS is_prompt, CAST(sum(CASE WHEN role = 'user' AND trim(full_text) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY t) AS INTEGER) AS conversation FROM pe) WHERE conversation > 0""",

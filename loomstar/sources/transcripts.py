@@ -3,7 +3,8 @@
 entries: session_id, project_path, line_no, type, uuid, parent_uuid, ts_text, ts, model, content (JSON text, or the text
 itself where it is a string), content_kind (string, array, other), is_sidechain, cwd, git_branch, version, agent_id,
 log_session_id, is_meta, is_compact_summary, slug, summary, has_message.
-blocks: session_id, line_no, block_idx, type, text, id, name, input, tool_use_id, result, is_error, thinking, raw.
+blocks: session_id, line_no, block_idx, type, text, id, name, input, tool_use_id, result, result_kind, is_error, thinking, raw.
+result is a result's string, or the JSON text of any other; result_kind tells which (columns.json_kind).
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstar.functions import columns as C
+
 ENTRY = (
     "type string, uuid string, parentUuid string, timestamp string, sessionId string, cwd string, gitBranch string, version string, "
     "agentId string, isSidechain boolean, isMeta boolean, isCompactSummary boolean, slug string, summary string, "
@@ -39,15 +42,17 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
     folder = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", ""), r"^file:(?://)?", "")
     rows = raw.select(F.url_decode(stem).alias("session_id"), F.url_decode(folder).alias("project_path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return rows.withColumn("line", F.trim(F.regexp_replace("line", "\r$", ""))).where("line <> ''")
+    return rows.withColumn("line", C.strip(F.col("line"))).where("line <> ''")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Entries of all types; lines that aren't JSON objects are dropped."""
     e = F.from_json("line", ENTRY)
     content = F.col("e.message.content")
-    kind_of = F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), "$.message.content", "variant"))
-    kind = F.when(content.isNull(), "other").when(~content.rlike(r"^\s*\["), "string").when(kind_of.startswith("ARRAY"), "array").otherwise("string")
+    # a text that could be the JSON text of another value is told by the value's type
+    unsure = content.rlike(r"^\s*(?:[\[{]|-?\d[\d.eE+-]*\s*$|true\s*$|false\s*$)")
+    typed = C.json_kind(F.when(unsure, F.from_json("line", "message struct<content variant>"))["message"]["content"])
+    kind = F.when(content.isNull(), "other").when(~unsure | (typed == "string"), "string").when(typed == "array", "array").otherwise("other")
     keep = [c for c in lines.columns if c != "line"]
     rows = lines.where(F.col("line").startswith("{")).withColumn("e", e).where("e.type is not null or e.sessionId is not null or e.slug is not null")
     return rows.select(
@@ -105,7 +110,8 @@ def blocks(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Content blocks that are JSON objects, with their place among all elements and the columns of keep; a string content is one text block."""
     whole = entries.where("content_kind = 'array'").select("session_id", "line_no", *keep, F.posexplode(F.from_json("content", "array<string>")).alias("block_idx", "raw"))
     whole = whole.where(F.col("raw").startswith("{")).withColumn("b", F.from_json("raw", BLOCK)).where("b is not null")
-    return whole.select("session_id", "line_no", *keep, "block_idx", "b.type", "b.text", "b.id", "b.name", "b.input", "b.tool_use_id", F.col("b.content").alias("result"), F.coalesce("b.is_error", F.lit(False)).alias("is_error"), "b.thinking", "raw")
+    kind = C.json_kind(F.from_json(F.when(F.col("b.type") == "tool_result", F.col("raw")), "content variant")["content"])
+    return whole.select("session_id", "line_no", *keep, "block_idx", "b.type", "b.text", "b.id", "b.name", "b.input", "b.tool_use_id", F.col("b.content").alias("result"), kind.alias("result_kind"), F.coalesce("b.is_error", F.lit(False)).alias("is_error"), "b.thinking", "raw")
 
 
 def session_metadata(entries: DataFrame) -> DataFrame:

@@ -235,7 +235,7 @@ def test_conversations(entries):
     assert [(r["kind"], r["content"]) for r in line] == [("prompt", "Look at the /src/auth.py file on branch main"), ("commit", "abc1234 Add login")]
     docs = conversation.search_documents(entries, blocks)
     kinds = {r["type"]: r["n"] for r in docs.where("session_id = 'chain'").groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert kinds == {"user": 1, "assistant": 1, "tool_use": 4, "tool_result": 3}
+    assert kinds == {"user": 1, "assistant": 1, "tool_use": 4, "tool_result": 4}  # one of them is a string that begins with a bracket
     assert [r["session_id"] for r in conversation.search(docs, "HELLO write").where("type = 'user'").collect()] == ["basic"]
     assert docs.where("session_id = 'basic' and type = 'tool_use'").first()["anchor"] == "msg-2025-01-15T10-00-05Z"
 
@@ -319,3 +319,25 @@ def test_sinks(spark, folder, tmp_path):
         sinks.append_sessions(part, str(tmp_path / "kept"))
     sinks.append_sessions(part.where(F.col("session_key") == key("odd")).limit(1), str(tmp_path / "kept"))
     assert spark.read.parquet(str(tmp_path / "kept")).count() == 7
+
+
+def test_results_by_their_json_type(spark):
+    """A result is told by its JSON type, never by its first character; lines may be indented by any white space."""
+    results = {"a": '"[1, 2, 3]"', "b": '"[]"', "c": '"[main abc1234] Fix it"', "d": '{"z":1,"a":[true,null]}', "e": "12.5", "f": "null", "g": '[{"text":"x"},{"text":null},{"no":1},"bare"]', "h": '[{"text":"p"},{"text":"q"}]', "i": '""', "j": "[]"}
+    want = {"a": "[1, 2, 3]", "b": "[]", "c": "[main abc1234] Fix it", "d": "{'z': 1, 'a': [True, None]}", "e": "12.5", "f": "None", "g": "x None ", "h": "p q", "i": "", "j": ""}
+    lines = []
+    for i, (k, value) in enumerate(results.items()):
+        lines.append(f'\t {{"type":"assistant","uuid":"u{k}","timestamp":"2025-01-01T00:00:{i:02d}Z","message":{{"content":[{{"type":"tool_use","id":"{k}","name":"Bash","input":{{}}}}]}}}}\x1c ')
+        lines.append(f'{{"type":"user","uuid":"r{k}","timestamp":"2025-01-01T00:01:{i:02d}Z","message":{{"content":[{{"type":"tool_result","tool_use_id":"{k}","content":{value}}}]}}}}')
+    df = spark.createDataFrame([("s", "/p", i, x) for i, x in enumerate(lines)], "session_id string, project_path string, line_no int, line string").withColumn("line", C.strip(F.col("line")))
+    entries = transcripts.parse_lines(df)
+    got = {r["tool_call_id"]: (r["output_text"], r["output_char_count"]) for r in Star(entries).table("fact_tool_calls").collect()}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+    docs = conversation.search_documents(entries, transcripts.blocks(entries)).where("type = 'tool_result'")
+    assert sorted(r["content"] for r in docs.collect()) == ["[1, 2, 3]", "[]", "[main abc1234] Fix it"]
+
+
+def test_contents_by_their_json_type(spark):
+    contents = {'"[1]"': "string", '"{}"': "string", '"12"': "string", '"true"': "string", "[]": "array", '[{"type":"text","text":"x"}]': "array", '{"a":1}': "other", "12": "other", "true": "other", "null": "other", '"two words"': "string"}
+    df = spark.createDataFrame([("s", "/p", i, f'{{"type":"user","message":{{"content":{c}}}}}') for i, c in enumerate(contents)], "session_id string, project_path string, line_no int, line string")
+    assert [r["content_kind"] for r in transcripts.parse_lines(df).orderBy("line_no").collect()] == list(contents.values())
