@@ -8,7 +8,7 @@ among the first n - ceil(0.9 n) + 1 of each (its prefix), and among the first n
    first, so a class with as many of them as its prefix is long shares none of its prefix, and is done.
 2. The rest are few. Their whole sets are ordered by (classes that have it, hash), rarest first; their prefixes give
    lists of the classes that have a shingle in their prefix.
-3. In a list, sets are in a trie from the list's shingle on: DEPTH further shingles of the prefix in the global order. A set
+3. In a list, sets are in a trie from the list's shingle on: the DEPTH next shingles in the global order. A set
    walks it once for all sets that share the path: it carries its place, the overlap so far and both sides'
    misses, and leaves a subtree if what remains of it or of the subtree's longest set can't reach the overlap that the subtree's
    shortest set needs, or if the whole subtree is of its own component. Shingles before the list's count as missed: a pair that
@@ -43,7 +43,7 @@ from loomstar.llm.neardup import BROADCAST_IDS, WordHashes, components, shingle_
 
 WORDS = 3
 SHARE, LEAST_SET = 0.2, 9
-HOMES, DEPTH, BLOCK = 3, 64, 512
+HOMES, DEPTH, BLOCK = 3, 96, 512
 #: The smallest hashes as signed numbers.
 SMALL = int((2 * SHARE - 1) * 2**63)
 
@@ -102,19 +102,24 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, repeated: bool, size: int = W
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """node, n and own, its prefix's shingles that other sets have: (place, often, value), by place."""
+    """node, n and own, the shingles of its prefix and the DEPTH after it that other sets have: (place, often, value), by place."""
     rows = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("value"))
     often = common.written(rows.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     rows = common.spread_join(rows, often, "value", "often", often.agg(F.sum("often")).first()[0] or 0)
     by = Window.partitionBy("node")
     place = F.col("n") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("often", "value")) - 1  # those that no other has come first
-    rows = rows.withColumn("place", place.cast("int")).where(F.col("place") < prefix_column(F.col("n")))
+    rows = rows.withColumn("place", place.cast("int")).where(F.col("place") < prefix_column(F.col("n")) + DEPTH)
     return rows.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("place", "often", "value"))).alias("own"))
 
 
+def in_prefix() -> Column:
+    return F.filter("own", lambda x: x["place"] < prefix_column(F.col("n")))
+
+
 def listed(own: DataFrame, most: int | None = None) -> DataFrame:
     """value, node, component, n, place and the next DEPTH shingles (often and value) of each list's members; most: from how many of a prefix's first."""
-    place = F.posexplode(F.slice("own", 1, most) if most else "own").alias("_at", "_own")
+    keys = in_prefix()
+    place = F.posexplode(F.slice(keys, 1, most) if most else keys).alias("_at", "_own")
     rows = own.select("node", "component", "n", "own", place)
     rest = F.slice("own", F.col("_at") + 2, F.lit(DEPTH))
     return rows.select(F.col("_own.value").alias("value"), "node", "component", "n", F.col("_own.place").alias("place"), F.transform(rest, lambda x: x["often"].cast("long")).alias("often"), F.transform(rest, lambda x: x["value"]).alias("values"))
@@ -216,7 +221,7 @@ def first_partners(own: DataFrame) -> DataFrame:
 
 def across(own: DataFrame) -> DataFrame:
     """All pairs of different components that the lists allow, of lists that span some: own has each class's component."""
-    light = own.select("component", "n", F.explode("own").alias("_own")).select(F.col("_own.value").alias("value"), "component", (F.col("_own.place") * 19 <= F.col("n")).cast("long").alias("_inner"))
+    light = own.select("component", "n", F.explode(in_prefix()).alias("_own")).select(F.col("_own.value").alias("value"), "component", (F.col("_own.place") * 19 <= F.col("n")).cast("long").alias("_inner"))
     shares = common.written(light.groupBy("value", "component").agg(F.count(F.lit(1)).alias("_n"), F.sum("_inner").alias("_inner")), "shares_of_lists")
     most = F.max(F.struct("_n", "_inner", "component"))
     lists = shares.groupBy("value").agg(most.alias("_most"), F.sum("_n").alias("_n"), F.sum("_inner").alias("_inner"), F.count(F.lit(1)).alias("_components"))
