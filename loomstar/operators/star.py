@@ -73,8 +73,9 @@ class Star:
     @cached_property
     def placed(self) -> DataFrame:
         """Blocks with the message they stand in; of uses the input as Python writes it, of results their text."""
-        own = self.keyed.select("session_id", "line_no", "content", "content_kind", "session_key", F.col("uuid").alias("message_id"), "ts", "date_key", "time_key", F.col("type").alias("message_type"))
-        rows = transcripts.blocks(own, ("session_key", "message_id", "ts", "date_key", "time_key", "message_type"))
+        more = [c for c in ("session_no",) if c in self.entries.columns]
+        own = self.keyed.select("session_id", "line_no", "content", "content_kind", "session_key", F.col("uuid").alias("message_id"), "ts", "date_key", "time_key", F.col("type").alias("message_type"), *more)
+        rows = transcripts.blocks(own, ("session_key", "message_id", "ts", "date_key", "time_key", "message_type", *more))
         # lists of texts are joined here; what needs Python's way to write a value goes there
         items = F.from_json(F.when(F.col("result_kind") == "array", F.col("result")), "array<variant>")
         objects = F.filter(items, lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())

@@ -65,6 +65,33 @@ def lines(conversations: DataFrame) -> DataFrame:
     return conversations.select(session.alias("session_id"), F.concat(F.lit("/w/q"), (c % 3).cast("string")).alias("project_path"), t.alias("turn"), both).select("session_id", "project_path", (F.col("turn") * 3 + F.col("i")).cast("int").alias("line_no"), "line")
 
 
+#: A tool call's input in an export, and what Python writes for it.
+ODD_INPUT = '{"n":{t},"a":{"b":[2,3]},"t":true,"s":"x}y\\"{[","f":null}'
+ODD_INPUT_TEXT = '{"n": {t}, "a": {"b": [2, 3]}, "t": true, "s": "x}y\\"{[", "f": null}'
+
+
+def exported(conversations: DataFrame) -> DataFrame:
+    """conv_id and JSON text of each conversation as an account's export has it.
+
+    Every other conversation's tool calls have no id; the call of turn 1 has the same id everywhere, and a result for it
+    stands in each first turn of a user, so that it is taken by the conversation before.
+    """
+    c, t = F.col("conv_id"), F.col("turn")
+    ts = F.date_format(F.timestamp_seconds(F.lit(START) + c * 3607 + t * 61), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    own = lambda turn: F.when(turn == 1, "shared").when(c % 2 == 0, F.concat(F.lit("tool_"), filled("p{c}"), F.lit("_"), c.cast("string"), F.lit("-"), turn.cast("string"))).otherwise(F.concat(F.lit("k"), c.cast("string"), F.lit("-"), turn.cast("string")))
+    id_ = F.when((t != 1) & (c % 2 == 0), "").otherwise(F.concat(F.lit('"id":'), quoted(own(t)), F.lit(",")))
+    thought = F.when((c + t) % 2 == 0, F.concat(F.lit('{"type":"thinking","thinking":'), quoted(filled("In {c} on {t}")), F.lit(',"summaries":[{"summary":"s"}]},'))).otherwise("")
+    use = F.concat(F.lit('{"type":"tool_use",'), id_, F.lit('"name":"Edit","input":'), filled(ODD_INPUT), F.lit("}"))
+    said = F.concat(thought, F.lit('{"type":"text","citations":[],"text":'), quoted(F.col("text")), F.lit("},"), use)
+    answer = F.when(t % 4 == 0, '["odd",{"a":1}]').otherwise(quoted(filled("out } {c}")))
+    result = F.concat(F.lit('{"type":"tool_result","tool_use_id":'), quoted(F.when(t == 0, "shared").otherwise(own(t - 1))), F.lit(',"content":'), answer, F.lit("}"))
+    asked = F.concat(F.lit('{"type":"text","text":'), quoted(F.col("text")), F.lit("},"), result)
+    message = F.concat(F.lit('{"uuid":'), quoted(filled("{c}-{t}")), F.lit(',"text":"","content":['), F.when(F.col("role") == "user", asked).otherwise(said), F.lit('],"sender":'), F.when(F.col("role") == "user", F.lit('"human"')).otherwise(F.lit('"assistant"')), F.lit(',"created_at":'), quoted(ts), F.lit(',"files":[]}'))
+    rows = conversations.where("role in ('user', 'assistant')").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]).alias("_m"))
+    head = F.concat(F.lit('{"uuid":'), quoted(filled("p{c}")), F.lit(',"name":"Talk {'), c.cast("string"), F.lit('","account":{"uuid":"}"},"updated_at":'), quoted(F.date_format(F.timestamp_seconds(F.lit(START) + (c * 7919) % 1000 * 86400), "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit(',"chat_messages":['))
+    return rows.select("conv_id", F.concat(head, F.array_join("_m", ","), F.lit("]}")).alias("element"))
+
+
 def files(conversations: DataFrame) -> DataFrame:
     """The transcripts as they would be listed: session_id, project, path, modified, size."""
     c = F.col("conv_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomstar.functions import fixed
 from loomstar.operators import conversation, inspection, simple
-from loomstar.operators.links import shared_folder
+from loomstar.operators.links import cut, shared_folder
 from loomstar.plans import catalogue, oracle, planted
 from loomstar.plans.given_tables import read
 from loomstar.sources import sinks, transcripts
@@ -201,6 +201,62 @@ def search_index_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.lit(n) > 0)
 
 
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations of an account's export, written as one JSON array in one file and read from it."""
+    path = f"{fresh_folder(spark, 'export')}/conversations.json"
+    sinks.write_json_array(spark, planted.exported(read(spark, sf_dir, "conversations")), ["conv_id"], "element", path)
+    return cut(transcripts.account_conversations(spark, path), "account_conversations")
+
+
+@query("SELECT row_number() OVER (ORDER BY c) - 1 AS session_no, substr(session_id, 1, 8) AS short_id, strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(" + str(planted.START) + " + (c * 7919) % 1000 * 86400), '%Y-%m-%d') AS updated, CAST(n AS INTEGER) AS n_messages, 'Talk {' || c AS name FROM (SELECT c, session_id, count(*) AS n FROM pe GROUP BY ALL)")
+def account_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export holds, with each conversation's place in the file."""
+    return transcripts.listed_conversations(exported(spark, sf_dir))
+
+
+@query("SELECT r.id AS tool_use_id, u.session_id, u.message_id, 'Edit' AS tool_name, u.value AS input_json, r.value AS result_text, u.ts AS timestamp, r.ts AS result_timestamp FROM xcall r JOIN xuse u ON u.is_use AND u.id = r.id AND u.c * 1000 + u.t = r.used")
+def account_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of an export: inputs as they were, ids made where there are none, each call taken by the first result after it in the file."""
+    tables = simple.simple_tables(transcripts.account_entries(exported(spark, sf_dir)), across_sessions=True)
+    return tables["tool_calls"].select("tool_use_id", "session_id", "message_id", "tool_name", "input_json", "result_text", "timestamp", "result_timestamp")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY c, t) AS INTEGER) AS id, session_id, message_id, 'In ' || c || ' on ' || t AS content, ts AS timestamp FROM pe WHERE role = 'assistant' AND (c + t) % 2 = 0")
+def account_thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thinking blocks of an export, numbered through the whole file."""
+    return simple.simple_tables(transcripts.account_entries(exported(spark, sf_dir)), include_thinking=True, across_sessions=True)["thinking"]
+
+
+@query("""SELECT 'sessions' AS table_name, session_id AS id, CAST(count(*) AS VARCHAR) AS detail FROM pe GROUP BY session_id
+    UNION ALL SELECT 'messages', message_id, md5(substr(full_text, 1, 2000)) FROM pe
+    UNION ALL SELECT 'tool_calls', tool_use_id, substr(value, 1, 2000) FROM (SELECT r.tool_use_id, r.value FROM pb r JOIN pb u ON r.tool_use_id = u.id WHERE r.type = 'tool_result')
+    UNION ALL SELECT 'thinking', message_id, thinking FROM pb WHERE type = 'thinking'""")
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four simple tables as one JSON document in one file, read back."""
+    path = f"{fresh_folder(spark, 'document')}/export.json"
+    sinks.write_document(spark, simple.simple_tables(planted.star(spark, sf_dir).all_entries, include_thinking=True), path)
+    row = "struct<session_id: string, message_id: string, tool_use_id: string, message_count: int, content: string, result_text: string>"
+    doc = spark.read.schema(f"schema_type string, tables map<string, array<{row}>>").json(path, multiLine=True)
+    rows = doc.where("schema_type = 'simple'").select(F.explode("tables").alias("table_name", "rows")).select("table_name", F.explode("rows").alias("r"))
+    id_ = F.when(F.col("table_name") == "sessions", F.col("r.session_id")).when(F.col("table_name") == "tool_calls", F.col("r.tool_use_id")).otherwise(F.col("r.message_id"))
+    detail = F.when(F.col("table_name") == "sessions", F.col("r.message_count").cast("string")).when(F.col("table_name") == "messages", F.md5("r.content")).when(F.col("table_name") == "tool_calls", F.col("r.result_text")).otherwise(F.col("r.content"))
+    return rows.select("table_name", id_.alias("id"), detail.alias("detail"))
+
+
+@query("""WITH line AS (SELECT *, 2 * (row_number() OVER (PARTITION BY c % 4 ORDER BY c, t) - 1) AS n FROM pall)
+    SELECT c % 4 AS file, CAST(n AS INTEGER) AS line_no, role AS type, message_id AS uuid FROM line
+    UNION ALL SELECT c % 4, CAST(n + 1 AS INTEGER), CASE WHEN t = 0 THEN 'summary' ELSE 'file-history-snapshot' END, '' FROM line WHERE (c + t) % 4 = 3""")
+def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of many sessions in four files at several paths, read by lines with exact numbers; half of the files are read by each of two readers."""
+    lines, folder = planted.lines(read(spark, sf_dir, "conversations")), fresh_folder(spark, "lines")
+    lines = cut(lines.withColumn("c", F.substring("session_id", 2, 20).cast("long")), "lines")
+    for k in range(4):
+        sinks.write_lines(spark, lines.where(F.col("c") % 4 == k), ["c", "line_no"], "line", f"{folder}/{k}/all {k}.jsonl")
+    some = transcripts.read_session(spark, f"{folder}/0/all 0.jsonl").unionByName(transcripts.read_entries(spark, [f"{folder}/{k}/all {k}.jsonl" for k in (1, 2)]))
+    entries = some.unionByName(transcripts.read_entries(spark, f"{folder}/3"))
+    return entries.select(F.substring("session_id", 5, 1).cast("long").alias("file"), "line_no", "type", "uuid").where(F.col("project_path").endswith(F.concat(F.lit("/"), F.substring("session_id", 5, 1))))
+
+
 # Conversations, timelines, search.
 
 

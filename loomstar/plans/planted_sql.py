@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomstar.functions import fixed
-from loomstar.plans.planted import FENCES, NAMES, ODD_TEXT, START, STRINGS, TOOLS, TRUNCATE, VALUES
+from loomstar.plans.planted import FENCES, NAMES, ODD_INPUT_TEXT, ODD_TEXT, START, STRINGS, TOOLS, TRUNCATE, VALUES
 
 
 def text_of(text: str) -> str:
@@ -41,6 +41,9 @@ TABLES = {
     "pcall": f"""SELECT r.tool_use_id AS tool_call_id, md5(r.session_id) AS session_key, md5(u.name) AS tool_key, u.date_key, u.time_key, u.message_id AS invoke_message_id, r.message_id AS result_message_id, u.ts AS timestamp, CAST(length(u.value) AS INTEGER) AS input_char_count, CAST(length(r.value) AS INTEGER) AS output_char_count, r.is_error, u.value AS input_json, substr(u.value, 1, {TRUNCATE}) AS input_summary, substr(r.value, 1, {TRUNCATE}) AS output_text
         FROM pb r JOIN pb u ON r.tool_use_id = u.id WHERE r.type = 'tool_result'""",
     "pmention": f"""SELECT md5(message_id || '|' || entity_type || '|' || position_start) AS mention_id, message_id, md5(session_id) AS session_key, md5(entity_type) AS entity_type_key, entity_text, lower(entity_text) AS entity_normalized, substr(full_text[greatest(1, position_start - 49):position_start + n + 50], 1, 200) AS context_snippet, CAST(position_start AS INTEGER) AS position_start, CAST(position_start + n AS INTEGER) AS position_end FROM ({mentions})""",
+    "xuse": f"SELECT c, t, session_id, message_id, ts, 2 AS b, TRUE AS is_use, CASE WHEN t = 1 THEN 'shared' WHEN c % 2 = 0 THEN 'tool_p' || c || '_' || c || '-' || t ELSE 'k' || c || '-' || t END AS id, {text_of(ODD_INPUT_TEXT)} AS value FROM pe WHERE role = 'assistant' UNION ALL SELECT c, t, session_id, message_id, ts, 1, FALSE, CASE WHEN t IN (0, 2) THEN 'shared' WHEN c % 2 = 0 THEN 'tool_p' || c || '_' || c || '-' || (t - 1) ELSE 'k' || c || '-' || (t - 1) END, CASE WHEN t % 4 = 0 THEN '[''odd'', {{''a'': 1}}]' ELSE 'out }} ' || c END FROM pe WHERE role = 'user'",
+    "xlink": "SELECT *, max(CASE WHEN is_use THEN c * 1000 + t END) OVER (PARTITION BY id ORDER BY c, t, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM xuse",
+    "xcall": "SELECT * FROM xlink WHERE NOT is_use AND used IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, used ORDER BY c, t) = 1",
     "pcode": codes,
     "planguage": f"SELECT DISTINCT md5(language_name) AS language_key, language_name, file_extensions FROM ({languages}) WHERE EXISTS (FROM pcode)",
     "pmessage": f"""SELECT message_id, md5(session_id) AS session_key, md5(project_path) AS project_key, md5(role) AS message_type_key, CASE WHEN role = 'assistant' THEN md5('m-opus-9') END AS model_key, date_key, time_key, parent_uuid AS parent_message_id, ts AS timestamp, CAST(length(full_text) AS INTEGER) AS content_length,

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +78,48 @@ def write_json(spark: SparkSession, tables: dict[str, DataFrame], folder: str, s
     return counts
 
 
+def write_lines(spark: SparkSession, lines: DataFrame, order: list[str], text: str, path: str) -> None:
+    """One text file of all lines in their order, under the name given: sorted and written by one task, with spills, not through the driver."""
+    from loomstar.operators.links import shared_folder
+
+    parts = f"{shared_folder(spark)}/loomstar-{uuid.uuid4().hex}/lines"
+    lines.repartition(1).sortWithinPartitions(*order).select(text).write.text(parts)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(parts), hadoop.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    here, there = source.getFileSystem(conf), target.getFileSystem(conf)
+    there.mkdirs(target.getParent())
+    part = next(f.getPath() for f in here.listStatus(source) if f.getPath().getName().startswith("part-"))
+    there.delete(target, False)
+    if not hadoop.FileUtil.copy(here, part, there, target, True, True, conf):
+        raise OSError(f"{path} could not be written")
+
+
+def write_json_array(spark: SparkSession, rows: DataFrame, order: list[str], text: str, path: str) -> None:
+    """One file with one JSON array of the rows' JSON texts, in their order."""
+    from loomstar.operators.numbering import global_row_numbers
+
+    placed = global_row_numbers(rows.select(*order, F.col(text).alias("_text")), order, "_place")
+    comma = F.when(F.col("_place") > 0, ",").otherwise("")
+    ends = spark.createDataFrame([(-1, "["), (2**62, "]")], "_place long, _text string")
+    write_lines(spark, placed.select("_place", F.concat(comma, "_text").alias("_text")).unionByName(ends), ["_place"], "_text", path)
+
+
+def write_document(spark: SparkSession, tables: dict[str, DataFrame], path: str, schema: str = "simple") -> None:
+    """One JSON document of all tables: version, schema_type, exported_at and tables, each an array of its rows with their nulls."""
+    from loomstar.operators.links import cut
+
+    first = {"version": "1.0", "schema_type": schema, "exported_at": datetime.now(UTC).isoformat()}
+    frame, parts = [(-1, 0, 0, json.dumps(first)[:-1] + ', "tables": {'), (len(tables), 0, 0, "}}")], []
+    for k, (name, df) in enumerate(tables.items()):
+        frame += [(k, 0, 0, f"{',' if k else ''}{json.dumps(name)}: ["), (k, 2, 0, "]")]
+        rows = cut(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_text")).withColumn("_row", F.monotonically_increasing_id()), "document_rows")
+        least = rows.agg(F.min("_row")).first()[0]
+        parts.append(rows.select(F.lit(k).alias("_table"), F.lit(1).alias("_kind"), "_row", F.concat(F.when(F.col("_row") == least, "").otherwise(","), "_text").alias("_text")))
+    lines = reduce(DataFrame.unionByName, parts, spark.createDataFrame(frame, "_table int, _kind int, _row long, _text string"))
+    write_lines(spark, lines, ["_table", "_kind", "_row"], "_text", path)
+
+
 def write_search_index(spark: SparkSession, documents: DataFrame, folder: str, version: int = 1) -> int:
     """What a search reads: the documents (conversation.search_documents) as JSON Lines, and a line with version and count beside them."""
     n = write_counted({"documents": documents}, folder, "json")["documents"]

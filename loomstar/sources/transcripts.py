@@ -11,8 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomstar.functions import columns as C
+from loomstar.sources import ordered_text
 
 ENTRY = (
     "type string, uuid string, parentUuid string, timestamp string, sessionId string, cwd string, gitBranch string, version string, "
@@ -33,16 +35,21 @@ def wall_clock(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(F.when(text.rlike(ISO), text), r"(?:Z|[+-]\d{2}:?\d{2})$", ""))
 
 
+def stem_and_folder(path: Column) -> tuple[Column, Column]:
+    """A file's name without its last suffix, and its folder, of a path as Spark writes it."""
+    name = F.element_at(F.split(path, "/"), -1)
+    folder = F.regexp_replace(F.regexp_replace(path, r"/[^/]*$", ""), r"^file:(?://)?", "")
+    return F.url_decode(F.regexp_extract(name, r"^(.*?)(?:\.[^.]*)?$", 1)), F.url_decode(folder)
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """session_id (file stem), project_path (its directory), line_no and line of each non-blank line.
 
-    A transcript is read whole, so that line numbers are exact; the files, not their lines, are the unit of parallelism.
+    Lines end as for Python's readers, and are numbered from 0 in their file, however many tasks read it.
     """
-    raw = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    folder = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", ""), r"^file:(?://)?", "")
-    rows = raw.select(F.url_decode(stem).alias("session_id"), F.url_decode(folder).alias("project_path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return rows.withColumn("line", C.strip(F.col("line"))).where("line <> ''")
+    stem, folder = stem_and_folder(F.col("path"))
+    rows = ordered_text.pieces(spark, paths, files="*.jsonl")
+    return rows.select(stem.alias("session_id"), folder.alias("project_path"), F.col("piece").cast("int").alias("line_no"), C.strip(F.col("value")).alias("line")).where("line <> ''")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -87,9 +94,8 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
     """The other form of a transcript: one JSON document {"loglines": [...]}."""
     raw = spark.read.text(path, wholetext=True)
     items = F.from_json(F.get_json_object("value", "$.loglines"), "array<string>")
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    folder = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", ""), r"^file:(?://)?", "")
-    return parse_lines(raw.select(F.url_decode(stem).alias("session_id"), F.url_decode(folder).alias("project_path"), F.posexplode(items).alias("line_no", "line")))
+    stem, folder = stem_and_folder(F.col("_metadata.file_path"))
+    return parse_lines(raw.select(stem.alias("session_id"), folder.alias("project_path"), F.posexplode(items).alias("line_no", "line")))
 
 
 def read_session(spark: SparkSession, path: str) -> DataFrame:
@@ -173,6 +179,55 @@ def chains(files: DataFrame, entries: DataFrame, summaries: DataFrame) -> DataFr
     return rows.groupBy("slug").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("size").alias("total_size"), F.min("modified").alias("first_modified"), F.max("modified").alias("last_modified"), F.max_by("summary", F.struct("modified", "session_id")).alias("summary"))
 
 
+def with_id(block: Column, made: Column) -> Column:
+    """A tool call with the id that is made for it, its name, and its input as it was; any other block unchanged."""
+    call = F.from_json(block, "type string, id string, name string, input string")
+    kind = C.json_kind(F.from_json(block, "input variant")["input"])
+    quoted = lambda text: F.to_json(F.array(text))
+    bare = lambda text: F.substring(quoted(text), 2, F.length(quoted(text)) - 2)
+    given = F.when(kind == "string", bare(call["input"])).when(kind == "null", "null").otherwise(F.coalesce(call["input"], F.lit("{}")))
+    text = F.concat(F.lit('{"type":"tool_use","id":'), bare(made), F.lit(',"name":'), bare(F.coalesce(call["name"], F.lit(""))), F.lit(',"input":'), given, F.lit("}"))
+    return F.when((call["type"] == "tool_use") & (F.coalesce(call["id"], F.lit("")) == ""), text).otherwise(block)
+
+
+EXPORTED = "uuid string, name string, summary string, created_at string, updated_at string, chat_messages array<struct<uuid string, text string, content array<string>, sender string, created_at string>>"
+
+
+def account_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """session_no (from 0, in the file's order) and the fields of each conversation of an account's export, which may be one large line."""
+    return ordered_text.json_elements(spark, path).select(F.col("nth").alias("session_no"), F.from_json("element", EXPORTED).alias("c")).select("session_no", "c.*")
+
+
+def listed_conversations(conversations: DataFrame) -> DataFrame:
+    """What a list of an export shows: short id, day of the last change, number of messages and name, the last changed first."""
+    n = F.coalesce(F.size("chat_messages"), F.lit(0))
+    rows = conversations.select("session_no", F.substring("uuid", 1, 8).alias("short_id"), F.substring("updated_at", 1, 10).alias("updated"), n.alias("n_messages"), F.substring(F.coalesce("name", F.lit("(untitled)")), 1, 60).alias("name"), "updated_at")
+    return rows.orderBy(F.coalesce("updated_at", F.lit("")).desc(), "session_no").drop("updated_at")
+
+
+def account_entries(conversations: DataFrame, conversation_ids: list[str] | None = None, include_thinking: bool = True) -> DataFrame:
+    """Entries of an export's conversations, with session_no; messages of a repeated conversation id follow those before.
+
+    A tool call without id gets one from its conversation and message.
+    """
+    if conversation_ids is not None:
+        conversations = conversations.where(F.col("uuid").isin(conversation_ids))
+    before = Window.partitionBy("uuid").orderBy("session_no").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum(F.coalesce(F.size("chat_messages"), F.lit(0))).over(before), F.lit(0))
+    rows = conversations.withColumn("_before", earlier).select(F.coalesce("uuid", F.lit("")).alias("session_id"), F.col("name").alias("project_path"), F.first("session_no").over(Window.partitionBy("uuid").orderBy("session_no")).alias("session_no"), "_before", F.posexplode("chat_messages").alias("_at", "m"))
+    made = F.concat(F.lit("tool_"), F.col("session_id"), F.lit("_"), F.coalesce("m.uuid", F.lit("")))
+    block = F.transform(F.filter("m.content", lambda b: b.startswith("{")), lambda b: with_id(b, made))
+    if not include_thinking:
+        block = F.filter(block, lambda b: F.coalesce(F.get_json_object(b, "$.type"), F.lit("")) != "thinking")
+    some = F.coalesce(F.size("m.content"), F.lit(0)) > 0
+    content = F.when(some, F.concat(F.lit("["), F.array_join(block, ","), F.lit("]"))).otherwise(F.col("m.text"))
+    none, text = F.lit(None).cast("string"), lambda c: F.coalesce(c, F.lit(""))
+    return rows.select(
+        "session_id", "project_path", (F.col("_before") + F.col("_at")).cast("int").alias("line_no"), F.when(F.col("m.sender") == "human", "user").otherwise(F.col("m.sender")).alias("type"), text(F.col("m.uuid")).alias("uuid"), none.alias("parent_uuid"), text(F.col("m.created_at")).alias("ts_text"), timestamp_of(F.col("m.created_at")).alias("ts"), none.alias("model"),
+        content.alias("content"), F.when(some, "array").otherwise("string").alias("content_kind"), F.lit(False).alias("is_sidechain"), none.alias("cwd"), none.alias("git_branch"), none.alias("version"), none.alias("agent_id"), F.col("session_id").alias("log_session_id"), F.lit(False).alias("is_meta"), F.lit(False).alias("is_compact_summary"), none.alias("slug"), none.alias("summary"), F.lit(True).alias("has_message"), "session_no",
+    )
+
+
 def account_export(spark: SparkSession, folder: str, conversation_ids: list[str] | None = None, include_thinking: bool = True) -> dict[str, DataFrame]:
     """An account's export: conversations.json, and projects, users, memories where they exist. Gives entries and the others."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -180,21 +235,7 @@ def account_export(spark: SparkSession, folder: str, conversation_ids: list[str]
     there = {f.getPath().getName() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)}
     if "conversations.json" not in there:
         raise FileNotFoundError(f"{folder}/conversations.json")
-    raw = spark.read.text(f"{folder}/conversations.json", wholetext=True)
-    conv = raw.select(F.explode(F.from_json("value", "array<struct<uuid string, name string, summary string, created_at string, updated_at string, chat_messages string>>")).alias("c"))
-    if conversation_ids is not None:
-        conv = conv.where(F.col("c.uuid").isin(conversation_ids))
-    message = "array<struct<uuid string, text string, content string, sender string, created_at string>>"
-    rows = conv.select(F.col("c.uuid").alias("session_id"), F.col("c.name").alias("project_path"), F.posexplode(F.from_json("c.chat_messages", message)).alias("line_no", "m"))
-    block = F.from_json("m.content", "array<string>")
-    # a missing id of a tool call is made from the session and message
-    made = F.transform(block, lambda b: F.when((F.get_json_object(b, "$.type") == "tool_use") & F.get_json_object(b, "$.id").isNull(), F.to_json(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("tool_"), F.col("session_id"), F.lit("_"), F.col("m.uuid")).alias("id"), F.get_json_object(b, "$.name").alias("name"), F.from_json(F.get_json_object(b, "$.input"), "map<string,string>").alias("input")))).otherwise(b))
-    if not include_thinking:
-        made = F.filter(made, lambda b: F.get_json_object(b, "$.type") != "thinking")
-    text = F.concat(F.lit("["), F.array_join(made, ","), F.lit("]"))
-    none = F.lit(None).cast("string")
-    entries = rows.select("session_id", "project_path", "line_no", F.when(F.col("m.sender") == "human", "user").otherwise(F.col("m.sender")).alias("type"), F.col("m.uuid").alias("uuid"), none.alias("parent_uuid"), F.col("m.created_at").alias("ts_text"), timestamp_of(F.col("m.created_at")).alias("ts"), none.alias("model"), F.when(F.size(block) > 0, text).otherwise(F.col("m.text")).alias("content"), F.when(F.size(block) > 0, "array").otherwise("string").alias("content_kind"), F.lit(False).alias("is_sidechain"), none.alias("cwd"), none.alias("git_branch"), none.alias("version"), none.alias("agent_id"), F.col("session_id").alias("log_session_id"), F.lit(False).alias("is_meta"), F.lit(False).alias("is_compact_summary"), none.alias("slug"), none.alias("summary"), F.lit(True).alias("has_message"))
-    out = {"entries": entries}
+    out = {"entries": account_entries(account_conversations(spark, f"{folder}/conversations.json"), conversation_ids, include_thinking)}
     for name in ("projects", "users", "memories"):
         if f"{name}.json" in there:
             out[name] = spark.read.json(f"{folder}/{name}.json", multiLine=True)
