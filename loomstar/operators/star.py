@@ -85,7 +85,9 @@ class Star:
         kind, other = F.col("result_kind"), F.col("result_kind").isin("object", "scalar", "null")
         text = F.when(kind == "string", F.col("result")).when(plain, joined).when(kind == "array", as_python_texts(F.when(~plain, F.col("result"))))
         text = F.coalesce(text.when(other, as_python_str(F.when(other, F.coalesce("result", F.lit("null"))))), F.lit(""))
-        given = F.when(F.col("type") == "tool_use", F.coalesce("input", F.lit("{}")))
+        use = F.col("type") == "tool_use"
+        told = C.json_kind(F.from_json(F.when(use & F.col("input").isNull(), F.col("raw")), "input variant")["input"])  # null, or not there
+        given = F.when(use, F.coalesce("input", F.when(told == "null", "null"), F.lit("{}")))
         return self.kept_once(rows.withColumn("full_output", F.when(F.col("type") == "tool_result", text)).withColumn("input_json", as_python_json(given)), "blocks")
 
     @property
