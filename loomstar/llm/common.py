@@ -72,6 +72,42 @@ def spread_join(rows: DataFrame, other: DataFrame, key: str, often: str, total:
     return rows.join(F.broadcast(hot), key).unionByName(cold.join(other.where(F.col(often) * HOT <= total), key))
 
 
+def marked_join(rows: DataFrame, other: DataFrame, key: str, often: str, total: int) -> DataFrame:
+    """spread_join, always with the hot keys marked first, so that the steps are the same on any input; other has one row of a key."""
+    hot = F.col(often) * HOT > total
+    columns = [F.col(c).alias(f"_{c}_hot") for c in other.columns if c != key]
+    marked = rows.join(F.broadcast(other.where(hot).select(key, *columns)), key, "left")  # fewer than HOT rows
+    is_hot = F.col(f"_{often}_hot").isNotNull()
+    warm = marked.where(is_hot).select(key, *[c for c in rows.columns if c != key], *[F.col(f"_{c}_hot").alias(c) for c in other.columns if c != key])
+    cold = marked.where(~is_hot).select(rows.columns).join(other.where(~hot), key)
+    return warm.unionByName(cold)
+
+
+def spread_anti(rows: DataFrame, other: DataFrame, key: str, often: str, total: int) -> DataFrame:
+    """The rows whose key isn't in other, a written table; hot keys, which are few (see spread_join), are taken out first."""
+    hot = other.where(F.col(often) * HOT > total).select(key)
+    if hot.limit(1).count():
+        rows = rows.join(F.broadcast(hot), key, "left_anti")
+    return rows.join(other.select(key), key, "left_anti")
+
+
+def salted_join(rows: DataFrame, other: DataFrame, key: str, often: str, total: int) -> DataFrame:
+    """rows joined to other, which may have many rows of a key, without sending a hot key's rows to one task or broadcasting a side.
+
+    often: a column of other, how many of the total rows have the key. A hot key's rows are dealt to blocks of a HOT-th of
+    all rows (so to HOT blocks at most), and other's rows of the key are copied to each of them.
+    """
+    blocks = F.greatest(F.ceil(F.col(often) * HOT / max(1, total)), F.lit(1)).cast("int")
+    keys = written(other.groupBy(key).agg(F.max(often).alias(often)).select(key, blocks.alias("_blocks")).where("_blocks > 1"), "blocks_of_keys")
+    if keys.limit(1).count() == 0:
+        return rows.join(other, key)
+    keys = F.broadcast(keys)  # fewer than HOT
+    own = F.pmod(F.xxhash64(*rows.columns), F.col("_blocks")).cast("int")
+    dealt = rows.join(keys, key, "left").withColumn("_block", F.coalesce(own, F.lit(0))).drop("_blocks")
+    copied = other.join(keys, key, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_blocks")
+    return dealt.join(copied, [key, "_block"]).drop("_block")
+
+
 def md5_slot(key: Column, slots: int) -> Column:
     """A slot of 0 to slots - 1 from the first 32 bits of the key's MD5."""
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("long") % F.lit(slots)).cast("int")
@@ -112,8 +148,13 @@ def label_sample(labels: DataFrame, label: str, training: Column, per_class: int
 
 
 def sample_texts(docs: DataFrame, sample: DataFrame, columns: list[str]) -> DataFrame:
-    """The sampled documents. The sample's size is bounded by its parameter, so it is broadcast."""
-    return docs.select("doc_id", *columns).join(F.broadcast(sample), "doc_id")
+    """doc_id, the columns and the label of one row of each sampled id: that with the least hash, if an id is repeated.
+
+    The sample's size is bounded by its parameter, so it is broadcast, and as many rows at most are given.
+    """
+    rows = docs.select("doc_id", *columns).join(F.broadcast(sample), "doc_id")
+    one = F.min_by(F.struct(*columns, "label"), F.xxhash64(*columns)).alias("_one")
+    return rows.groupBy("doc_id").agg(one).select("doc_id", "_one.*")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -105,7 +105,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
     """node, n and own, the shingles of its prefix and the DEPTH after it that other sets have: (place, often, value), by place."""
     rows = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("value"))
     often = common.written(rows.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
-    rows = common.spread_join(rows, often, "value", "often", often.agg(F.sum("often")).first()[0] or 0)
+    rows = common.marked_join(rows, often, "value", "often", often.agg(F.sum("often")).first()[0] or 0)
     by = Window.partitionBy("node")
     place = F.col("n") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("often", "value")) - 1  # those that no other has come first
     rows = rows.withColumn("place", place.cast("int")).where(F.col("place") < prefix_column(F.col("n")) + DEPTH)
