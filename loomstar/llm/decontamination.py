@@ -20,6 +20,7 @@ from loomstar.llm import common
 N = 13
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows that are broadcast at most, about 200 bytes each; beyond, the windows are joined by a shuffle.
+COPIES = 10_000
 BROADCAST_WINDOWS = 500_000
 
 
@@ -82,7 +83,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
     by = by.withColumn("n_hit", F.size(covered).cast("long")).withColumn("items", F.array_sort("items")).withColumn("n_items", F.size("items").cast("long"))
     by = by.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
-    return by.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "copies")  # repeated rows again
+    # repeated rows again, by arrays of COPIES at most, however many there are
+    by = by.withColumn("_block", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
+    return by.withColumn("_copy", F.explode(F.expr(f"sequence(1L, least({COPIES}L, copies - _block * {COPIES}))"))).drop("_block", "_copy", "copies")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:

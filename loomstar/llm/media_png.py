@@ -1,8 +1,8 @@
 """Media columns: PNG files in binary columns, written and read chunk by chunk, with low-frequency cosine hashes.
 
 encode_png() makes the chunks with zlib and their CRCs, decode_png() tests every CRC and the order of chunks, inflates no
-more than the header announces, and undoes the five row filters with numpy: the average and Paeth filters along
-diagonals, on which no sample needs another. A hash is the sign pattern of the lowest 8 x 8 frequencies (but the mean) of the grey picture
+more than the header announces (and nothing if that is more than LARGEST or than the data can hold), and undoes the five row filters with numpy: the average and Paeth filters along
+diagonals, on which no sample needs another. Samples of 1 to 16 bits, palettes and interlaced pictures are read. A hash is the sign pattern of the lowest 8 x 8 frequencies (but the mean) of the grey picture
 shrunk to 32 x 32.
 
 Edge cases: a null or empty text is a payload of 192 spaces; a broken file raises ValueError in decode_png() and gives
@@ -25,8 +25,13 @@ from pyspark.sql import functions as F
 from loomstar.llm import common
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-#: Samples of a pixel by colour type; only 8-bit samples are handled.
-SAMPLES = {0: 1, 2: 3, 4: 2, 6: 4}
+#: Samples of a pixel by colour type (3 is a palette's index), and the bits that each may have.
+SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+#: The seven passes of an interlaced picture: first column and row, steps between columns and rows.
+PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+#: Bytes of samples that a file may announce, and those that a byte of deflated data can give at most.
+LARGEST, MOST_INFLATED = 1 << 28, 1032
 WIDTH, LEVEL, SIDE, LOW = 64, 4, 32, 8
 #: Files that are in memory at once, but for those of Arrow's own batches.
 CHUNK = 64
@@ -54,7 +59,7 @@ def filtered(rows: np.ndarray, step: int) -> np.ndarray:
 def encode_png(pixels: np.ndarray) -> bytes:
     """pixels: height x width x samples (1 to 4) of uint8."""
     height, width, n = pixels.shape
-    colour = {v: k for k, v in SAMPLES.items()}[n]
+    colour = {1: 0, 2: 4, 3: 2, 4: 6}[n]
     body = zlib.compress(filtered(pixels.reshape(height, width * n), n).tobytes(), LEVEL)
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
 
@@ -96,11 +101,11 @@ def waved(rows: np.ndarray, kinds: np.ndarray, a: int, b: int, step: int) -> Non
     rows[a:b] = done[1:, 1:].reshape(height, -1)
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """Height x width x samples. Raises ValueError where a signature, length, checksum, order, method or size is wrong."""
+def chunks_of(data: bytes) -> tuple[tuple, bytes | None, bytes]:
+    """The header's fields, the palette if there is one, and the compressed samples. Raises ValueError as decode_png() does."""
     if data[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
-    at, head, body, ended, last = 8, None, [], False, b""
+    at, head, palette, body, ended, last = 8, None, None, [], False, b""
     while at < len(data) and not ended:
         if at + 12 > len(data):
             raise ValueError("cut chunk")
@@ -120,24 +125,64 @@ def decode_png(data: bytes) -> np.ndarray:
             if body and last != b"IDAT":
                 raise ValueError("data chunks apart")
             body.append(part)
-        elif kind not in (b"PLTE", b"IEND") and not kind[0] & 32:
+        elif kind == b"PLTE":
+            if palette is not None or body or n % 3 or not 0 < n <= 768:
+                raise ValueError("palette out of place or of a wrong length")
+            palette = part
+        elif kind != b"IEND" and not kind[0] & 32:
             raise ValueError(f"unknown critical chunk {kind!r}")
         last, ended, at = kind, kind == b"IEND", at + 12 + n
     if head is None or not ended:
         raise ValueError("no header or no end")
-    width, height, bits, colour, packed, filters, interlaced = head
-    if bits != 8 or colour not in SAMPLES or interlaced or packed or filters:
-        raise ValueError("only 8-bit samples without palette and interlacing, and method 0")
+    return head, palette, b"".join(body)
+
+
+def unpacked(rows: np.ndarray, width: int, n: int, bits: int) -> np.ndarray:
+    """Rows of bytes as height x width x n samples of 1 to 16 bits."""
+    if bits == 16:
+        return rows.copy().view(">u2").reshape(len(rows), width, n).astype(np.uint16)
+    if bits < 8:
+        each = np.unpackbits(rows, axis=1).reshape(len(rows), -1, bits)[:, : width * n]
+        rows = np.packbits(each, axis=2)[:, :, 0] >> (8 - bits)
+    return rows.reshape(len(rows), width, n)
+
+
+def decode_png(data: bytes, largest: int = LARGEST) -> np.ndarray:
+    """Height x width x samples, of 16 bits as uint16, else as uint8; a palette's indices as the colours that they stand for.
+
+    Raises ValueError where a signature, length, checksum, order, method or size is wrong, and before anything is inflated
+    where the header announces more bytes than largest or than its data can hold.
+    """
+    (width, height, bits, colour, packed, filters, interlaced), palette, body = chunks_of(data)
+    if bits not in DEPTHS.get(colour, ()) or interlaced > 1 or packed or filters:
+        raise ValueError("unknown samples or methods")
+    if (colour == 3) != (palette is not None) and colour in (0, 3, 4):
+        raise ValueError("palette missing or not allowed")
     n = SAMPLES[colour]
-    size = height * (width * n + 1)
+    parts = [(x, y, dx, dy) for x, y, dx, dy in (PASSES if interlaced else [(0, 0, 1, 1)]) if x < width and y < height]
+    shapes = [(-(-(height - y) // dy), -(-(width - x) // dx)) for x, y, dx, dy in parts]
+    size = sum(h * (1 + (w * n * bits + 7) // 8) for h, w in shapes)
+    if not width or not height or size > min(largest, MOST_INFLATED * len(body) + 64):
+        raise ValueError("wrong size")
     inflate = zlib.decompressobj()
     try:
-        raw = inflate.decompress(b"".join(body), size + 1)
+        raw = inflate.decompress(body, size + 1)
     except zlib.error as e:
         raise ValueError(str(e)) from None
-    if not width or not height or len(raw) != size or not inflate.eof:
+    if len(raw) != size or not inflate.eof:
         raise ValueError("wrong size")
-    return unfiltered(np.frombuffer(raw, np.uint8).reshape(height, width * n + 1), n).reshape(height, width, n)
+    pixels, at = np.zeros((height, width, n), np.uint16 if bits == 16 else np.uint8), 0
+    for (x, y, dx, dy), (h, w) in zip(parts, shapes, strict=True):
+        line = 1 + (w * n * bits + 7) // 8
+        rows = unfiltered(np.frombuffer(raw, np.uint8, h * line, at).reshape(h, line), max(1, n * bits // 8))
+        pixels[y::dy, x::dx] = unpacked(rows, w, n, bits)
+        at += h * line
+    if colour == 3:
+        colours = np.frombuffer(palette, np.uint8).reshape(-1, 3)
+        if pixels.max() >= len(colours):
+            raise ValueError("colour beyond the palette")
+        pixels = colours[pixels[:, :, 0]]
+    return pixels
 
 
 def shrunk(grey: np.ndarray, side: int = SIDE) -> np.ndarray:

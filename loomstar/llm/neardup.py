@@ -14,6 +14,9 @@
    the others of other components, and leave it, until a list lies in one component or has SHORT inner members at most.
    Members of such short lists meet its inner ones, within the bounds, so each is tried with SHORT others at most.
 
+Where a value's list is hot, its members are dealt to blocks and the inner ones copied to each (common.salted_join). In the
+worst case, a hot value with as many components as members, inner members x members are still tried.
+
 So no list is expanded into all its pairs, and no link between different texts is lost but with the chance that
 two texts at the threshold share fewer than LEAST of K values (3.4e-8 for large sets). Joins by values and classes
 keep hot keys apart (common.spread_join).
@@ -89,11 +92,12 @@ def sketched(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, repeated: bool, size: int = WORDS) -> DataFrame:
-    """node and full set of the wanted classes (node, doc_id, fingerprint of one of their rows). repeated: rows may be."""
-    wanted = wanted.select("node", F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print"))
+    """node and full set of the wanted classes (node, and doc_id, text_hash, fingerprint of one of their rows). repeated: rows may be."""
+    wanted = wanted.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), F.col("fingerprint").alias("_print"))
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "_print", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))  # ids may be null or repeated
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, same).select("node", "_print", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -168,13 +172,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each row, its text_hash and component (null without words)."""
     rows = common.written(sketched(docs, size, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("fingerprint").agg(F.min(F.struct("row", "doc_id", "n_shingles", "sketch")).alias("r"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    reps = common.written(classes.select(F.col("r.row").alias("node"), F.col("r.doc_id").alias("doc_id"), "fingerprint", F.col("r.n_shingles").alias("n_shingles"), F.col("r.sketch").alias("sketch"), "least_id", "copies"), "classes")
+    classes = rows.where("n_shingles > 0").groupBy("fingerprint").agg(F.min(F.struct("row", "doc_id", "text_hash", "n_shingles", "sketch")).alias("r"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    reps = common.written(classes.select(F.col("r.row").alias("node"), F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash"), "fingerprint", F.col("r.n_shingles").alias("n_shingles"), F.col("r.sketch").alias("sketch"), "least_id", "copies"), "classes")
 
     listed = common.written(lists(reps, "sketch", k), "lists")
     star = common.written(estimated(stars(listed), reps, k), "pairs")
     suspects = listed.select("node").distinct()
-    repeated = rows.groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    repeated = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     sets = common.written(full_sets(docs, reps.join(suspects, "node"), repeated, size), "sets")
     links = common.written(confirmed(star, sets), "confirmed")
     first = common.written(components(links), "components")
@@ -233,7 +237,7 @@ def tried(listed: DataFrame, inner: DataFrame, total: int) -> DataFrame:
     """Pairs (a, b) of inner members (as_inner) and of members of other components of their lists that the place bound allows."""
     need = F.col("xn") + F.col("n_shingles")  # 9 x overlap >= 4 x sum of the sizes, where J >= 0.8
     bound = (F.least(F.col("xn") - F.col("xp"), F.col("n_shingles") - F.col("place")) * 9 >= need * 4) & alike_sizes("xn", "n_shingles")
-    pairs = common.spread_join(listed.drop("_n"), inner, "value", "_n", total).where((F.col("component") != F.col("xc")) & bound)
+    pairs = common.salted_join(listed.drop("_n"), inner, "value", "_n", total).where((F.col("component") != F.col("xc")) & bound)
     return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 

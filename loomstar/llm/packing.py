@@ -70,8 +70,15 @@ def pack(docs: DataFrame, tokens: Column | None = None, longest: int = LONGEST,
     bucket = F.lit(bounds[-1])
     for b in reversed(bounds[:-1]):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(bucket)
-    slot = common.md5_slot(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("piece").cast("string")), slots)
-    rows = cut.withColumn("bucket", bucket).withColumn("_slot", slot)
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("piece").cast("string"))
+    repeated = common.written(cut.groupBy("doc_id", "piece").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key.alias("_key"), "_n"), "repeated_pieces")
+    rows = cut.withColumn("bucket", bucket).withColumn("_own", key)
+    if repeated.limit(1).count():  # rows without id or of a repeated id are dealt out by their row
+        total, keyed = cut.count(), cut.withColumn("_key", key).withColumn("_row", F.monotonically_increasing_id())
+        several = common.spread_join(keyed, repeated, "_key", "_n", total).withColumn("_own", F.concat_ws("/", "_key", F.col("_row").cast("string")))
+        single = common.spread_anti(keyed, repeated, "_key", "_n", total).withColumn("_own", F.col("_key"))
+        rows = single.select(*cut.columns, "_own").unionByName(several.select(*cut.columns, "_own")).withColumn("bucket", bucket)
+    rows = rows.withColumn("_slot", common.md5_slot(F.col("_own"), slots)).drop("_own")
     rows = common.numbered(rows, ["bucket"], "_slot", ["doc_id", "piece", "n_tokens"], "_number")
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket")))).cast("long")
     return rows.select("doc_id", "piece", "n_tokens", "bucket", F.floor(F.col("_number") / per_batch).cast("long").alias("batch"), (F.col("_number") % per_batch).alias("place"), (F.col("bucket") - F.col("n_tokens")).alias("padding"))

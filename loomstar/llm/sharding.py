@@ -38,10 +38,12 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     rows = docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = record_key(F.col("doc_id"), F.col("size"))
     rows = common.written(rows.withColumn("_key", F.concat_ws("/", key, "text_crc32")).withColumn("_row", F.monotonically_increasing_id()), "records")
-    repeated = common.written(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"), "repeated_records")
-    single = rows.join(repeated, "_key", "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    repeated = common.written(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "repeated_records")
+    total = rows.count()
+    single = common.spread_anti(rows, repeated, "_key", "_n", total).withColumn("_copy", F.lit(0).cast("long"))
     part = F.shiftright("_row", 33)  # the task that read the row, so that no hot group meets in one window
-    copies = common.numbered(rows.join(repeated, "_key").withColumn("_part", part), ["_key"], "_part", ["_row"], "_copy").select(single.columns)
+    several = common.spread_join(rows, repeated, "_key", "_n", total).withColumn("_part", part)
+    copies = common.numbered(several, ["_key"], "_part", ["_row"], "_copy").select(single.columns)
     own = F.when(F.col("_copy") == 0, key).otherwise(F.concat_ws("/", key, F.col("_copy").cast("string")))
     return single.unionByName(copies).select("doc_id", "size", "text_crc32", common.md5_slot(own, slots).alias("virtual_slot"))
 
@@ -91,11 +93,12 @@ def rebalance(sizes: DataFrame, history: DataFrame, version: int, shards: int) -
 
 
 def load_map(spark: SparkSession, path: str) -> DataFrame | None:
-    """All versions of the map under a path; null where there is none yet."""
+    """All versions of the map under a path; null where there is none yet, or none whose first version was written to its end."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return None
-    return spark.read.schema(MAP).parquet(path)
+    history = spark.read.schema(MAP).parquet(path)
+    return history if history.where("version = 0").count() else None
 
 
 def shard(docs: DataFrame, shards: int, map_path: str, slots: int = SLOTS) -> DataFrame:
@@ -107,7 +110,7 @@ def shard(docs: DataFrame, shards: int, map_path: str, slots: int = SLOTS) -> Da
     spark = docs.sparkSession
     rows = common.written(records(docs, slots), "slotted_records")
     if load_map(spark, map_path) is None:
-        first_map(spark, shards, slots).write.parquet(map_path)
+        first_map(spark, shards, slots).coalesce(1).write.mode("overwrite").parquet(map_path)
     history = load_map(spark, map_path)
     version = history.agg(F.max("version")).first()[0]
     common.written(rebalance(slot_sizes(rows, slots), history, version, shards), "slot_map_edits").write.mode("append").parquet(map_path)

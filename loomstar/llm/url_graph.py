@@ -122,6 +122,11 @@ def judge(pages: DataFrame, rules: dict[str, str], tolerance: float = TOLERANCE)
     ranks = walks(between, known.select(kind.alias("kind"), "host", share.alias("seed")), path_steps(links, n_hosts), tolerance)
     ranks = in_shares(ranks.where("not startswith(host, '/')")).withColumn("rank", F.col("rank") * n_hosts)
     marks = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
-    out = rows.join(marks, "host", "left").fillna(0.0, ["trust", "distrust"])
+    # only hosts with pages are marked, each with how many it has, so that a hot host isn't sent to one task
+    pages_of = by_host.groupBy("host").agg(F.sum("n").alias("_n"))
+    marks = common.written(pages_of.join(marks, "host", "left").fillna(0.0, ["trust", "distrust"]), "marks_of_hosts")
+    some = common.spread_join(rows.where("host <> ''"), marks, "host", "_n", rows.count()).drop("_n")
+    none = rows.where("host = ''").withColumn("trust", F.lit(0.0)).withColumn("distrust", F.lit(0.0))
+    out = some.unionByName(none)
     over = (F.col("distrust") > F.col("trust") * (1 + MARGIN)) & (F.col("distrust") > EVEN_SHARES * (1 + MARGIN))
     return out.select("page_id", "host", "path", "rule", F.coalesce("_verdict", F.when(over, "block").otherwise("allow")).alias("verdict"), F.round("trust", 4).alias("trust"), F.round("distrust", 4).alias("distrust"))

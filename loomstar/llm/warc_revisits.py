@@ -57,7 +57,8 @@ def resolve(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     rows = common.written(rows.withColumn("span", F.floor(F.col("ts") / span_seconds)), "captures")
     full = F.when(F.col("kind") == "response", F.struct("ts", F.col("record_id").alias("id"), "headers"))
     placed = rows.where("canonical_url is not null and ts is not null")
-    last = F.max_by(full, F.when(F.col("kind") == "response", F.col("record_id")))
+    known_first = F.struct(F.col("record_id").isNotNull(), F.col("record_id"))  # of the responses of a second: one with an id, the largest
+    last = F.max_by(full, F.when(F.col("kind") == "response", known_first))
     seconds = placed.groupBy("canonical_url", "span", "ts").agg(last.alias("_full"), F.count_if(F.col("kind") == "revisit").alias("_n"))
     seconds = common.written(seconds, "seconds_of_urls")
     spans = seconds.groupBy("canonical_url", "span").agg(F.max_by("_full", F.when(F.col("_full").isNotNull(), F.col("ts"))).alias("_last"))
