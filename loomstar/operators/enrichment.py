@@ -1,17 +1,19 @@
-"""Enrichment by functions of the user: messages in batches, sessions one by one."""
+"""Enrichment by functions of the user: messages in batches, with a ledger of answers, sessions one by one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomstar.functions import columns as C
+from loomstar.operators import links
 
 ANSWER = "message_id string, session_key string, intent string, sentiment string, topics array<string>, complexity_score double, confidence_score double"
+LEDGER = f"{ANSWER}, enrichment_model string, enriched_at timestamp"
 SESSION_MESSAGES = 50
 
 
@@ -31,20 +33,60 @@ def enrich_messages(rows: DataFrame, function: Callable[[list[dict]], list[dict]
                 part = records[at : at + batch_size]
                 keys = {r["message_id"]: r["session_key"] for r in part}
                 for a in function(part):
+                    if not a.get("message_id"):
+                        continue
                     out.append((a["message_id"], keys.get(a["message_id"]), a.get("intent", "question"), a.get("sentiment", "neutral"), list(a.get("topics", [])), float(a.get("complexity_score", 0.5)), float(a.get("confidence_score", 0.5))))
             yield pd.DataFrame(out, columns=["message_id", "session_key", "intent", "sentiment", "topics", "complexity_score", "confidence_score"])
 
     return rows.mapInPandas(run, ANSWER)
 
 
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All answers under a path: those of every run, each with the model and time; none where there is no folder yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def enrich(path: str, messages: DataFrame, message_types: DataFrame, function: Callable[[list[dict]], list[dict]], model: str, batch_size: int = 10, limit: int | None = None, session_key: str | None = None, per_round: int = 100_000) -> int:
+    """Asks for the messages that the ledger has no answer to and writes the answers there; gives how many were asked for.
+
+    limit: so many messages at most, the first by id; session_key: only those of one session. Answers are written in rounds
+    of about per_round messages. What a round has written is never asked for again: not by a second table, nor by a run after
+    a failure; a lost executor repeats what it had at hand of one round.
+    """
+    spark = messages.sparkSession
+    rows = pending(messages, ledger(spark, path), message_types)
+    if session_key is not None:
+        rows = rows.where(F.col("session_key") == session_key)
+    if limit is not None:
+        rows = rows.orderBy("message_id").limit(limit)
+    rows = links.cut(rows, "to_be_asked")
+    n = rows.count()
+    rounds = -(-n // per_round)
+    for k in range(rounds):
+        part = rows.where(F.pmod(F.xxhash64("message_id"), F.lit(rounds)) == k)
+        answers = enrich_messages(part, function, batch_size).withColumns({"enrichment_model": F.lit(model), "enriched_at": F.current_timestamp()})
+        answers.write.mode("append").parquet(path)
+    return n
+
+
 def named_key(name: Column, known: list[str], default: str) -> Column:
     return C.dimension_key(F.when(name.isin(known), name).otherwise(F.lit(default)))
 
 
 def enrichment_facts(answers: DataFrame, model: str, intents: list[str], sentiments: list[str], topics: list[str], at: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """fact_message_enrichment and fact_message_topics. Unknown intents and sentiments get the default, unknown topics go."""
-    when = F.current_timestamp() if at is None else at
-    facts = answers.select(C.dimension_key(F.col("message_id"), F.lit("enrichment")).alias("enrichment_id"), "message_id", "session_key", named_key(F.col("intent"), intents, "question").alias("intent_key"), named_key(F.col("sentiment"), sentiments, "neutral").alias("sentiment_key"), F.col("complexity_score").cast("float").alias("complexity_score"), F.col("confidence_score").cast("float").alias("confidence_score"), F.lit(model).alias("enrichment_model"), when.alias("enriched_at"))
+    """fact_message_enrichment and fact_message_topics. Unknown intents and sentiments get the default, unknown topics go.
+
+    Answers that aren't a ledger's are written first, so that the two tables don't ask twice.
+    """
+    if "enriched_at" in answers.columns:
+        name, when = F.col("enrichment_model"), F.col("enriched_at")
+    else:
+        answers = links.cut(answers, "answers")
+        name, when = F.lit(model), F.current_timestamp() if at is None else at
+    facts = answers.select(C.dimension_key(F.col("message_id"), F.lit("enrichment")).alias("enrichment_id"), "message_id", "session_key", named_key(F.col("intent"), intents, "question").alias("intent_key"), named_key(F.col("sentiment"), sentiments, "neutral").alias("sentiment_key"), F.col("complexity_score").cast("float").alias("complexity_score"), F.col("confidence_score").cast("float").alias("confidence_score"), name.alias("enrichment_model"), when.alias("enriched_at"))
     rows = answers.select("message_id", F.posexplode("topics").alias("i", "topic")).where(F.col("topic").isin(topics))
     relevance = F.when(F.col("i") < 10, 1.0 - F.col("i") * 0.1).otherwise(0.1)
     return facts, rows.select(C.dimension_key(F.col("message_id"), F.lit("topic"), F.col("i")).alias("message_topic_id"), "message_id", C.dimension_key(F.col("topic")).alias("topic_key"), relevance.cast("float").alias("relevance_score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -97,6 +98,19 @@ def anti_unenriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.pending(s.table("fact_messages"), s.table("fact_message_enrichment").where("confidence_score > 0.5"), s.table("dim_message_type")).select("message_id", "session_key")
 
 
+@query("SELECT message_id, session_key, intent_key, CASE WHEN row_number() OVER (ORDER BY message_id) <= 40 THEN 'first' WHEN session_key = (SELECT min(session_key) FROM fact_messages) THEN 'second' ELSE 'third' END AS enrichment_model, coalesce(n_topics, 0) AS n_topics FROM fact_message_enrichment LEFT JOIN (SELECT message_id, count(*) AS n_topics FROM fact_message_topics GROUP BY message_id) USING (message_id)")
+def enrichment_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of three runs over one ledger: the first 40 messages, a session, the rest in rounds; each message is asked for once."""
+    s, path = star(spark, sf_dir), f"{links.shared_folder(spark)}/loomstar-{uuid.uuid4().hex}/ledger"
+    messages, kinds = s.table("fact_messages"), s.table("dim_message_type")
+    enrichment.enrich(path, messages, kinds, stub, "first", limit=40)
+    enrichment.enrich(path, messages, kinds, stub, "second", session_key=messages.agg(F.min("session_key")).first()[0])
+    enrichment.enrich(path, messages, kinds, stub, "third", batch_size=50, per_round=2000)
+    facts, topics = enrichment.enrichment_facts(enrichment.ledger(spark, path), "", names(fixed.INTENTS), names(fixed.SENTIMENTS), names(fixed.TOPICS))
+    n = topics.groupBy("message_id").agg(F.count(F.lit(1)).alias("n_topics"))
+    return facts.join(n, "message_id", "left").select("message_id", "session_key", "intent_key", "enrichment_model", F.coalesce("n_topics", F.lit(0)).alias("n_topics"))
+
+
 # The dimensions whose rows are given, with how often facts use each.
 
 USES = {

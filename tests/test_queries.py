@@ -112,3 +112,34 @@ def test_stream(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("tool_counts").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("tool_counts").where(F.col("n") > 1).count() == 0
+
+
+def test_ledger_asks_once(spark, tmp_path):
+    """Calls equal messages: over two tables, two runs, and a run after a failure."""
+    log, rows = tmp_path / "asked", [(f"m{i:03d}", f"s{i % 3}", f"text {i}", "k") for i in range(100)]
+    messages = spark.createDataFrame(rows, "message_id string, session_key string, content_text string, message_type_key string").repartition(5)
+    kinds, path = spark.createDataFrame([("k", "user")], "message_type_key string, message_type string"), str(tmp_path / "ledger")
+
+    def answer(part, fails=False):
+        if fails and any(m["message_id"] == "m050" for m in part):
+            raise ValueError("no answer")
+        with open(log, "a") as f:
+            f.writelines(f"{m['message_id']}\n" for m in part)
+        return [{"message_id": m["message_id"], "topics": ["api"]} for m in part] + [{"intent": "debug"}]
+
+    assert enrichment.enrich(path, messages, kinds, answer, "m", batch_size=4, limit=10) == 10
+    assert sorted(log.read_text().split()) == [f"m{i:03d}" for i in range(10)]
+    assert enrichment.enrich(path, messages, kinds, answer, "m", session_key="s1") == 30
+    with pytest.raises(Exception, match="no answer"):
+        enrichment.enrich(path, messages, kinds, lambda part: answer(part, True), "m", batch_size=1, per_round=10)
+    written = enrichment.ledger(spark, path).count()
+    assert 40 <= written < 100
+    assert enrichment.enrich(path, messages, kinds, answer, "m2", per_round=10) == 100 - written
+    facts, topics = enrichment.enrichment_facts(enrichment.ledger(spark, path), "", ["question"], ["neutral"], ["api"])
+    assert facts.count() == topics.count() == facts.select("message_id").distinct().count() == 100
+    before = len(log.read_text().split())
+    assert enrichment.enrich(path, messages, kinds, answer, "m") == 0 and len(log.read_text().split()) == before
+    log.unlink()  # answers that aren't a ledger's: two tables, one call a message
+    rows_ = enrichment.enrich_messages(enrichment.pending(messages, enrichment.ledger(spark, str(tmp_path / "none")), kinds), answer, 10)
+    facts, topics = enrichment.enrichment_facts(rows_, "m", ["question"], ["neutral"], ["api"])
+    assert facts.count() == topics.count() == 100 and len(log.read_text().split()) == 100
