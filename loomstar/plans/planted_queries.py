@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomstar.functions import fixed
 from loomstar.operators import conversation, inspection, simple
 from loomstar.operators.links import cut, shared_folder
+from loomstar.operators.star import Star
 from loomstar.plans import catalogue, oracle, planted
 from loomstar.plans.given_tables import read
 from loomstar.sources import sinks, transcripts
@@ -161,6 +162,39 @@ def simple_thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple.simple_tables(planted.star(spark, sf_dir).all_entries, include_thinking=True)["thinking"]
 
 
+#: Lines after a session's first turn that can't be loaded (or can, the last two), by the conversation's number modulo 10.
+BROKEN = {
+    1: ('{"type":"user","uuid":"x","message":null}', "the message is null"),
+    2: ('{"type":"assistant","uuid":"x","message":"only text"}', "the message is string"),
+    3: ('{"type":"user","uuid":"x","timestamp":1709251200,"message":{"content":"hi"}}', "the timestamp is scalar"),
+    4: ('{"type":"assistant","uuid":"x","message":{"content":[{"type":"text","text":"ok"},{"type":"text","text":12}]}}', "the text of a block is scalar"),
+    5: ('{"type":"assistant","uuid":"x","message":{"content":[{"type":"thinking","thinking":7}]}}', "the thinking of a block is scalar"),
+    6: ('{"type":"user","uuid":"x","timestamp":0}', None),
+    7: ('{"type":"assistant","uuid":"x","message":{"content":[{"type":"thinking","thinking":null}]}}', None),
+}
+_broken = " ".join(f"WHEN {k} THEN '{why}'" for k, (_, why) in BROKEN.items() if why)
+
+
+@query(f"SELECT session_id, error, CASE WHEN error IS NULL THEN n + CAST(c % 10 IN (6, 7) AS INTEGER) ELSE 0 END AS n_messages, CASE WHEN error IS NULL THEN 'p' || c END AS written FROM (SELECT c, session_id, CASE c % 10 {_broken} END AS error, count(*) AS n FROM pe GROUP BY c, session_id)")
+def sessions_set_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions broken in five ways are told with their reason; the others are written."""
+    lines = planted.star(spark, sf_dir).lines
+    first = lines.where("line_no = 0").withColumn("c", F.substring("session_id", 2, 20).cast("long"))
+    more = F.lit(None).cast("string")
+    for k, (line, _) in BROKEN.items():
+        more = F.when(F.col("c") % 10 == k, line).otherwise(more)
+    extra = first.select("session_id", "project_path", F.lit(2).alias("line_no"), more.alias("line")).where("line is not null")
+    entries = cut(transcripts.parse_lines(lines.unionByName(extra)), "entries_with_broken")
+    folder = fresh_folder(spark, "archive")
+    sinks.write_counted({"fact_messages": Star(entries, keep=True).table("fact_messages"), "dim_session": Star(entries).table("dim_session")}, folder)
+    failed = spark.read.parquet(sinks.write_failed(spark, entries, folder)["failed_path"])
+    n = spark.read.parquet(f"{folder}/fact_messages").groupBy("session_key").agg(F.count(F.lit(1)).alias("n_messages"))
+    written = spark.read.parquet(f"{folder}/dim_session").select(F.col("session_id").alias("written"), "session_key").join(n, "session_key").drop("session_key")
+    every = transcripts.messages_only(entries).select("session_id").distinct()
+    rows = every.join(failed.select("session_id", "error"), "session_id", "left").join(written, F.col("session_id") == F.col("written"), "left")
+    return rows.select("session_id", "error", F.coalesce("n_messages", F.lit(0)).alias("n_messages"), "written")
+
+
 # Sinks, written below the shared folder and read again.
 
 

@@ -138,14 +138,15 @@ def statistics(spark: SparkSession, folder: str, counts: dict[str, int], seconds
 
 
 def write_failed(spark: SparkSession, entries: DataFrame, folder: str, told: int = 1000) -> dict:
-    """Writes the ids of all broken sessions as failed_sessions below the folder; their count, the table's path and the first ids."""
+    """Writes session, project, line and reason of all sessions set aside as failed_sessions below the folder; their count, the table's path, the first ids, and how many there are of each reason."""
     from loomstar.sources import transcripts
 
     path = f"{folder}/failed_sessions"
-    transcripts.broken_sessions(entries).write.mode("overwrite").parquet(path)
-    failed = spark.read.schema("session_id string").parquet(path)
+    transcripts.session_errors(entries).write.mode("overwrite").parquet(path)
+    failed = spark.read.schema("session_id string, project_path string, line_no int, error string").parquet(path)
     first = [r["session_id"] for r in failed.orderBy("session_id").limit(told).collect()]
-    return {"failed_sessions": first, "failed_count": failed.count(), "failed_path": path}
+    reasons = {r["error"]: r["count"] for r in failed.groupBy("error").count().collect()}  # reasons are few
+    return {"failed_sessions": first, "failed_count": sum(reasons.values()), "failed_path": path, "failed_reasons": reasons}
 
 
 def archive(spark: SparkSession, source: str, folder: str, schema: str = "star", include_agents: bool = False, thinking: bool = True, truncate: int = 2000) -> dict:

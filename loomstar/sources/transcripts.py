@@ -2,7 +2,7 @@
 
 entries: session_id, project_path, line_no, type, uuid, parent_uuid, ts_text, ts, model, content (JSON text, or the text
 itself where it is a string), content_kind (string, array, other), is_sidechain, cwd, git_branch, version, agent_id,
-log_session_id, is_meta, is_compact_summary, slug, summary, has_message.
+log_session_id, is_meta, is_compact_summary, slug, summary, has_message, error (why a message can't be loaded, else null).
 blocks: session_id, line_no, block_idx, type, text, id, name, input, tool_use_id, result, result_kind, is_error, thinking, raw.
 result is a result's string, or the JSON text of any other; result_kind tells which (columns.json_kind).
 """
@@ -52,14 +52,34 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select(stem.alias("session_id"), folder.alias("project_path"), F.col("piece").cast("int").alias("line_no"), C.strip(F.col("value")).alias("line")).where("line <> ''")
 
 
+def wrong_text(block: Column) -> Column:
+    """What is wrong with a text block whose text isn't a string, or a thinking block whose thought has no length; else null."""
+    type_ = F.try_variant_get(block, "$.type", "string")
+    value = {name: F.try_variant_get(block, f"$.{name}", "variant") for name in ("text", "thinking")}
+    kind = {name: C.json_kind(v) for name, v in value.items()}
+    told = lambda name: F.concat(F.lit(f"the {name} of a block is "), kind[name])
+    nothing = F.to_json(value["thinking"]).isin("0", "0.0", "false", "{}")
+    text = F.when((type_ == "text") & (kind["text"] != "string"), told("text"))
+    return text.when((type_ == "thinking") & kind["thinking"].isin("scalar", "object") & ~nothing, told("thinking"))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Entries of all types; lines that aren't JSON objects are dropped."""
     e = F.from_json("line", ENTRY)
     content = F.col("e.message.content")
+    message, ts, said = F.col("e.message"), F.col("e.timestamp"), F.coalesce(F.col("e.type").isin("user", "assistant"), F.lit(False))
+    # what isn't as usual is looked at by its type: a message that isn't an object, a time that isn't a text
+    odd = F.from_json(F.when(said & (message.isNull() | ~F.coalesce((ts == "") | ts.rlike(ISO), F.lit(True))), F.col("line")), "message variant, timestamp variant")
+    kind_of_message, kind_of_time = C.json_kind(odd["message"]), C.json_kind(odd["timestamp"])
+    absent = said & message.isNull() & kind_of_message.isNull()  # reads as an empty text
+    untimely = kind_of_time.isin("scalar", "array", "object") & ~ts.isin("0", "0.0", "false", "[]", "{}")
     # a text that could be the JSON text of another value is told by the value's type
     unsure = content.rlike(r"^\s*(?:[\[{]|-?\d[\d.eE+-]*\s*$|true\s*$|false\s*$)")
     typed = C.json_kind(F.when(unsure, F.from_json("line", "message struct<content variant>"))["message"]["content"])
-    kind = F.when(content.isNull(), "other").when(~unsure | (typed == "string"), "string").when(typed == "array", "array").otherwise("other")
+    kind = F.when(absent, "string").when(content.isNull(), "other").when(~unsure | (typed == "string"), "string").when(typed == "array", "array").otherwise("other")
+    items = F.from_json(F.when(said & (typed == "array") & content.rlike(r'"(?:text|thinking)":[^"]'), content), "array<variant>")
+    wrong = F.filter(F.transform(items, wrong_text), lambda x: x.isNotNull())
+    error = F.when(said & (kind_of_message != "object"), F.concat(F.lit("the message is "), kind_of_message)).when(untimely, F.concat(F.lit("the timestamp is "), kind_of_time)).otherwise(F.get(wrong, F.lit(0)))
     keep = [c for c in lines.columns if c != "line"]
     rows = lines.where(F.col("line").startswith("{")).withColumn("e", e).where("e.type is not null or e.sessionId is not null or e.slug is not null")
     return rows.select(
@@ -70,7 +90,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.coalesce("e.timestamp", F.lit("")).alias("ts_text"),
         timestamp_of(F.col("e.timestamp")).alias("ts"),
         F.col("e.message.model").alias("model"),
-        content.alias("content"),
+        F.when(absent, "").otherwise(content).alias("content"),
         kind.alias("content_kind"),
         F.coalesce("e.isSidechain", F.lit(False)).alias("is_sidechain"),
         F.col("e.cwd").alias("cwd"),
@@ -82,7 +102,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.coalesce("e.isCompactSummary", F.lit(False)).alias("is_compact_summary"),
         F.col("e.slug").alias("slug"),
         F.col("e.summary").alias("summary"),
-        F.col("e.message").isNotNull().alias("has_message"),
+        (message.isNotNull() | absent).alias("has_message"),
+        error.alias("error"),
     )
 
 
@@ -107,9 +128,17 @@ def messages_only(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("type").isin("user", "assistant"))
 
 
+def session_errors(entries: DataFrame) -> DataFrame:
+    """session_id, project_path, line_no and error of the first message of each session that can't be loaded."""
+    error = F.coalesce("error", F.when(~F.col("has_message"), "no message")) if "error" in entries.columns else F.when(~F.col("has_message"), "no message")
+    rows = messages_only(entries).withColumn("_error", error).where("_error is not null")
+    first = rows.groupBy("session_id").agg(F.min(F.struct("line_no", "project_path", F.col("_error").alias("error"))).alias("f"))
+    return first.select("session_id", "f.project_path", "f.line_no", "f.error")
+
+
 def broken_sessions(entries: DataFrame) -> DataFrame:
-    """session_id of sessions with a user or assistant entry without a message: they are loaded nowhere."""
-    return messages_only(entries).where("not has_message").select("session_id").distinct()
+    """session_id of sessions with a message that can't be loaded: they are loaded nowhere (session_errors tells why)."""
+    return session_errors(entries).select("session_id")
 
 
 def blocks(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
