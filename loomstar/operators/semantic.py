@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 MODEL = "table_name string, table_type string, table_display_name string, column_name string, column_display_name string, column_type string, data_type string, default_aggregation string, related_table string, related_column string, is_visible boolean, is_filterable boolean, sort_order int"
+META = "meta_semantic_model"
 MEASURE_ENDS = ("_count", "_length", "_score", "_seconds", "_size", "_chars", "_tokens", "_depth")
 #: The first mark found in a measure's name gives its aggregation.
 AGGREGATIONS = [("_count", "sum"), ("total_", "sum"), ("_length", "sum"), ("_size", "sum"), ("_chars", "sum"), ("_tokens", "sum"), ("_seconds", "avg"), ("_time", "avg"), ("_score", "avg"), ("_depth", "max")]
@@ -73,6 +75,39 @@ def semantic_model(spark: SparkSession, tables: dict[str, DataFrame], declared:
     return spark.createDataFrame(semantic_rows(tables, declared), MODEL)
 
 
+def tables_of(spark: SparkSession, database: str) -> dict[str, DataFrame]:
+    """The tables of a database, without the stored model, by name."""
+    return {t.name: spark.table(f"{database}.{t.name}") for t in spark.catalog.listTables(database) if not t.isTemporary and t.name != META}
+
+
+def described(spark: SparkSession, database: str) -> DataFrame:
+    """table_name, column_name, data_type and place of each column that the catalogue tells of a database."""
+    rows = [(t.name, c.name, c.dataType, i) for t in spark.catalog.listTables(database) if not t.isTemporary for i, c in enumerate(spark.catalog.listColumns(f"{database}.{t.name}"))]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, place int")
+
+
+def attach(spark: SparkSession, database: str, files: dict[str, str], kind: str = "parquet") -> None:
+    """Makes tables of a database from files where they lie, without a copy: name and path."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name, path in files.items():
+        location = path.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE `{database}`.`{name}` USING {kind} LOCATION '{location}'")
+
+
+def save_model(spark: SparkSession, database: str, declared: bool = False) -> None:
+    """Stores the model of a database's tables as a table beside them; a second run replaces the first."""
+    rows = semantic_model(spark, tables_of(spark, database), declared)
+    rows.coalesce(1).write.mode("overwrite").saveAsTable(f"{database}.{META}")
+
+
+def stored_model(spark: SparkSession, database: str) -> DataFrame | None:
+    """The stored model; none if there is no such table, or one with other columns."""
+    if not spark.catalog.tableExists(f"{database}.{META}"):
+        return None
+    model, names = spark.table(f"{database}.{META}"), [c.split()[0] for c in MODEL.split(", ")]
+    return model.select(*names) if set(names) <= set(model.columns) else None
+
+
 def aggregate(column: Column, how: str, kind: str) -> Column:
     """A measure's default aggregation; booleans are counted where true."""
     return F.count_if(column) if kind == "boolean" else {"sum": F.sum, "avg": F.avg, "max": F.max}[how](column)
@@ -94,6 +129,14 @@ class QueryBuilder:
     filters: dict[str, list] = field(default_factory=dict)
     sorts: list[tuple[str, str]] = field(default_factory=list)
     page: int = 0
+    model: list[tuple] | None = None
+
+    @classmethod
+    def of_database(cls, spark: SparkSession, database: str, declared: bool = False) -> QueryBuilder:
+        """A builder over the tables of a database, joined by the model stored there, or else by one made from their names."""
+        model = stored_model(spark, database)
+        rows = None if model is None else [tuple(r) for r in model.orderBy("table_name", "sort_order").collect()]  # a row for each column
+        return cls(tables_of(spark, database), declared=declared, model=rows)
 
     def set_base_table(self, name: str) -> QueryBuilder:
         self.base, self.columns, self.filters, self.sorts, self.page = name, [], {}, [], 0
@@ -134,8 +177,8 @@ class QueryBuilder:
     def relationships(self) -> dict[str, tuple[str, str]]:
         """Dimension: (column of the base table, column of the dimension)."""
         found: dict[str, tuple[str, str]] = {}
-        for row in semantic_rows({**self.tables}, self.declared):
-            if row[0] == self.base and row[8] and row[8] not in found:
+        for row in self.model if self.model is not None else semantic_rows({**self.tables}, self.declared):
+            if row[0] == self.base and row[8] in self.tables and row[8] not in found:
                 found[row[8]] = (row[3], row[9])
         return found
 
@@ -163,6 +206,40 @@ class QueryBuilder:
         """The current page."""
         return self.rows().offset(self.page * self.page_size).limit(self.page_size)
 
+    def page_after(self, last: Row | None = None, equal: int = 0, counted: Observation | None = None) -> DataFrame:
+        """The page behind a row, found by the row's values: nothing is sorted but a page in each task, however deep it lies.
+
+        last: the last row of the page before (none for the first page), equal: how many rows equal to it have been shown;
+        counted: gets cnt, the number of rows of all pages, as this page is computed. Rows come in the order of the sorts,
+        then of the other columns.
+        """
+        rows, shown = self._filtered()
+        keys = [(a, d) for a, d in self.sorts if a in shown]
+        keys += [(a, "asc") for a in shown if a not in dict(keys)]
+        rows = rows.select(*[c.alias(a) for a, c in shown.items()])
+        if counted is not None:
+            rows = rows.observe(counted, F.count(F.lit(1)).alias("cnt"))
+        if last is not None:
+            kinds = {f.name: f.dataType for f in rows.schema}
+            behind, same = F.lit(False), F.lit(True)
+            for a, d in keys:
+                value = F.lit(last[a]).cast(kinds[a])
+                further = F.col(a) > value if d == "asc" else F.col(a) < value
+                nulls_last = F.col(a).isNull() & value.isNotNull()
+                behind = behind | (same & F.coalesce(further | nulls_last, nulls_last))
+                same = same & F.col(a).eqNullSafe(value)
+            rows = rows.where(behind | same)
+        order = [F.col(a).asc_nulls_last() if d == "asc" else F.col(a).desc_nulls_last() for a, d in keys]
+        return rows.orderBy(*order).offset(equal if last is not None else 0).limit(self.page_size)
+
+    def walk(self) -> Iterator[list[Row]]:
+        """Page after page, as lists of rows, each found from the one before."""
+        last, equal = None, 0
+        while rows := self.page_after(last, equal).collect():  # page_size rows at most
+            yield rows
+            equal = rows.count(rows[-1]) + (equal if rows[-1] == last else 0)
+            last = rows[-1]
+
     def count(self) -> DataFrame:
         return self._filtered()[0].agg(F.count(F.lit(1)).alias("cnt"))
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomstar.functions import columns as C
@@ -373,6 +373,35 @@ def semantic_model_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.semantic_model(spark, given).join(reduce(DataFrame.union, counts), "table_name")
 
 
+@query(name="stored_model")
+def stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given files attached as tables of a database, with their model stored beside them and read back, and their rows counted through it."""
+    database = f"loomstar_{uuid.uuid4().hex}"
+    semantic.attach(spark, database, {k: f"{sf_dir}/{t}.parquet" for k, t in MODELLED.items()})
+    semantic.save_model(spark, database)
+    tables = semantic.QueryBuilder.of_database(spark, database).tables
+    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(k).alias("table_name"), "n_rows") for k, df in tables.items()]
+    found = links.cut(semantic.stored_model(spark, database).join(reduce(DataFrame.union, counts), "table_name"), "stored_model")
+    spark.sql(f"DROP DATABASE `{database}` CASCADE")
+    return found
+
+
+SQL["stored_model"] = SQL["semantic_model_of_tables"]
+
+
+@query("SELECT (n - 1) // 40 AS page, message_type, content_block_count, word_count, total FROM (SELECT message_type, content_block_count, word_count, count(*) OVER () AS total, row_number() OVER (ORDER BY content_block_count DESC NULLS LAST, message_type NULLS LAST, word_count NULLS LAST) AS n FROM fact_messages f LEFT JOIN dim_message_type USING (message_type_key)) WHERE n <= 240")
+def seek_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six pages, each found by the last row of the one before, among many equal rows; the rows of all pages are counted along with the first."""
+    s = star(spark, sf_dir)
+    q = semantic.QueryBuilder({t: s.table(t) for t in ("fact_messages", "dim_message_type")}, page_size=40).set_base_table("fact_messages")
+    q.add_column("dim_message_type", "message_type").add_column("fact_messages", "content_block_count").add_column("fact_messages", "word_count")
+    q.toggle_sort("content_block_count").toggle_sort("content_block_count")
+    total = Observation("total")
+    q.page_after(counted=total).collect()
+    pages = [(k, *r) for k, (_, rows) in enumerate(zip(range(6), q.walk(), strict=False)) for r in rows]
+    return spark.createDataFrame(pages, "page long, message_type string, content_block_count int, word_count int").withColumn("total", F.lit(total.get["cnt"]))
+
+
 # Joins at scale on the given star of orders: role-playing dimensions, many-to-many, grouped windows.
 
 

@@ -143,3 +143,39 @@ def test_ledger_asks_once(spark, tmp_path):
     rows_ = enrichment.enrich_messages(enrichment.pending(messages, enrichment.ledger(spark, str(tmp_path / "none")), kinds), answer, 10)
     facts, topics = enrichment.enrichment_facts(rows_, "m", ["question"], ["neutral"], ["api"])
     assert facts.count() == topics.count() == 100 and len(log.read_text().split()) == 100
+
+
+def test_builder_of_a_database(spark, tmp_path):
+    spark.range(5).selectExpr("id as a_key", "id * 2 as x_count").write.parquet(str(tmp_path / "f"))
+    spark.range(3).selectExpr("id as a_key", "concat('n', id) as name").write.parquet(str(tmp_path / "d"))
+    semantic.attach(spark, "loomstar_test", {"fact_x": str(tmp_path / "f"), "dim_a": str(tmp_path / "d")})
+    try:
+        for stored in (False, True):  # a missing model is tolerated
+            if stored:
+                semantic.save_model(spark, "loomstar_test")
+                assert semantic.stored_model(spark, "loomstar_test").count() == 4
+            q = semantic.QueryBuilder.of_database(spark, "loomstar_test").set_base_table("fact_x")
+            assert set(q.tables) == {"fact_x", "dim_a"} and (q.model is not None) == stored and q.relationships() == {"dim_a": ("a_key", "a_key")}
+            q.add_column("fact_x", "x_count").add_column("dim_a", "name")
+            assert sorted(map(tuple, q.rows().collect()), key=str) == [(0, "n0"), (2, "n1"), (4, "n2"), (6, None), (8, None)]
+        spark.sql("ALTER TABLE loomstar_test.meta_semantic_model RENAME TO loomstar_test.other")
+        assert semantic.stored_model(spark, "loomstar_test") is None
+        assert {(r["table_name"], r["column_name"]) for r in semantic.described(spark, "loomstar_test").where("table_name <> 'other'").collect()} == {("fact_x", "a_key"), ("fact_x", "x_count"), ("dim_a", "a_key"), ("dim_a", "name")}
+    finally:
+        spark.sql("DROP DATABASE loomstar_test CASCADE")
+
+
+def test_seek_pages_equal_offset_pages(spark):
+    rows = [(None if i % 7 == 0 else i % 5, None if i % 11 == 0 else "ab"[i % 2], float(i % 3)) for i in range(500)]
+    for sort in ([], ["n"], ["n", "n"], ["t", "t"]):
+        q = semantic.QueryBuilder({"fact_t": spark.createDataFrame(rows, "n int, t string, x double")}, page_size=30).set_base_table("fact_t")
+        for c in ("n", "t", "x"):
+            q.add_column("fact_t", c)
+        for alias in sort:
+            q.toggle_sort(alias)
+        keys = [*q.sorts, *[(a, "asc") for a in ("n", "t", "x") if a not in dict(q.sorts)]]
+        want = q.rows().orderBy(*[F.col(a).asc_nulls_last() if d == "asc" else F.col(a).desc_nulls_last() for a, d in keys]).collect()
+        pages = list(q.walk())
+        assert [len(p) for p in pages] == [30] * 16 + [20] and [r for p in pages for r in p] == want
+    deep = q.page_after(pages[10][-1], 2)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in deep and "rangepartitioning" not in deep
