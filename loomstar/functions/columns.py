@@ -171,17 +171,24 @@ def matches_project(folder: Column, wanted: str | None) -> Column:
     return F.contains(F.lower(project_display_name(folder)), F.lit(wanted.lower())) | F.contains(F.lower(folder), F.lit(wanted.lower()))
 
 
+#: What a string may look like, in the order in which it is tried; an enum-like one has 30 characters at most.
+STRING_FORMATS = [
+    ("uuid", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
+    ("iso8601", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"),
+    ("date", r"^\d{4}-\d{2}-\d{2}$"),
+    ("boolean_string", r"^(?:true|false)\z"),
+    ("url", r"^https?://"),
+    ("email", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"),
+    ("enum_like", r"^(?=[\s\S]{0,30}\z)[a-z_]+$"),
+]
+
+
 def string_format(value: Column) -> Column:
     """What a string looks like, without telling it; null for a plain one."""
-    return (
-        F.when(value.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), "uuid")
-        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"), "iso8601")
-        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date")
-        .when(value.isin("true", "false"), "boolean_string")
-        .when(value.rlike(r"^https?://"), "url")
-        .when(value.rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"), "email")
-        .when((F.length(value) <= 30) & value.rlike(r"^[a-z_]+$"), "enum_like")
-    )
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(STRING_FORMATS):
+        out = F.when(value.rlike(pattern), name).otherwise(out)
+    return out
 
 
 def commits(text: Column) -> Column:
