@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstar.functions import fixed
-from loomstar.operators import conversation, inspection, simple
+from loomstar.operators import conversation, inspection, search_index, simple
 from loomstar.operators.links import cut, shared_folder
 from loomstar.operators.star import Star
 from loomstar.plans import catalogue, oracle, planted
@@ -325,3 +325,26 @@ def jsonl_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jsonl_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of users and assistants, tool inputs and outputs, with page and anchor."""
     return conversation.search_documents(*all_entries(spark, sf_dir)).select("session_id", "type", "content", "page_file", "anchor")
+
+
+@query("""WITH doc AS (SELECT session_id, type, content, 'page-' || lpad(CAST(greatest(1, (users - 1) // 5 + 1) AS VARCHAR), 3, '0') || '.html' AS page_file, 'msg-' || replace(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), ':', '-') AS anchor FROM (
+    SELECT session_id, c, t, ts, 'user' AS type, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS content FROM pe WHERE role = 'user' AND content_kind = 'string'
+    UNION ALL SELECT session_id, c, t, ts, CASE WHEN type = 'text' THEN role ELSE type END, CASE WHEN type = 'text' THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') WHEN type = 'tool_use' THEN name || ': ' || substr(value, 1, 1000) WHEN type = 'tool_result' AND NOT list THEN substr(value, 1, 500) END FROM pb)
+    JOIN (SELECT c, t, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY t) AS users FROM pe) USING (c, t) WHERE content <> '') SELECT 'words' AS kind, session_id, type, content, page_file, anchor FROM doc WHERE contains(lower(content), 'src/m1') AND contains(lower(content), 'n')
+    UNION ALL SELECT 'none', * FROM doc WHERE contains(lower(content), 'no such words') UNION ALL SELECT 'short', * FROM doc WHERE contains(lower(content), '7')
+    UNION ALL SELECT 'session', * FROM doc WHERE session_id = 'p3' AND contains(lower(content), 'th')""")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches by posting lists of trigrams: words that many documents have, none has, too short ones, and within a session."""
+    folder = fresh_folder(spark, "trigrams")
+    search_index.write(conversation.search_documents(*all_entries(spark, sf_dir)), folder)
+    asked = {"words": ("N SRC/m1", None), "none": ("no such words", None), "short": ("7", None), "session": ("th", "p3")}
+    found = [search_index.search(spark, folder, q, 2**30, session=session).select(F.lit(kind).alias("kind"), "session_id", "type", "content", "page_file", "anchor") for kind, (q, session) in asked.items()]
+    return reduce(DataFrame.union, found)
+
+
+@query("SELECT * FROM pcall")
+def json_sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact as JSON Lines, every value read again."""
+    calls, folder = planted.star(spark, sf_dir).table("fact_tool_calls"), fresh_folder(spark, "json_rows")
+    sinks.write_json(spark, {"fact_tool_calls": calls}, folder, "star")
+    return spark.read.schema(calls.schema).json(f"{folder}/facts/fact_tool_calls")
