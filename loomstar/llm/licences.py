@@ -23,9 +23,10 @@ the licence; an empty table gives an empty result. Further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -175,15 +176,34 @@ def block_vectors(found: list[tuple[str, bool, str]]) -> list[tuple]:
     return [(list(r), x, {i: c[r] * x / norms[i] for i, c in enumerate(counts) if r in c}) for r, x in idf.items()]
 
 
+def word_weights(vectors: list[tuple], templates: int) -> dict[str, list[float]]:
+    """For the longest word of each run: what the runs with it have of each template's squared length.
+
+    By Cauchy and Schwarz a block's similarity isn't over the length of what the template's vector has of the block's runs. So a
+    text in whose words these weights sum to less than the threshold's square, for each template, has no block that reaches it.
+    """
+    weights: dict[str, list[float]] = defaultdict(lambda: [0.0] * templates)
+    for run, _, shares in vectors:
+        for template, share in shares.items():
+            weights[max(run, key=lambda w: (len(w), w))][template] += share * share
+    return dict(weights)
+
+
 def licence_blocks(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, path, _print, licence, similarity, words and is_body of each block that has a template at the threshold or over it."""
     found = block_templates()
     unknown = math.log(len(found) + 1.0) + 1.0  # weight of a run that no template has
-    vectors = docs.sparkSession.createDataFrame(block_vectors(found), "run array<string>, idf double, shares map<int, double>")
+    own = block_vectors(found)
+    vectors = docs.sparkSession.createDataFrame(own, "run array<string>, idf double, shares map<int, double>")
     vectors = common.written(vectors.withColumn("key", F.xxhash64(*[F.col("run")[i] for i in range(RUN)])), "licence_vectors")  # as many rows as the templates have runs
 
     doc = ["doc_id", "path", "_print"]
     rows = docs.select("doc_id", "path", F.xxhash64("text").alias("_print"), tokens(F.col("text")).alias("_w")).where(F.size("_w") >= RUN)
+    weights = word_weights(own, len(found))
+    table = F.from_json(F.lit(json.dumps(weights)), "map<string, array<double>>")  # a constant of some 2000 words
+    held = F.array_intersect("_w", F.split(F.lit(" ".join(sorted(weights))), " "))
+    sums = F.aggregate(held, F.array_repeat(F.lit(0.0), len(found)), lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
+    rows = rows.where(F.array_max(sums) >= (threshold - 1e-6) ** 2)
     rows = rows.select(*doc, "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - RUN)).alias("at"))
     here = [F.col("_w")[F.col("at") + i] for i in range(RUN)]
     known = F.broadcast(vectors.select("key", F.col("run").alias("_run")))
