@@ -36,7 +36,8 @@ def parser() -> argparse.ArgumentParser:
     every.add_argument("--dry-run", action="store_true", help="list the sessions, write nothing")
     account = sub.add_parser("import", help="an account's export to the simple schema")
     account.add_argument("source")
-    account.add_argument("output")
+    account.add_argument("output", nargs="?")
+    account.add_argument("--list", action="store_true", help="list the conversations, write nothing")
     account.add_argument("-c", "--conversation", action="append")
     account.add_argument("--no-thinking", action="store_true")
     schema = sub.add_parser("schema", help="structure of a transcript or of a folder of JSON documents")
@@ -51,7 +52,9 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None) -> None:
     given = parser().parse_args(args)
     spark = SparkSession.builder.appName("loomstar").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    if given.command == "import":
+    if given.command == "import" and (given.list or not given.output):
+        tell(transcripts.listed_conversations(transcripts.account_conversations(spark, f"{given.source}/conversations.json")))
+    elif given.command == "import":
         tables = simple.from_account_export(spark, given.source, given.conversation, not given.no_thinking)
         print(json.dumps(sinks.write_counted(tables, given.output)))
     elif given.command == "schema":

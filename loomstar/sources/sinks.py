@@ -91,7 +91,8 @@ def write_lines(spark: SparkSession, lines: DataFrame, order: list[str], text: s
     there.mkdirs(target.getParent())
     part = next(f.getPath() for f in here.listStatus(source) if f.getPath().getName().startswith("part-"))
     there.delete(target, False)
-    if not hadoop.FileUtil.copy(here, part, there, target, True, True, conf):
+    same = here.getUri().equals(there.getUri())  # then the file is only given its name
+    if not (there.rename(part, target) if same else hadoop.FileUtil.copy(here, part, there, target, True, True, conf)):
         raise OSError(f"{path} could not be written")
 
 

@@ -22,3 +22,12 @@ def test_commands(spark, tmp_path, capsys):
     assert "file_operations" in capsys.readouterr().out
     main(["schema", str(tmp_path / "in" / "-home-u-projects-app" / "basic.jsonl")])
     assert "$.message.content[]" in capsys.readouterr().out
+
+
+def test_import_lists_and_writes(spark, tmp_path, capsys):
+    talk = {"uuid": "abcdefghij", "name": "A talk", "updated_at": "2025-02-03T04:05:06Z", "chat_messages": [{"uuid": "m", "sender": "human", "created_at": "2025-02-03T04:05:06Z", "text": "hi", "content": []}]}
+    (tmp_path / "conversations.json").write_text(json.dumps([talk]))
+    main(["import", str(tmp_path), "--list"])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"session_no": 0, "short_id": "abcdefgh", "updated": "2025-02-03", "n_messages": 1, "name": "A talk"}
+    main(["import", str(tmp_path), str(tmp_path / "out")])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["messages"] == 1
