@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEX_DIGITS = 8
 #: A key is hot with more than one in so many of all rows.
 HOT = 1000
+#: Blocks of a hot key's rows in a salted join: a block is a hundredth of all rows, so that little of the other side is copied.
+BLOCKS = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,14 +96,14 @@ def spread_anti(rows: DataFrame, other: DataFrame, key: str, often: str, total:
 def salted_join(rows: DataFrame, other: DataFrame, key: str, often: str, total: int) -> DataFrame:
     """rows joined to other, which may have many rows of a key, without sending a hot key's rows to one task or broadcasting a side.
 
-    often: a column of other, how many of the total rows have the key. A hot key's rows are dealt to blocks of a HOT-th of
-    all rows (so to HOT blocks at most), and other's rows of the key are copied to each of them.
+    often: a column of other, how many of the total rows have the key. The rows of a key with more than one in BLOCKS are dealt
+    to as many blocks (BLOCKS at most), and other's rows of the key are copied to each of them.
     """
-    blocks = F.greatest(F.ceil(F.col(often) * HOT / max(1, total)), F.lit(1)).cast("int")
+    blocks = F.greatest(F.ceil(F.col(often) * BLOCKS / max(1, total)), F.lit(1)).cast("int")
     keys = written(other.groupBy(key).agg(F.max(often).alias(often)).select(key, blocks.alias("_blocks")).where("_blocks > 1"), "blocks_of_keys")
     if keys.limit(1).count() == 0:
         return rows.join(other, key)
-    keys = F.broadcast(keys)  # fewer than HOT
+    keys = F.broadcast(keys)  # fewer than BLOCKS
     own = F.pmod(F.xxhash64(*rows.columns), F.col("_blocks")).cast("int")
     dealt = rows.join(keys, key, "left").withColumn("_block", F.coalesce(own, F.lit(0))).drop("_blocks")
     copied = other.join(keys, key, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_blocks")
