@@ -1,6 +1,7 @@
 """Posting lists give the rows of a plain search and read less."""
 
 import random
+import time
 
 from loomstar.operators import conversation, search_index
 
@@ -22,3 +23,16 @@ def test_index_equals_scan(spark, tmp_path):
     plan = search_index.search(spark, folder, "needle")._jdf.queryExecution().executedPlan().toString()
     assert "part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "bucket#" in search_index.candidates(spark, folder, "needle")._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_long_texts_are_indexed_in_one_pass(spark, tmp_path):
+    """A text of 300,000 characters took work by their square."""
+    text = "".join(chr(97 + i * i % 23) + chr(97 + i % 19) for i in range(150_000)) + " End\N{GRINNING FACE}x?y"
+    documents = spark.createDataFrame([("s", "1", text), ("t", "2", "ab"), ("t", "3", None)], "session_id string, id string, content string")
+    began = time.monotonic()
+    search_index.write(documents, str(tmp_path / "index"))
+    assert time.monotonic() - began < 40
+    grams = {r["gram"] for r in spark.read.parquet(str(tmp_path / "index" / "postings")).collect()}
+    low = text.lower()
+    assert {low[i : i + 3] for i in range(len(low) - 2)} <= grams and {len(g) for g in grams} == {3}
+    assert [r["id"] for r in search_index.search(spark, str(tmp_path / "index"), "D\N{GRINNING FACE}X ?Y").collect()] == ["1"]
