@@ -12,7 +12,9 @@ among the first n - ceil(0.9 n) + 1 of each (its prefix), and among the first n
    walks it once for all sets that share the path: it carries its place, the overlap so far and both sides'
    misses, and leaves a subtree if what remains of it or of the subtree's longest set can't reach the overlap that the subtree's
    shortest set needs, or if the whole subtree is of its own component. Shingles before the list's count as missed: a pair that
-   shares one of them is found in that one's list. What is left is confirmed on whole sets.
+   shares one of them is found in that one's list. DEPTH shingles tell little of sets of thousands, so a pair must also pass the
+   bitmap bound: bits that are odd in one set's bitmap alone are no more than the shingles that the sets don't share, of which a
+   linked pair has (n + m) / 19 at most. What is left is confirmed on whole sets.
 4. First each class walks the tries of its HOMES rarest lists, for one partner in each; links give components. Then lists that
    still span components are done in whole: members of different components, the smaller one among its first n / 19.
 
@@ -57,6 +59,21 @@ def prefix_column(n: Column) -> Column:
     return n - F.floor((n * 9 + 9) / 10) + 1
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """For each remainder of the hashes whether an odd number of them has it; a power of two of bits, more than half the set's size."""
+    size = 1 << max(6, (len(s) // 2).bit_length())
+    return np.packbits((np.bincount(s & (size - 1), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: tuple[int, int], n: int, b: tuple[int, int], m: int) -> bool:
+    """Whether sets of n and m can link, by their bitmaps (as a number, and its bits); the longer one is folded to the shorter one's bits."""
+    (x, i), (y, j) = sorted((a, b), key=lambda k: k[1])
+    while j > i:
+        j //= 2
+        y = (y >> j) ^ (y & ((1 << j) - 1))
+    return 19 * (x ^ y).bit_count() <= n + m
+
+
 def sampled(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """doc_id, hash of the text, fingerprint of the set, n_shingles and the set's smallest hashes of each row."""
 
@@ -84,7 +101,7 @@ def with_partners(reps: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, repeated: bool, size: int = WORDS) -> DataFrame:
-    """node and whole set of the wanted classes (node, and doc_id and text_hash of one of their rows). repeated: rows may be."""
+    """node, whole set and its bitmap of the wanted classes (node, and doc_id and text_hash of one of their rows). repeated: rows may be."""
     wanted = wanted.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -95,21 +112,22 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, repeated: bool, size: int = W
         known = WordHashes()
         for b in common.slices(batches):
             sets = [shingle_hashes((t or "").encode("utf-8", "replace").lower().split(), known, size) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.binary())], ["node", "set", "bits"])
 
-    sets = rows.mapInArrow(run, "node long, set array<long>")
+    sets = rows.mapInArrow(run, "node long, set array<long>, bits binary")
     return sets.dropDuplicates(["node"]) if repeated else sets
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """node, n and own, the shingles of its prefix and the DEPTH after it that other sets have: (place, often, value), by place."""
+    """node, n, bits and own, the shingles of its prefix and the DEPTH after it that other sets have: (place, often, value), by place."""
     rows = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("value"))
     often = common.written(rows.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     rows = common.marked_join(rows, often, "value", "often", often.agg(F.sum("often")).first()[0] or 0)
     by = Window.partitionBy("node")
     place = F.col("n") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("often", "value")) - 1  # those that no other has come first
     rows = rows.withColumn("place", place.cast("int")).where(F.col("place") < prefix_column(F.col("n")) + DEPTH)
-    return rows.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("place", "often", "value"))).alias("own"))
+    own = rows.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("place", "often", "value"))).alias("own"))
+    return own.join(sets.select("node", "bits"), "node")
 
 
 def in_prefix() -> Column:
@@ -117,12 +135,12 @@ def in_prefix() -> Column:
 
 
 def listed(own: DataFrame, most: int | None = None) -> DataFrame:
-    """value, node, component, n, place and the next DEPTH shingles (often and value) of each list's members; most: from how many of a prefix's first."""
+    """value, node, component, n, bits, place and the next DEPTH shingles (often and value) of each list's members; most: from how many of a prefix's first."""
     keys = in_prefix()
     place = F.posexplode(F.slice(keys, 1, most) if most else keys).alias("_at", "_own")
-    rows = own.select("node", "component", "n", "own", place)
+    rows = own.select("node", "component", "n", "bits", "own", place)
     rest = F.slice("own", F.col("_at") + 2, F.lit(DEPTH))
-    return rows.select(F.col("_own.value").alias("value"), "node", "component", "n", F.col("_own.place").alias("place"), F.transform(rest, lambda x: x["often"].cast("long")).alias("often"), F.transform(rest, lambda x: x["value"]).alias("values"))
+    return rows.select(F.col("_own.value").alias("value"), "node", "component", "n", "bits", F.col("_own.place").alias("place"), F.transform(rest, lambda x: x["often"].cast("long")).alias("often"), F.transform(rest, lambda x: x["value"]).alias("values"))
 
 
 class Trie:
@@ -134,16 +152,16 @@ class Trie:
         self.kids: dict[int, Trie] = {}
         self.low, self.high, self.first, self.component, self.ends = 1 << 60, 0, 1 << 60, -1, []
 
-    def add(self, node: int, component: int, n: int, place: int, shingles: list[int]) -> None:
+    def add(self, node: int, component: int, n: int, place: int, shingles: list[int], bits: tuple[int, int] | None = None) -> None:
         at = self
         for s in [None, *shingles]:
             if s is not None:
                 at = at.kids.setdefault(s, Trie())
             at.component = component if at.component in (-1, component) else None
             at.low, at.high, at.first = min(at.low, n), max(at.high, n), min(at.first, place)
-        at.ends.append((node, component, n, place))
+        at.ends.append((node, component, n, place, bits))
 
-    def partners(self, node: int, component: int, n: int, place: int, shingles: list[int], every: bool) -> Iterator[int]:
+    def partners(self, node: int, component: int, n: int, place: int, shingles: list[int], every: bool, bits: tuple[int, int] | None = None) -> Iterator[int]:
         """Sets of other components, no larger than this one, that the bounds allow; every: all of them, else one."""
         last = shingles[-1] if shingles else -1
         stack = [(self, 0, 0, 0)]  # the trie, own shingles passed, the path's shingles passed, those in common
@@ -153,8 +171,8 @@ class Trie:
             missed = depth - common_
             if trie.component == component or trie.low > n or left < 9 * (n + trie.low) or 10 * trie.high < 9 * n + 19 * (trie.first + missed):
                 continue
-            for other, its, m, first in trie.ends:
-                if its != component and m <= n and left >= 9 * (n + m) and 10 * m >= 9 * n + 19 * (first + missed):
+            for other, its, m, first, theirs in trie.ends:
+                if its != component and m <= n and left >= 9 * (n + m) and 10 * m >= 9 * n + 19 * (first + missed) and (bits is None or theirs is None or may_link(bits, n, theirs, m)):
                     yield other
                     if not every:
                         return
@@ -173,17 +191,17 @@ class Trie:
 
 def walked(groups: DataFrame, keys: list[str], every: bool) -> DataFrame:
     """Pairs (a, b) of a group's tries and walkers. groups: keys, inside (is in the trie), walks, and listed()'s columns."""
-    dealt = groups.select(*keys, "inside", "walks", "node", "component", "n", "place", "often", "values").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = groups.select(*keys, "inside", "walks", "node", "component", "n", "place", "often", "values", "bits").repartition(*keys).sortWithinPartitions(*keys)
 
     def pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
         trie = Trie()
-        members = [(inside, walks, (*own, [(o << 64) + v + (1 << 63) for o, v in zip(often, values, strict=True)])) for inside, walks, *own, often, values in members]
-        for inside, _, own in members:
+        members = [(inside, walks, (*own, [(o << 64) + v + (1 << 63) for o, v in zip(often, values, strict=True)]), (int.from_bytes(bits, "little"), 8 * len(bits))) for inside, walks, *own, often, values, bits in members]
+        for inside, _, own, bits in members:
             if inside:
-                trie.add(*own)
-        for _, walks, own in members:
+                trie.add(*own, bits)
+        for _, walks, own, bits in members:
             if walks:
-                yield from ((own[0], other) for other in trie.partners(*own, every))
+                yield from ((own[0], other) for other in trie.partners(*own, every, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, was, k = [], None, len(keys)

@@ -103,3 +103,30 @@ def test_query_on_equal_sets_of_other_words(spark, tmp_path):
     docs = [(1, a), (2, b), (3, "p q r p")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, QUERIES["op13_trie_join"](spark, str(tmp_path)).collect())) == [(1, 3, 1), (2, 3, 1), (3, 2, 3)]
+
+
+def test_long_sets_that_share_much_are_told_by_their_bitmaps(spark, monkeypatch):
+    """Sets of thousands outlive the walk of DEPTH shingles, though none of them links."""
+    rng = random.Random(4)
+    parts = [[f"p{k}w{i}" for i in range(100)] for k in range(40)]
+    docs = [(i, " ".join(w for k in sorted(rng.sample(range(40), 25)) for w in parts[k])) for i in range(40)]
+    docs += [(40, docs[0][1] + " some more words"), (41, docs[1][1] + " and others here")]
+    tried, confirmed = [], trie_join.confirmed
+    monkeypatch.setattr(trie_join, "confirmed", lambda pairs, sets: tried.append(pairs.count()) or confirmed(pairs, sets))
+    got = trie_join.join_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    want, _ = brute(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len({r[2] for r in want}) == 40
+    assert sum(tried) <= 4
+
+
+def test_bitmaps_never_part_what_links():
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.choice([9, 20, 127, 128, 255, 256, 1000])
+        a = [rng.getrandbits(63) - 2**62 for _ in range(n)]
+        b = a[rng.randint(0, n // 19) :] + [2**62 + rng.getrandbits(60) for _ in range(rng.randint(0, n // 19))]
+        sets = [trie_join.np.array(sorted(s), dtype="int64") for s in (a, b)]
+        bits = [(int.from_bytes(trie_join.bitmap(s), "little"), 8 * len(trie_join.bitmap(s))) for s in sets]
+        both = len({*a} & {*b})
+        if 19 * both >= 9 * (len(a) + len(b)):
+            assert trie_join.may_link(bits[0], len(a), bits[1], len(b)) and trie_join.may_link(bits[1], len(b), bits[0], len(a))
