@@ -43,11 +43,39 @@ def running(rows: DataFrame, amount: Column, name: str) -> DataFrame:
 
 
 def json_elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, nth and element (JSON text): the objects of the JSON array that each file is, in their order.
+    """path, nth and element (JSON text): the objects of the JSON array that each file is, in their order."""
+    return json_objects(spark, paths, 1).select("path", "nth", F.regexp_replace("text", r"^[\s\[,]*", "").alias("element"))
+
+
+#: What stands before the first row of a table: the end of the table before, names with values or empty tables, the table's name.
+BEFORE_ROWS = r'(?s)^(\s*\]?(?:[^"\[\]]++|"(?:[^"\\]|\\.)*+"|\[\s*+\])*)\[\s*(\{.*)$'
+
+
+def document_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, head (the document's values before its tables, as JSON), table_name, nth (in the file) and element (JSON text): the rows of the JSON documents that sinks.write_document writes, however they are spaced.
+
+    A document has its tables last, each an array of objects, and single values before them. It is read in splits.
+    """
+    rows = json_objects(spark, paths, 3)
+    first = (F.col("nth") == 0) | F.col("text").rlike(r"^\s*\]")
+    rows = rows.withColumn("_before", F.when(first, F.regexp_extract("text", BEFORE_ROWS, 1)))
+    rows = cut(rows.withColumn("element", F.when(first, F.regexp_extract("text", BEFORE_ROWS, 2)).otherwise(F.regexp_replace("text", r"^[\s,]*", ""))).drop("text"), "document_rows")
+    # a row for each table of each document
+    name = F.from_json(F.concat(F.lit("["), F.regexp_extract("_before", r'(?s)("(?:[^"\\]|\\.)*+")\s*:\s*$', 1), F.lit("]")), "array<string>")[0]
+    until = F.coalesce(F.lead("nth").over(Window.partitionBy("path").orderBy("nth")), F.lit(2**62))
+    head = F.when(F.col("nth") == 0, F.regexp_replace("_before", r'(?s),?\s*"tables"\s*:\s*\{.*$', "}"))
+    heads = F.max(head).over(Window.partitionBy("path"))
+    tables = rows.where("_before is not null").select("path", F.col("nth").alias("_from"), until.alias("_until"), name.alias("table_name"), heads.alias("head"))
+    within = (F.col("r.path") == F.col("t.path")) & (F.col("nth") >= F.col("_from")) & (F.col("nth") < F.col("_until"))
+    return rows.alias("r").join(F.broadcast(tables).alias("t"), within).select("r.path", "head", "table_name", "nth", "element")
+
+
+def json_objects(spark: SparkSession, paths: str | list[str], depth: int) -> DataFrame:
+    """path, nth and text: the objects that stand so deep in the JSON value of each file, in their order, each with all that stands between it and the one before.
 
     The files are read in pieces between closing braces. A piece doesn't know whether it begins in a string, so it counts its
     brackets for both cases; sums of quotes before it tell the case, sums of brackets the depth, and a brace that leads
-    back to the array ends an element. Only the pieces of one element meet.
+    back to that depth ends an object. Only the pieces of one object meet.
     """
     parts = cut(pieces(spark, paths, "}"), "json_pieces")
     bare = F.regexp_replace("value", r"(?s)\\.", "")  # no escape goes over a brace
@@ -59,9 +87,9 @@ def json_elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ends_inside = (F.col("_quotes") + F.col("quotes")) % 2 == 1
     step = F.when(F.col("_quotes") % 2 == 1, F.col("_quoted")).otherwise(F.col("_plain")) - F.when(ends_inside, 0).otherwise(1)
     light = running(cut(light.select(*SPLIT, "piece", ends_inside.alias("_inside"), step.alias("_step")), "json_steps"), F.col("_step"), "_depth")
-    ends = (~F.col("_inside") & (F.col("_depth") + F.col("_step") == 1)).cast("long")
+    ends = (~F.col("_inside") & (F.col("_depth") + F.col("_step") == depth)).cast("long")
     light = running(cut(light.select(*SPLIT, "piece", ends.alias("_ends")), "json_ends"), F.col("_ends"), "nth")
     own = parts.join(light.select("path", "piece", "nth", "_ends"), ["path", "piece"])
     whole = own.groupBy("path", "nth").agg(F.array_sort(F.collect_list(F.struct("piece", "value"))).alias("_pieces"), F.max("_ends").alias("_ends")).where("_ends = 1")
     text = F.concat(F.array_join(F.transform("_pieces", lambda x: x["value"]), "}"), F.lit("}"))
-    return whole.select("path", "nth", F.regexp_replace(text, r"^[\s\[,]*", "").alias("element"))
+    return whole.select("path", "nth", text.alias("text"))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+import shutil
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from functools import reduce
+from itertools import accumulate
+from typing import Any
 
+import pandas as pd
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,23 +84,73 @@ def write_json(spark: SparkSession, tables: dict[str, DataFrame], folder: str, s
 
 
 def write_lines(spark: SparkSession, lines: DataFrame, order: list[str], text: str, path: str) -> None:
-    """One text file of all lines in their order, under the name given: sorted and written by one task, with spills, not through the driver."""
+    """One text file of all lines in their order, under the name given; no task sorts or writes more than a range of them, and none goes through the driver.
+
+    Only where the shared folder's file system can neither be written at places nor join files, one task writes them all.
+    """
     from loomstar.operators.links import shared_folder
 
-    parts = f"{shared_folder(spark)}/loomstar-{uuid.uuid4().hex}/lines"
-    lines.repartition(1).sortWithinPartitions(*order).select(text).write.text(parts)
+    folder = f"{shared_folder(spark)}/loomstar-{uuid.uuid4().hex}"
+    lines.orderBy(*order).select(text).write.text(f"{folder}/parts")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    source, target = hadoop.Path(parts), hadoop.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = hadoop.Path(f"{folder}/lines"), hadoop.Path(path)
     here, there = source.getFileSystem(conf), target.getFileSystem(conf)
+    if not join_parts(spark, here, f"{folder}/parts", source):
+        lines.repartition(1).sortWithinPartitions(*order).select(text).write.text(f"{folder}/one")
+        source = next(p for p, _ in parts_of(spark, here, f"{folder}/one"))
     there.mkdirs(target.getParent())
-    part = next(f.getPath() for f in here.listStatus(source) if f.getPath().getName().startswith("part-"))
     there.delete(target, False)
     same = here.getUri().equals(there.getUri())  # then the file is only given its name
-    if not (there.rename(part, target) if same else hadoop.FileUtil.copy(here, part, there, target, True, True, conf)):
+    if not (there.rename(source, target) if same else hadoop.FileUtil.copy(here, source, there, target, True, True, conf)):
         raise OSError(f"{path} could not be written")
 
 
+def parts_of(spark: SparkSession, system: Any, folder: str) -> list[tuple[Any, int]]:
+    """Path and bytes of the files that tasks wrote to a folder, in their order."""
+    found = system.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder))
+    return sorted(((f.getPath(), f.getLen()) for f in found if f.getPath().getName().startswith("part-")), key=lambda f: f[0].getName())
+
+
+def join_parts(spark: SparkSession, system: Any, folder: str, path: Any) -> bool:
+    """One file of a folder's parts, in their order: copied to their places by as many tasks, or joined by the file system; false if it can do neither."""
+    parts = [(p, n) for p, n in parts_of(spark, system, folder) if n]
+    if system.getUri().getScheme() != "file":
+        return concatenated(spark, system, [p for p, _ in parts], path)
+    ends = list(accumulate((n for _, n in parts), initial=0))
+    target = path.toUri().getPath()
+    with open(target, "wb") as f:
+        f.truncate(ends[-1])
+
+    def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part, at in zip(frame["part"], frame["at"], strict=True):
+                with open(part, "rb") as here, open(target, "r+b") as there:
+                    there.seek(at)
+                    shutil.copyfileobj(here, there, 2**20)
+                    yield pd.DataFrame({"n": [there.tell() - at]})
+
+    rows = spark.createDataFrame([(p.toUri().getPath(), at) for (p, _), at in zip(parts, ends, strict=False)], "part string, at long")
+    copied = rows.repartition(max(1, len(parts))).mapInPandas(copy, "n long").agg(F.sum("n")).first()[0] or 0
+    if copied != ends[-1]:
+        raise OSError(f"{copied} of {ends[-1]} bytes were written")
+    return True
+
+
+def concatenated(spark: SparkSession, system: Any, parts: list[Any], path: Any) -> bool:
+    """The files, joined in a new one by the file system, without a copy in HDFS; false if it doesn't join files."""
+    given = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, len(parts))
+    for k, p in enumerate(parts):
+        given[k] = p
+    system.create(path).close()
+    try:
+        if parts:
+            system.concat(path, given)
+    except UnsupportedOperationException:
+        return False
+    return True
+
+
 def write_json_array(spark: SparkSession, rows: DataFrame, order: list[str], text: str, path: str) -> None:
     """One file with one JSON array of the rows' JSON texts, in their order."""
     from loomstar.operators.numbering import global_row_numbers
