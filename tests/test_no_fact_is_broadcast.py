@@ -13,7 +13,7 @@ def broadcast_sides(df):
     return plan, [line for line in plan if "BroadcastHashJoin" in line]
 
 
-@pytest.mark.parametrize("name", ["response_time_by_type"])
+@pytest.mark.parametrize("name", ["response_time_by_type", "workflow_replay"])
 def test_no_fact_is_broadcast(spark, tmp_path, name):
     kinds = {
         "fact_messages": "message_type_key string, response_time_seconds float", "dim_tool": "tool_key string, tool_name string, tool_category string",
